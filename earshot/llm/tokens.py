@@ -5,47 +5,104 @@ worker (as long as it stays in the bounded cache), and a text's ids are its piec
 the ids of the whole text for two kinds of files:
 
 * byte-level files ("byte_level"): before a single space or newline between two characters that are no white space,
-  the pattern always starts a new pre-token. Texts with any other white space, or with "<|", are encoded whole.
+  the pattern always starts a new pre-token. Texts with other white space, or with "<|", are encoded whole.
 * files with word ends ("word_end"): white space is dropped, nothing reaches across a space or a newline.
+
+A new piece of Latin letters (up to U+024F) is split by the file's pattern and its pre-tokens go to the library's model;
+any other piece goes through the library's whole pipeline.
 """
 
 from __future__ import annotations
 
+import os
 import re
 from itertools import chain
 
 import numpy as np
 
-_ODD = re.compile(r"[^\S \n]|\s\s|^\s|\s$|<\|")
+#: The patterns of the vocabulary files.
+PATTERNS = {
+    "byte_level": r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
+    "word_end": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
+}
+_GAP = re.compile(r"[^\S \n]")
+_LATIN, _STOPS = "\u024f", tuple(".,!?;:")
 #: Pieces longer than this aren't kept in the cache.
 _LONG = 64
 _BATCH_CHARS = 1_000_000
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable ones themselves, others from U+0100 on."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = (b for b in range(256) if b not in own)
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+def _irregular(text: str) -> bool:
+    """White space that isn't a single space or newline between words, or what may be a special string."""
+    if "  " in text or " \n" in text or "\n " in text or "\n\n\n" in text or "<|" in text or "\0" in text:
+        return True
+    return text[0] in " \n" or text[-1] == " " or text.endswith("\n\n") or bool(_GAP.search(text))
+
+
 class PieceEncoder:
-    def __init__(self, path: str, kind: str, most: int = 400_000):
+    """``most``: pieces in each of two generations of the cache; what the older one is asked for moves to the newer."""
+
+    def __init__(self, path: str, kind: str, most: int = 200_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a worker on each core
+        import regex
         from tokenizers import Tokenizer
 
-        if kind not in ("byte_level", "word_end"):
-            raise ValueError(kind)
         self.tokenizer = Tokenizer.from_file(path)
         self.kind, self.most = kind, most
+        self.split = regex.compile(PATTERNS[kind]).findall
+        self.model, self.lower, self.letters = self.tokenizer.model, kind == "word_end", _byte_letters()
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.coded = [x.tobytes() for x in np.arange(self.tokenizer.get_vocab_size(), dtype=self.dtype)]
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.tokens: dict[str, bytes] = {}
 
     def pieces(self, text: str) -> list[str]:
+        """Keys of the cache. Byte-level: "\\0" before what begins the text, a space left out before other words."""
         if self.kind == "word_end":
             return text.replace("\n", " ").split(" ")
         if not text:
             return []
-        if _ODD.search(text):
-            return [text]
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return [first, *[x if x[0] == "\n" else " " + x for x in rest]]
-
-    def _learn(self, fresh: list[str]) -> None:
-        for piece, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            self.known[piece] = np.array(e.ids, self.dtype).tobytes()
+        if _irregular(text):
+            return ["\0" + text]
+        keys = text.replace("\n", " \n").split(" ")
+        keys[0] = "\0" + keys[0]
+        return keys
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def _token(self, t: str) -> bytes:
+        """Of one pre-token."""
+        ids = self.tokens.get(t)
+        if ids is None:
+            letters = t if t.isascii() and t.isalpha() else t.encode().decode("latin-1").translate(self.letters)
+            ids = self.tokens[t] = b"".join([self.coded[x.id] for x in self.model.tokenize(letters)])
+        return ids
+
+    def _ids(self, key: str) -> bytes:
+        space = ""
+        if self.kind == "byte_level":
+            if key[:1] == "\0":
+                key = key[1:]
+            elif key[:1] != "\n":
+                space = " "
+        if len(key) > _LONG or "<|" in key or not (key.isascii() or max(key) <= _LATIN):
+            return self._whole(space + key)
+        if self.lower:  # up to U+024F the normal form changes nothing
+            key = key.lower()
+        if key.isalpha():
+            return self._token(space + key)
+        if key[-1:] in _STOPS and key[:-1].isalpha():
+            return self._token(space + key[:-1]) + self._token(key[-1])
+        return b"".join([self._token(t) for t in self.split(space + key)])
 
     def encode(self, texts: list[str]):
         """Yields the ids of each text as an array of uint32."""
@@ -56,16 +113,20 @@ class PieceEncoder:
                 chars += len(texts[end])
                 end += 1
             lists = [self.pieces(x) for x in texts[start:end]]
-            distinct = set(chain.from_iterable(lists))
-            if len(self.known) > self.most:
-                self.known.clear()
-            fresh = list(distinct.difference(self.known))
-            self._learn(fresh)
+            known = self.known
+            fresh = set(chain.from_iterable(lists)).difference(known)
+            for x in fresh:
+                ids = self.older.get(x)
+                known[x] = self._ids(x) if ids is None else ids
             for x in lists:
-                yield np.frombuffer(b"".join(map(self.known.__getitem__, x)), self.dtype).astype(np.uint32)
+                yield np.frombuffer(b"".join(map(known.__getitem__, x)), self.dtype).astype(np.uint32)
             for x in fresh:
                 if len(x) > _LONG:
-                    del self.known[x]
+                    del known[x]
+            if len(known) > self.most:
+                self.older, self.known = known, {}
+            if len(self.tokens) > self.most:
+                self.tokens.clear()
             start = end
 
 
