@@ -9,8 +9,8 @@ Two documents link when 100 * |A and B| >= percent * |A or B|, A and B their set
 3. Candidates meet on a key within neighbouring bands of set sizes (length filter). The positional filter bounds the
    overlap by what follows in both sets; the suffix filter bounds it by the counts of both sets in 32 ranges of hashes.
    What is left is verified once per pair on the full sets.
-4. Links are followed in rounds. In the first rounds each class on a key meets the key's first class only; what is
-   linked then counts as one. The last round takes every pair of a key whose members are still apart. A group of
+4. Links are followed in rounds. In the first rounds each group on a key meets one of the key's groups only; what is
+   linked then counts as one group. The last round takes every pair of a key whose members are still apart. A group of
    n near copies so costs about n verifications, not n^2, and no link between groups is lost.
 
 Shingles are compared by 64-bit hashes. Memory: a task holds one batch of texts; the counters and the filter of
@@ -35,7 +35,7 @@ from .hashing import mix, shingle_hashes, word_lists
 
 COUNTERS, CHUNKS = 1 << 20, 16
 FILTER_BITS = 1 << 23
-RANGES, LIST = 32, 512
+RANGES, LIST, LARGE = 32, 512, 32
 STAR_ROUNDS = 3
 
 
@@ -236,11 +236,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         now = rows.withColumn("group", F.col("doc")) if group is None else rows.join(group, F.col("doc") == F.col("node"), "left").select("key", "doc", "n", "pos", "band", F.coalesce("component", "doc").alias("group"))
         apart = now.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("key")
         now = stage(now.join(apart, "key", "left_semi"), "apart")
-        pairs = _star(now) if step < STAR_ROUNDS else _across(now)
-        enough = F.col("least") <= F.lit(1) + F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) - 1
-        needed = F.ceil((F.col("n") + F.col("n2")) * F.lit(percent) / F.lit(100 + percent)).cast("int")
-        long_ = F.greatest("n", "n2") * percent <= F.least("n", "n2") * 100
-        pairs = pairs.where(long_).withColumn("least", needed).where(enough)
+        pairs = _star(now, step) if step < STAR_ROUNDS else _across(now, percent)
+        pairs = pairs.where(_passes(F.col("n"), F.col("pos"), F.col("n2"), F.col("pos2"), percent))
         pairs = pairs.select(F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -251,9 +248,6 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         links = found if links is None else links.unionByName(found)
         if not none:
             group = stage(components(links), "groups")
-        elif step < STAR_ROUNDS:
-            if pairs.isEmpty() and step:
-                continue
     out = classes
     if group is not None:
         out = classes.join(group, F.col("class") == F.col("node"), "left").withColumn("class", F.coalesce("component", "class"))
@@ -265,27 +259,49 @@ def _repeats(classes: DataFrame) -> bool:
     return n.n != n.d
 
 
-def _star(rows: DataFrame) -> DataFrame:
-    """Each group of a key and band meets the first group of it: a pair of one document of each."""
-    one = rows.groupBy("key", "band", "group").agg(F.min(F.struct("n", "doc", "pos")).alias("m"))
+def _star(rows: DataFrame, step: int) -> DataFrame:
+    """Each group of a key and band meets one of its groups: a pair of one document of each.
+
+    In the first round, the smallest sets meet; later, documents drawn by a hash of the key and the round, so that what
+    is still apart tries another partner on every key that it shares.
+    """
+    drawn = F.xxhash64("key", "doc", F.lit(step)) if step else F.lit(0).cast("long")
+    one = rows.groupBy("key", "band", "group").agg(F.min(F.struct(drawn.alias("drawn"), "n", "doc", "pos")).alias("m"))
     centre = one.groupBy("key", "band").agg(F.min(F.struct("m", "group")).alias("c"))
     both = one.join(centre, ["key", "band"]).where(F.col("group") != F.col("c.group"))
     same = both.select(F.col("m.doc").alias("doc"), F.col("m.n").alias("n"), F.col("m.pos").alias("pos"), F.col("c.m.doc").alias("doc2"), F.col("c.m.n").alias("n2"), F.col("c.m.pos").alias("pos2"))
     return same
 
 
-def _across(rows: DataFrame) -> DataFrame:
-    """Every pair of a key whose documents are in different groups and in the same or neighbouring bands."""
-    size = rows.groupBy("key", "band", "group").agg(F.count("*").alias("m"))
-    cut = rows.join(size, ["key", "band", "group"]).withColumn("part", F.pmod(F.xxhash64("doc"), F.ceil(F.col("m") / LIST)))
-    lists = cut.groupBy("key", "band", "group", "part").agg(F.collect_list(F.struct("doc", "n", "pos")).alias("of"))
-    lists = stage(lists, "lists")
+def _across(rows: DataFrame, percent: int) -> DataFrame:
+    """Every pair of a key whose documents are in different groups and pass the length and positional filters.
+
+    Members of a key and band form lists of about ``LIST``: large groups lists of their own, small groups common ones.
+    Lists meet lists, and the filters are applied while two lists are compared, so that only candidates become rows.
+    """
+    at = ["key", "band"]
+    size = rows.groupBy(*at, "group").agg(F.count("*").alias("m")).withColumn("own", F.col("m") >= LARGE)
+    small = size.where("not own").groupBy(*at).agg(F.sum("m").alias("all_small"))
+    cut = rows.join(size, [*at, "group"]).join(small, at, "left")
+    part = F.when(F.col("own"), F.pmod(F.xxhash64("doc"), F.ceil(F.col("m") / LIST))).otherwise(F.pmod(F.xxhash64("group"), F.ceil(F.col("all_small") / LIST)))
+    cut = cut.withColumn("name", F.struct(F.when(F.col("own"), F.col("group")).otherwise(F.lit(-1).cast("long")).alias("g"), F.col("own").cast("int").alias("own"), part.alias("part")))
+    lists = stage(cut.groupBy(*at, "name").agg(F.collect_list(F.struct("doc", "n", "pos", "group")).alias("of")), "lists")
     left = lists.withColumn("at", F.explode(F.array(F.col("band"), F.col("band") + 1)))
-    right = lists.select("key", F.col("band").alias("at"), F.col("group").alias("group2"), F.col("of").alias("of2"))
-    # the same band once, from the smaller group; the next band from either
-    met = left.join(right, ["key", "at"]).where((F.col("group") != F.col("group2")) & ((F.col("at") > F.col("band")) | (F.col("group") < F.col("group2"))))
-    met = met.select(F.explode("of").alias("x"), "of2").select("x", F.explode("of2").alias("y"))
-    return met.select(F.col("x.doc").alias("doc"), F.col("x.n").alias("n"), F.col("x.pos").alias("pos"), F.col("y.doc").alias("doc2"), F.col("y.n").alias("n2"), F.col("y.pos").alias("pos2"))
+    right = lists.select("key", F.col("band").alias("at"), F.col("name").alias("name2"), F.col("of").alias("of2"))
+    met = left.join(right, ["key", "at"]).where((F.col("at") > F.col("band")) | (F.col("name") < F.col("name2")) | ((F.col("name") == F.col("name2")) & (F.col("name.own") == 0)))
+    once = (F.col("at") > F.col("band")) | (F.col("name") != F.col("name2"))
+
+    def candidates(x):
+        fit = F.filter("of2", lambda y: (y.group != x.group) & (once | (x.doc < y.doc)) & _passes(x.n, x.pos, y.n, y.pos, percent))
+        return F.transform(fit, lambda y: F.struct(x.doc.alias("doc"), x.n.alias("n"), x.pos.alias("pos"), y.doc.alias("doc2"), y.n.alias("n2"), y.pos.alias("pos2")))
+
+    return met.select(F.explode(F.flatten(F.transform("of", candidates))).alias("p")).select("p.*")
+
+
+def _passes(n, pos, n2, pos2, percent: int) -> F.Column:
+    """Length filter, and positional filter: what both sets hold from the common key on has to suffice."""
+    needed = F.ceil((n + n2) * F.lit(percent) / F.lit(100 + percent))
+    return (F.greatest(n, n2) * percent <= F.least(n, n2) * 100) & (needed <= F.least(n - pos, n2 - pos2))
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
