@@ -1,0 +1 @@
+"""Operators that built-in functions can't express alone."""
