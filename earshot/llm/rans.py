@@ -94,6 +94,8 @@ def decode_block(words: np.ndarray, states: np.ndarray, n: int, freq: np.ndarray
         x[low] = (x[low] << np.uint64(32)) | words[at : at + len(low)]
         at += len(low)
         state[: len(x)] = x
+    if (state != LOW).any():  # the encoder began there
+        raise ValueError("the states don't end where they began")
     return out
 
 
