@@ -10,7 +10,7 @@ Two documents link when 100 * |A and B| >= percent * |A or B|, A and B their set
    overlap by what follows in both sets; the suffix filter bounds it by the counts of both sets in 32 ranges of hashes.
    What is left is verified once per pair on the full sets.
 4. Links are followed in rounds. In the first rounds each group on a key meets one of the key's groups only; what is
-   linked then counts as one group. The last round takes every pair of a key whose members are still apart. A group of
+   linked then counts as one group. A star round without a new link is the last of its kind. The last round takes every pair of a key whose members are still apart. A group of
    n near copies so costs about n verifications, not n^2, and no link between groups is lost.
 
 Shingles are compared by 64-bit hashes. Memory: a task holds one batch of texts; the counters and the filter of
@@ -36,7 +36,7 @@ from .hashing import mix, shingle_hashes, word_lists
 COUNTERS, CHUNKS = 1 << 20, 16
 FILTER_BITS = 1 << 23
 RANGES, LIST, LARGE = 32, 512, 32
-STAR_ROUNDS = 3
+STAR_ROUNDS = 5
 
 
 def _sets(texts: list[str], k: int):
@@ -232,11 +232,12 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     # rounds
     links = tried = None
     group = None
-    for step in range(STAR_ROUNDS + 1):
+    step, last = 0, STAR_ROUNDS
+    while step <= last:
         now = rows.withColumn("group", F.col("doc")) if group is None else rows.join(group, F.col("doc") == F.col("node"), "left").select("key", "doc", "n", "pos", "band", F.coalesce("component", "doc").alias("group"))
         apart = now.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("key")
         now = stage(now.join(apart, "key", "left_semi"), "apart")
-        pairs = _star(now, step) if step < STAR_ROUNDS else _across(now, percent)
+        pairs = _star(now, step) if step < last else _across(now, percent)
         pairs = pairs.where(_passes(F.col("n"), F.col("pos"), F.col("n2"), F.col("pos2"), percent))
         pairs = pairs.select(F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b")).distinct()
         if tried is not None:
@@ -248,6 +249,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         links = found if links is None else links.unionByName(found)
         if not none:
             group = stage(components(links), "groups")
+        # a star round that finds nothing is the last of its kind
+        step = last if none and step < last else step + 1
     out = classes
     if group is not None:
         out = classes.join(group, F.col("class") == F.col("node"), "left").withColumn("class", F.coalesce("component", "class"))
@@ -262,10 +265,11 @@ def _repeats(classes: DataFrame) -> bool:
 def _star(rows: DataFrame, step: int) -> DataFrame:
     """Each group of a key and band meets one of its groups: a pair of one document of each.
 
-    In the first round, the smallest sets meet; later, documents drawn by a hash of the key and the round, so that what
-    is still apart tries another partner on every key that it shares.
+    In the first round, the smallest sets meet; later, documents that hold the key early (the positional filter passes
+    these most), drawn by a hash of the key and the round, so that what is still apart tries another partner on every
+    key that it shares.
     """
-    drawn = F.xxhash64("key", "doc", F.lit(step)) if step else F.lit(0).cast("long")
+    drawn = F.struct(F.col("pos").alias("first"), F.xxhash64("key", "doc", F.lit(step)).alias("hash")) if step else F.lit(0)
     one = rows.groupBy("key", "band", "group").agg(F.min(F.struct(drawn.alias("drawn"), "n", "doc", "pos")).alias("m"))
     centre = one.groupBy("key", "band").agg(F.min(F.struct("m", "group")).alias("c"))
     both = one.join(centre, ["key", "band"]).where(F.col("group") != F.col("c.group"))
