@@ -2,9 +2,11 @@
 
 1. Texts are read in blocks of some million characters. A block gets a dictionary of its distinct pre-tokens; each of
    its documents becomes a list of (place in the dictionary, frequency), packed. Both go to one written table.
-2. The dictionaries' pre-tokens are made distinct over all blocks, and the tokenizer counts each one's pieces once.
-3. The counts are joined to the dictionaries and go back to their blocks as one array each; a document's tokens are the
-   sum of frequency times count. A block has a bounded size, so no key gathers more than a block's dictionary.
+2. The dictionaries' entries are dealt by pre-token and sorted there, so that equal ones stand together; the tokenizer
+   counts each distinct one's pieces once, and every entry takes that count: no second shuffle for a distinct list.
+3. The counts go back to their blocks as one array each and are joined to the documents of the block; a document's
+   tokens are the sum of frequency times count. A block has a bounded size, so no key gathers more than a block's
+   dictionary, and a frequent pre-token has one row per block, not one per document.
 
 Special strings inside a text are cut out before the pre-tokens are made, as the library does by default; each counts
 as one piece. Frequent pre-tokens meet one row per block, not one per document, and the join is an ordinary shuffle
@@ -16,6 +18,7 @@ doc_id gets its counts like any other; other columns are not read.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections import Counter
@@ -31,7 +34,7 @@ from .common import stage, table, texts_of
 #: The byte-level pattern of the vocabulary file (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPECIAL = ("<|endoftext|>",)
-BLOCK_CHARS = 12_000_000
+BLOCK_CHARS = 48_000_000
 
 CODED = "block long, doc_id long, n_bytes long, places binary, counts binary, place int, piece string"
 
@@ -123,15 +126,18 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, special: tu
         yield from _coded(special, block_chars)(batches)
 
     def pieces(batches):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a worker on each core
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(tokenizer)
+        t, last, last_n = Tokenizer.from_file(tokenizer), None, 0
         for b in batches:
-            texts = b.column(0).to_pylist()
-            n = []
-            for k in range(0, len(texts), 20_000):
-                n += [len(e.ids) for e in t.encode_batch_fast(texts[k : k + 20_000], add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32())], names=["piece", "n"])
+            coded_ = b.column(0).dictionary_encode()
+            own = coded_.dictionary.to_pylist()
+            known = len(own) > 0 and own[0] == last  # goes on from the batch before
+            n = [last_n] * known + [len(e.ids) for e in t.encode_batch_fast(own[known:], add_special_tokens=False)]
+            if own:
+                last, last_n = own[-1], n[-1]
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(np.array(n, np.int32)[coded_.indices.to_numpy()])], names=["block", "place", "n"])
 
     def sums(left: pa.Table, right: pa.Table) -> pa.Table:
         of = right.column("of")
@@ -150,8 +156,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, special: tu
 
     rows = stage(texts_of(docs).mapInArrow(coded, CODED), "pretokens")
     entries = rows.where(F.col("place").isNotNull()).select("piece", "block", "place")
-    counted = entries.select("piece").distinct().mapInArrow(pieces, "piece string, n int")
-    back = entries.join(counted, "piece").select("block", "place", "n").groupBy("block").applyInArrow(arrays, "block long, of binary")
+    counted = entries.repartition("piece").sortWithinPartitions("piece").mapInArrow(pieces, "block long, place int, n int")
+    back = counted.groupBy("block").applyInArrow(arrays, "block long, of binary")
     documents = rows.where(F.col("place").isNull()).select("block", "doc_id", "n_bytes", "places", "counts")
     out = documents.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(sums, "doc_id long, n_bytes long, n_tokens long, n_distinct long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit).select("doc_id", "n_bytes", "n_tokens", "over_limit", "n_distinct")
