@@ -17,9 +17,12 @@ LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,7 +65,7 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return h
 
 
-def batches_of(texts: list[str], size: int = 1 << 20):
+def batches_of(texts: list[str], size: int = 1 << 17):
     """Runs of texts of about ``size`` characters: (first, end)."""
     start = total = 0
     for i, t in enumerate(texts):
@@ -81,12 +84,18 @@ def joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"\n".join([*parts, b""]), np.uint8), begins
 
 
-def word_lists(texts: list[str]):
-    """Yields each text's word hashes (white space between words, A-Z in lower case)."""
+def _words(texts: list[str]):
+    """Yields, of runs of texts, all word hashes and where each text's begin, and the end."""
     for a, b in batches_of(texts):
         raw, begins = joined(texts[a:b])
         starts, ends = spans(raw)
-        h = word_hashes(raw, starts, ends)
-        cut = np.searchsorted(starts, begins)
-        for i in range(b - a):
-            yield h[cut[i] : cut[i + 1]]
+        yield word_hashes(raw, starts, ends), np.searchsorted(starts, begins).tolist()
+
+
+def shingle_sets(texts: list[str], k: int):
+    """Yields each text's distinct shingle hashes, ascending; a run of texts is hashed at once."""
+    for h, cut in _words(texts):
+        every = shingle_hashes(h, k)
+        for a, b in zip(cut, cut[1:]):
+            s = np.sort(every[a : b - k + 1]) if b - a >= k else shingle_hashes(h[a:b], k)
+            yield s if len(s) < 2 else s[np.concatenate([[True], s[1:] != s[:-1]])]

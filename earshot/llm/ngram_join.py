@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, stage, table, texts_of
-from .hashing import mix, shingle_hashes, word_lists
+from .hashing import mix, shingle_sets
 
 COUNTERS, CHUNKS = 1 << 20, 16
 FILTER_BITS = 1 << 23
@@ -39,12 +39,6 @@ RANGES, LIST, LARGE = 32, 512, 32
 STAR_ROUNDS = 5
 
 
-def _sets(texts: list[str], k: int):
-    """Yields each text's distinct shingle hashes, ascending."""
-    for words in word_lists(texts):
-        yield np.unique(shingle_hashes(words, k))
-
-
 def _summed(rows: DataFrame, combine: str = "add") -> np.ndarray:
     """Adds (or unites) the tasks' tables of fixed size: rows of (chunk, data), zlib over uint32; to the driver as one."""
 
@@ -74,14 +68,14 @@ def _sizes_and_counts(k: int):
     names, kinds = ["doc_id", "n", "print", "chunk", "data"], [pa.int64(), pa.int64(), pa.binary()]
 
     def rows(batches):
-        counts, any_ = np.zeros(COUNTERS, np.uint32), False
+        counts, one, any_ = np.zeros(COUNTERS, np.uint32), np.uint32(1), False  # `one` of another type is slow
         for b in batches:
             ids, n, prints = b.column(0), [], []
-            for h in _sets(b.column(1).to_pylist(), k):
+            for h in shingle_sets(b.column(1).to_pylist(), k):
                 n.append(len(h))
                 if len(h):
                     any_ = True
-                    np.add.at(counts, (h >> np.uint64(44)).astype(np.int64), 1)
+                    np.add.at(counts, (h >> np.uint64(44)).astype(np.int64), one)
                     with np.errstate(over="ignore"):
                         prints.append(np.array([h.sum(dtype=np.uint64), mix(h ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64), len(h)], "<u8").tobytes())
                 else:
@@ -103,7 +97,7 @@ def _prefixes(k: int, percent: int, counts):
         level, seen = counts.value, set()
         for b in batches:
             out = []
-            for d, h in zip(b.column(0).to_pylist(), _sets(b.column(1).to_pylist(), k), strict=True):
+            for d, h in zip(b.column(0).to_pylist(), shingle_sets(b.column(1).to_pylist(), k), strict=True):
                 n = len(h)
                 if not n or d is None:
                     continue
@@ -160,7 +154,7 @@ def _full_sets(k: int, wanted):
             at = _bits(np.array([-1 if i is None else i for i in ids], np.int64))
             take = [i for i in np.flatnonzero(x[at >> 5] >> (at & 31).astype(np.uint32) & 1) if ids[i] is not None] if len(x) else []
             if take:
-                sets = list(_sets(texts.take(pa.array(take)).to_pylist(), k))
+                sets = list(shingle_sets(texts.take(pa.array(take)).to_pylist(), k))
                 ranges = [np.bincount((h >> np.uint64(59)).astype(np.int64), minlength=RANGES).astype("<u4").tobytes() for h in sets]
                 yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in take], pa.int64()), pa.array(ranges, pa.binary()), pa.array([h.astype("<u8").tobytes() for h in sets], pa.binary())], names=["doc", "ranges", "hashes"])
 
