@@ -41,9 +41,11 @@ def kalman_smooth(rows: DataFrame, noise_m: float = 20.0, accel: float = 0.01) -
 
 
 def kde_mode(rows: DataFrame, bandwidth_m: float) -> DataFrame:
-    """``rows``: node_id, x, y. The densest place of each node's positions (weighted mean around the densest cell) and
-    its number of positions. Positions are first counted by cells of half the bandwidth, so that a node costs pairs of
-    neighbouring cells, not pairs of positions."""
+    """``rows``: node_id, x, y. The densest place of each node's positions (weighted mean around the densest cell), the
+    radius about it that holds 68 % of the positions within three bandwidths of the densest cell, and the node's number
+    of positions. Positions are first counted by cells of half the bandwidth, so that a node costs pairs of neighbouring
+    cells, not pairs of positions. Distances count by millimetre, so that a node's percentile is over a bounded number
+    of values."""
     cell = bandwidth_m / 2
     cells = rows.groupBy("node_id", F.floor(F.col("x") / cell).alias("i"), F.floor(F.col("y") / cell).alias("j")).agg(F.count("*").alias("n"), F.avg("x").alias("x"), F.avg("y").alias("y"))
     steps = F.array(*[F.lit(k) for k in range(-6, 7)])
@@ -51,7 +53,10 @@ def kde_mode(rows: DataFrame, bandwidth_m: float) -> DataFrame:
     near = near.withColumn("j", F.explode(F.transform(steps, lambda d: F.col("j0") + d)))
     met = near.join(cells, ["node_id", "i", "j"])
     w = F.col("n") * F.exp(-((F.col("x") - F.col("x0")) ** 2 + (F.col("y") - F.col("y0")) ** 2) / (2 * bandwidth_m**2))
-    dense = met.groupBy("node_id", "i0", "j0").agg(F.sum(w).alias("density"), (F.sum(w * F.col("x")) / F.sum(w)).alias("x"), (F.sum(w * F.col("y")) / F.sum(w)).alias("y"))
-    best = dense.groupBy("node_id").agg(F.max(F.struct(F.round("density", 9).alias("d"), "i0", "j0", "x", "y")).alias("m"))
-    total = rows.groupBy("node_id").agg(F.count("*").alias("n"))
-    return best.join(total, "node_id").select("node_id", F.col("m.x").alias("x"), F.col("m.y").alias("y"), F.col("m.d").alias("density"), "n")
+    dense = met.groupBy("node_id", "i0", "j0", "x0", "y0").agg(F.sum(w).alias("density"), (F.sum(w * F.col("x")) / F.sum(w)).alias("x"), (F.sum(w * F.col("y")) / F.sum(w)).alias("y"))
+    best = dense.groupBy("node_id").agg(F.max(F.struct(F.round("density", 9).alias("d"), "i0", "j0", "x", "y", "x0", "y0")).alias("m"))
+    places = rows.join(F.broadcast(best), "node_id")
+    local = F.hypot(F.col("x") - F.col("m.x0"), F.col("y") - F.col("m.y0")) <= 3 * bandwidth_m
+    away = F.round(F.hypot(F.col("x") - F.col("m.x"), F.col("y") - F.col("m.y")), 3)
+    spread = places.groupBy("node_id").agg(F.percentile(F.when(local, away), F.lit(0.68)).alias("radius_m"), F.count("*").alias("n"))
+    return best.join(spread, "node_id").select("node_id", F.col("m.x").alias("x"), F.col("m.y").alias("y"), F.col("m.d").alias("density"), "radius_m", "n")

@@ -39,7 +39,7 @@ def _(v):
 
 @query("pair_delays")
 def _(v):
-    rows = v.raw("embeddings").where("vec_id > 0").select(F.col("vec_id").alias("id"), F.col("embedding").alias("a"), F.concat(F.slice("embedding", 4, 61), F.slice("embedding", 1, 3)).alias("b"))
+    rows = v.raw("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("a"), F.concat(F.slice("embedding", 4, 61), F.slice("embedding", 1, 3)).alias("b"))
     return signal.gcc_phat(rows, sample_rate_hz=16_000, max_tau_s=0.001)
 
 
@@ -51,5 +51,5 @@ def _(v):
 
 @query("node_positions_kde")
 def _(v):
-    rows = v.detections.where("id % 16 = 0").select("node_id", ((F.col("lon") + 93.2565) * 78700.0).alias("x"), ((F.col("lat") - 44.98) * 111320.0).alias("y"))
+    rows = v.detections.select("node_id", ((F.col("lon") + 93.2565) * 78700.0).alias("x"), ((F.col("lat") - 44.98) * 111320.0).alias("y"))
     return tracking.kde_mode(rows, bandwidth_m=25.0)
