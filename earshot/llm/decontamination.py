@@ -4,9 +4,11 @@
    threshold: a window that reaches the threshold holds one of them. The rarest pair of adjacent words in each of those
    shingles is a key with its place in the item. Where a document holds a key, a window of the item's number of words is
    laid so that the key has the item's place in it.
-2. Fingerprints. Each window and each item gets a 64-bit SimHash of its words. Fingerprints are cut into radius + 1
-   blocks; two fingerprints within the radius agree in one block at least, so a join on (number of words, block, value)
-   finds them all.
+2. Fingerprints. Each window and each item gets a 64-bit SimHash of its words. A window and an item are compared when
+   they have the same number of words and share one of the shingles of step 1, as all do that reach the threshold.
+   The radius follows from the threshold (``radius_for``; 25 bits at 0.8): of windows just at the
+   threshold one in a million is expected beyond it, by a binomial estimate for words that don't repeat and shingles of
+   equal weight; where the item's changed shingles weigh next to nothing, one in a thousand.
 3. Verification. The weighted Jaccard similarity of the two sets of word shingles, rare shingles of the benchmark
    weighing more, has to reach the threshold.
 
@@ -21,6 +23,8 @@ hits without doc_id; an empty documents or benchmark table gives no hit; other c
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,11 +58,19 @@ def simhash(words) -> F.Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda a, i: a.bitwiseOR(bit(i)))
 
 
-def blocks_of(print_, radius: int) -> F.Column:
-    """radius + 1 disjoint runs of the 64 bits, as (number, value)."""
-    n = radius + 1
-    cuts = [64 * i // n for i in range(n + 1)]
-    return F.array(*[F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(print_, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("value")) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))])
+def radius_for(threshold: float, loss: float = 1e-6) -> int:
+    """The least radius beyond which less than ``loss`` of the windows just at the threshold lie.
+
+    A window at the threshold may differ in a share (1 - t) / (1 + t) of its words; a bit, the majority of the words'
+    bits, then differs with probability arccos(1 - share) / pi.
+    """
+    p = math.acos(1 - (1 - threshold) / (1 + threshold)) / math.pi
+    beyond = 1.0
+    for r in range(64):
+        beyond -= math.comb(64, r) * p**r * (1 - p) ** (64 - r)
+        if beyond < loss:
+            return r
+    return 63
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
@@ -73,15 +85,19 @@ def _weights(items: DataFrame, k: int) -> DataFrame:
     return rows.join(held, "shingle").join(F.broadcast(total)).select("item_id", "shingle", F.log1p(F.col("items") / F.col("df")).alias("weight"))
 
 
-def _keys(items: DataFrame, weights: DataFrame, k: int, threshold: float) -> DataFrame:
-    """(word, next, back, n_words): adjacent words and how far before them the window begins."""
+def _rare(items: DataFrame, weights: DataFrame, k: int, threshold: float) -> DataFrame:
+    """(item_id, shingle, at, words, n_words): the rarest shingles, one of which a window at the threshold holds."""
     rows = items.select("item_id", "words", "n_words", F.posexplode(shingles_of(F.col("words"), k)).alias("at", "shingle"))
     first = rows.groupBy("item_id", "shingle").agg(F.min("at").alias("at"), F.first("words").alias("words"), F.first("n_words").alias("n_words"))
     rare = Window.partitionBy("item_id").orderBy(F.col("weight").desc(), F.xxhash64("shingle"))
     first = first.join(weights, ["item_id", "shingle"]).withColumn("before", F.coalesce(F.sum("weight").over(rare.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
     whole = weights.groupBy("item_id").agg(F.sum("weight").alias("whole"))
-    first = first.join(whole, "item_id").where(F.col("before") <= (1 - threshold) * F.col("whole") + 1e-9)
-    pairs = first.select("item_id", "at", "n_words", "words", F.explode(F.sequence(F.lit(0), F.least(F.lit(k), F.col("n_words")) - 2)).alias("j"))
+    return first.join(whole, "item_id").where(F.col("before") <= (1 - threshold) * F.col("whole") + 1e-9).select("item_id", "shingle", "at", "words", "n_words")
+
+
+def _keys(items: DataFrame, rare: DataFrame, k: int) -> DataFrame:
+    """(word, next, back, n_words): adjacent words and how far before them the window begins."""
+    pairs = rare.select("item_id", "at", "n_words", "words", F.explode(F.sequence(F.lit(0), F.least(F.lit(k), F.col("n_words")) - 2)).alias("j"))
     pairs = pairs.select("item_id", "at", "n_words", (F.col("at") + F.col("j")).alias("back"), F.get("words", F.col("at") + F.col("j")).alias("word"), F.get("words", F.col("at") + F.col("j") + 1).alias("next"))
     spread = items.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
     pairs = pairs.join(spread, "word").join(spread.toDF("next", "df2"), "next")
@@ -89,11 +105,16 @@ def _keys(items: DataFrame, weights: DataFrame, k: int, threshold: float) -> Dat
     return best.select("k.*").distinct()
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8, radius: int = 12) -> DataFrame:
-    """(doc_id, item_id, start_word, n_words, hamming, similarity): for each document and item, its most similar window."""
+def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8, radius: int | None = None) -> DataFrame:
+    """(doc_id, item_id, start_word, n_words, hamming, similarity): for each document and item, its most similar window.
+
+    Without a ``radius`` that of the threshold is taken.
+    """
+    radius = radius_for(threshold) if radius is None else radius
     items = stage(_items(benchmark), "items")
     weights = stage(_weights(items, k), "weights")
-    keys = stage(_keys(items, weights, k, threshold), "keys")
+    rare = stage(_rare(items, weights, k, threshold), "rare")
+    keys = stage(_keys(items, rare, k), "keys")
     few = keys.count() <= BROADCAST_KEYS
     keys = keys.select(F.struct("word", "next").alias("pair"), "back", "n_words").groupBy("pair").agg(F.collect_set(F.struct("back", "n_words")).alias("places")).select("pair.*", "places")
     # windows, laid where a key stands
@@ -104,11 +125,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: flo
     windows = met.select("doc_id", start.alias("start"), F.col("p.n_words").alias("n_words"), F.slice("words", start + 1, F.col("p.n_words")).alias("own"))
     windows = windows.groupBy("doc_id", "start", "n_words").agg(F.first("own").alias("own"))
     windows = stage(windows.withColumn("print", simhash(F.col("own"))), "windows")
-    # all fingerprints within the radius
-    known = items.select("item_id", "n_words", simhash(F.col("words")).alias("print2"))
-    left = windows.select("doc_id", "start", "n_words", "print", F.explode(blocks_of(F.col("print"), radius)).alias("b")).select("doc_id", "start", "n_words", "print", "b.*")
-    right = known.select("item_id", "n_words", "print2", F.explode(blocks_of(F.col("print2"), radius)).alias("b")).select("item_id", "n_words", "print2", "b.*")
-    near = left.join(right, ["n_words", "block", "value"]).withColumn("hamming", F.bit_count(F.col("print").bitwiseXOR(F.col("print2")))).where(F.col("hamming") <= radius)
+    # all fingerprints within the radius, of pairs that share a rare shingle of the item
+    known = items.select("item_id", "n_words", simhash(F.col("words")).alias("print2")).join(rare.select("item_id", F.xxhash64("shingle").alias("mark")), "item_id")
+    marks = F.array_distinct(F.transform(shingles_of(F.col("own"), k), lambda x: F.xxhash64(x)))
+    left = windows.select("doc_id", "start", "n_words", "print", F.explode(marks).alias("mark"))
+    near = left.join(known, ["n_words", "mark"]).withColumn("hamming", F.bit_count(F.col("print").bitwiseXOR(F.col("print2")))).where(F.col("hamming") <= radius)
     near = near.groupBy("doc_id", "start", "n_words", "item_id").agg(F.min("hamming").alias("hamming"))
     # exact weighted similarity
     texts = near.join(windows.select(F.col("doc_id").alias("d"), F.col("start").alias("s"), F.col("n_words").alias("w"), "own"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("start") == F.col("s")) & (F.col("n_words") == F.col("w")))
