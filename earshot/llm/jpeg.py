@@ -434,7 +434,7 @@ def texts_to_media(docs: DataFrame) -> DataFrame:
 
 
 def thumbnails(media: DataFrame, column: str = "media", key: str = "doc_id", with_pixels: bool = False) -> DataFrame:
-    """Per row: dimensions, number of images, thumbnail hash, and digests of the thumbnails' samples and of the bytes.
+    """Per row: dimensions, number of images, thumbnail hashes (of further images with their size), and digests of the thumbnails' samples and of the bytes.
 
     ``with_pixels`` adds the samples. All other columns of ``media`` are left out but the key and ``n_bytes``.
     """
@@ -453,7 +453,9 @@ def thumbnails(media: DataFrame, column: str = "media", key: str = "doc_id", wit
                         continue
                     pixels = b"".join(p.tobytes() for _, p in got)
                     im = got[0][0]
-                    rows.append((k, n, im.width, im.height, len(got), f"{thumbnail_hash(got[0][1]):016x}", len(pixels), hashlib.sha256(pixels).hexdigest(), zlib.crc32(pixels[-64:]), *of, None, *[pixels] * with_pixels))
+                    hashes = [f"{thumbnail_hash(p):016x}" for _, p in got]
+                    seen = "+".join([hashes[0], *(f"{x.width}x{x.height}:{h}" for (x, _), h in zip(got[1:], hashes[1:], strict=True))])
+                    rows.append((k, n, im.width, im.height, len(got), seen, len(pixels), hashlib.sha256(pixels).hexdigest(), zlib.crc32(pixels[-64:]), *of, None, *[pixels] * with_pixels))
                 columns = list(zip(*rows, strict=True))
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=False)], names=names)
