@@ -2,10 +2,11 @@
 
 1. Lines are read for their quote level (leading ">" signs, with or without spaces between). A passage is a run of lines
    of one level; level 0 is the message's own text.
-2. Quoted passages are normalised (quote signs gone, lower case, letters and digits only) and hashed.
-3. Own passages are hashed the same way, as a whole, by paragraph and by line, and joined to the quoted ones by hash.
-   Of all originals the one to link to is: in the same conversation and before the quoting message if there is one
-   (else in another conversation), the longest equal passage, the latest turn before.
+2. Quoted passages are normalised (quote signs gone, lower case, letters and digits only) and hashed, as a whole, by
+   paragraph and by line.
+3. Own passages are hashed the same way and joined to the quoted ones by hash. Of all originals the one to link to is: in
+   the same conversation and before the quoting message if there is one (else in another conversation, the first that
+   isn't the quoting one), the longest equal passage, the latest turn before.
    A message replies to the original of its first passage of level 1 that is found (else of the lowest level found).
 4. Links within a conversation are followed to the thread's first message by repeated joins (each round doubles the
    distance), and messages are put in order: threads by their first message, in a thread by turn, so that a message
@@ -13,7 +14,8 @@
 
 Attribution lines ("X wrote:" directly before a quote) are taken off. The order number of a message is counted by
 ranges of (conversation, thread, turn), not in one window per conversation, so that one huge conversation is no single
-task. Passages shorter than ``LEAST_CHARS`` normalised characters aren't linked.
+task. Paragraphs and lines of a quote that are shorter than ``LEAST_CHARS`` normalised characters aren't linked on their
+own; a whole quote of fewer is linked within its conversation only.
 
 Edge cases: null or empty texts have no passage and stay as empty messages; rows of equal (conv_id, turn) each stay,
 ordered by role and text; rows without conv_id or turn are never linked and come first; an empty table gives no row;
@@ -76,8 +78,10 @@ def quoted_passages(parsed: DataFrame) -> DataFrame:
     """(conv_id, turn, place, level, hash, size) of quoted passages; only messages with a quote are looked at."""
     some = parsed.where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull() & F.exists("lines", lambda x: x.level > 0))
     rows = some.select("conv_id", "turn", F.posexplode(_passages()).alias("place", "p")).where("p.level > 0")
-    rows = rows.select("conv_id", "turn", "place", F.col("p.level").alias("level"), normal(F.col("p.body")).alias("plain"))
-    return rows.where(F.length("plain") >= LEAST_CHARS).select("conv_id", "turn", "place", "level", F.sha2("plain", 256).alias("hash"), F.length("plain").alias("size"))
+    whole, body = normal(F.col("p.body")), F.col("p.body")
+    parts = F.filter(F.transform(F.concat(F.split(body, r"\n\s*\n"), F.split(body, "\n")), normal), lambda x: F.length(x) >= LEAST_CHARS)
+    rows = rows.select("conv_id", "turn", "place", F.col("p.level").alias("level"), F.explode(F.array_distinct(F.concat(F.array(whole), parts))).alias("plain"))
+    return rows.where(F.length("plain") > 0).select("conv_id", "turn", "place", "level", F.sha2("plain", 256).alias("hash"), F.length("plain").alias("size"))
 
 
 def own_passages(parsed: DataFrame) -> DataFrame:
@@ -85,7 +89,7 @@ def own_passages(parsed: DataFrame) -> DataFrame:
     own = F.col("own")
     pieces = F.array_distinct(F.concat(F.array(own), F.split(own, r"\n\s*\n"), F.split(own, "\n")))
     rows = parsed.where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull()).select("conv_id", "turn", own_text(F.col("lines")).alias("own"))
-    rows = rows.select("conv_id", "turn", F.explode(F.transform(pieces, normal)).alias("plain")).where(F.length("plain") >= LEAST_CHARS)
+    rows = rows.select("conv_id", "turn", F.explode(F.transform(pieces, normal)).alias("plain")).where(F.length("plain") > 0)
     return rows.select("conv_id", "turn", F.sha2("plain", 256).alias("hash")).distinct()
 
 
@@ -94,14 +98,18 @@ def link(parsed: DataFrame) -> DataFrame:
     quotes = stage(quoted_passages(parsed), "quotes")
     if quotes.isEmpty():  # no quote, nothing to look for
         return quotes.select("conv_id", "turn", F.lit(None).cast("long").alias("to_conv"), F.lit(None).cast("long").alias("to_turn"), "level", "size")
-    # one original per hash and conversation before a turn would need a window; instead, of the same conversation the
-    # latest before, of other conversations the first: both are aggregations with partial sums
+    # of the same conversation the latest before, by a window over the turns of equal passages alone; of other
+    # conversations the first two, so that one is not the quoting one: aggregations with partial sums
     own = own_passages(parsed).join(quotes.select("hash").distinct(), "hash", "left_semi")
     own = stage(own, "own")
-    here = quotes.join(own.toDF("hash", "conv_id", "to_turn") if own.columns[0] == "hash" else own.select("conv_id", F.col("turn").alias("to_turn"), "hash"), ["hash", "conv_id"]).where("to_turn < turn")
+    turns = quotes.withColumn("own", F.lit(None).cast("long")).unionByName(own.select("conv_id", "turn", "hash", F.col("turn").alias("own")), allowMissingColumns=True)
+    before = Window.partitionBy("hash", "conv_id").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    here = turns.withColumn("to_turn", F.max("own").over(before)).where("own is null and to_turn is not null")
     here = here.groupBy("conv_id", "turn", "place", "level", "size").agg(F.max("to_turn").alias("to_turn")).withColumn("to_conv", F.col("conv_id"))
-    first = own.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("o"))
-    there = quotes.join(here.select("conv_id", "turn", "place").distinct(), ["conv_id", "turn", "place"], "left_anti").join(first, "hash").where(F.col("o.conv_id") != F.col("conv_id"))
+    first = stage(own.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("o")), "first")
+    second = own.join(first, "hash").where(F.col("conv_id") != F.col("o.conv_id")).groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("o2"))
+    first = first.join(second, "hash", "left")
+    there = quotes.where(F.col("size") >= LEAST_CHARS).join(here.select("conv_id", "turn", "place").distinct(), ["conv_id", "turn", "place"], "left_anti").join(first, "hash").withColumn("o", F.when(F.col("o.conv_id") != F.col("conv_id"), F.col("o")).otherwise(F.col("o2"))).where(F.col("o").isNotNull())
     there = there.select("conv_id", "turn", "place", "level", "size", F.col("o.turn").alias("to_turn"), F.col("o.conv_id").alias("to_conv"))
     found = here.select("conv_id", "turn", "place", "level", "size", "to_turn", "to_conv").unionByName(there)
     best = found.groupBy("conv_id", "turn").agg(F.min(F.struct((F.col("to_conv") != F.col("conv_id")).alias("far"), "level", (-F.col("size")).alias("less"), (-F.col("to_turn")).alias("late"), "place", "to_conv")).alias("m"))
