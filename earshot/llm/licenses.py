@@ -1,7 +1,9 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A block is a line of a text; its set is its distinct words. It matches a template when it holds at least ``THRESHOLD``
-of the template's distinct words.
+A block is a line of a text, or for one template, as notices are wrapped, a run of neighbouring lines without an empty one
+between: the last words of its first line, the first ones of its last line, each as many as the template has, and the
+lines between, together no longer than the template. Its set is its distinct words. It matches a template when it holds
+at least ``THRESHOLD`` of the template's distinct words.
 
 1. Words of the templates are ordered by how many documents of the whole corpus hold them, rare first; other words can't
    add to an overlap. That count is one pass and a grouped sum over a vocabulary of fixed size.
@@ -72,6 +74,28 @@ def _vocabulary(templates: dict[str, str]) -> list[bytes]:
     return sorted({w for t in templates.values() for w in words(t)})
 
 
+def runs_of(lines: list[list[bytes]], at: int, most: int) -> list[tuple[int, int, set[bytes]]]:
+    """(first, last, words) of the runs of two lines or more that hold line ``at`` and whose inner lines have ``most`` words
+    together at most; of runs with one first line the longest."""
+    out, first, before = [], at, 0
+    while first >= 0 and lines[first]:
+        if first < at:
+            before += len(lines[first + 1]) if first + 1 < at else 0
+            if before > most:
+                break
+        last, inner = at, before
+        while last + 1 < len(lines) and lines[last + 1]:
+            more = len(lines[last]) if last > first else 0
+            if inner + more > most:
+                break
+            inner, last = inner + more, last + 1
+        if last > first:
+            words = [*lines[first][-most:], *(w for x in lines[first + 1 : last] for w in x), *lines[last][:most]]
+            out.append((first, last, set(words)))
+        first -= 1
+    return out
+
+
 def document_frequencies(docs: DataFrame, vocabulary: list[bytes]) -> DataFrame:
     """(word, df): documents that hold each of these words."""
 
@@ -88,7 +112,8 @@ def document_frequencies(docs: DataFrame, vocabulary: list[bytes]) -> DataFrame:
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, phrases: dict[str, str] = PHRASES, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """Documents with what the phrases gave, and matches (row, doc_id, line, label, containment) of blocks."""
+    """Documents with what the phrases gave, and matches (row, doc_id, line, last, label, containment) of blocks,
+    which are lines or runs of lines from ``line`` to ``last``."""
     spark = docs.sparkSession
     vocabulary = _vocabulary(templates)
     df = {r.word: r.df for r in document_frequencies(docs, vocabulary).collect()}  # a row per word of the templates
@@ -96,6 +121,8 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, phrases: dict[s
     sets = {label: sorted(order[w] for w in set(words(t))) for label, t in templates.items()}
     least = {label: math.ceil(threshold * len(s) - 1e-9) for label, s in sets.items()}
     starts = {k for label, s in sets.items() for k in s[: len(s) - least[label] + 1]}
+    lengths = {label: len(words(t)) for label, t in templates.items()}
+    begins = {label: frozenset(w for w, k in order.items() if k in s[: len(s) - least[label] + 1]) for label, s in sets.items()}
     prefix_words = frozenset(w for w, k in order.items() if k in starts)
     index = spark.createDataFrame([(label, k, p, len(s), least[label], s) for label, s in sets.items() for p, k in enumerate(s[: len(s) - least[label] + 1])], "label string, word int, at int, size int, least int, template array<int>")
     spaced = {label: [b" " + w.encode() + b" " for w, x in phrases.items() if x == label] for label in set(phrases.values())}
@@ -112,25 +139,31 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, phrases: dict[s
                 at = [p for ps in found.values() for p in ps]
                 blocks = []
                 if not prefix_words.isdisjoint(every):
-                    for k, line in enumerate(lined.split(b"\n")):
-                        own = set(line.split())
+                    lines, runs = [line.split() for line in lined.split(b"\n")], {}
+                    for k, line in enumerate(lines):
+                        own = set(line)
                         if not own.isdisjoint(prefix_words):
-                            blocks.append({"line": k, "own": sorted(order[w] for w in own if w in order), "size": len(own)})
+                            blocks.append({"line": k, "last": k, "only": None, "own": sorted(order[w] for w in own if w in order), "size": len(own)})
+                            for label, some in begins.items():
+                                if not own.isdisjoint(some):
+                                    for i, j, held in runs_of(lines, k, lengths[label]):
+                                        runs[label, i, j] = held
+                    blocks += [{"line": i, "last": j, "only": label, "own": sorted(order[w] for w in held if w in order), "size": len(held)} for (label, i, j), held in runs.items()]
                 out.append((number, d, len(every), len(at), min(at, default=None), max(at, default=None), sorted(x for x, ps in found.items() if ps), blocks))
                 number += 1
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("line", pa.int32()), ("own", pa.list_(pa.int32())), ("size", pa.int32())]))]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("line", pa.int32()), ("last", pa.int32()), ("only", pa.string()), ("own", pa.list_(pa.int32())), ("size", pa.int32())]))]
             columns = zip(*out, strict=True) if out else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=["row", "doc_id", "n_words", "n_base", "first_word", "last_word", "base", "blocks"])
 
-    read = texts_of(docs).mapInArrow(rows, "row long, doc_id long, n_words long, n_base long, first_word long, last_word long, base array<string>, blocks array<struct<line: int, own: array<int>, size: int>>")
+    read = texts_of(docs).mapInArrow(rows, "row long, doc_id long, n_words long, n_base long, first_word long, last_word long, base array<string>, blocks array<struct<line: int, last: int, only: string, own: array<int>, size: int>>")
     read = stage(read, "blocks")
     blocks = read.select("row", "doc_id", F.explode("blocks").alias("b")).select("row", "doc_id", "b.*")
-    met = blocks.select("row", "doc_id", "line", "own", "size", F.posexplode("own").alias("here", "word")).join(F.broadcast(index.withColumnRenamed("size", "of")), "word")
+    met = blocks.select("row", "doc_id", "line", "last", "only", "own", "size", F.posexplode("own").alias("here", "word")).join(F.broadcast(index.withColumnRenamed("size", "of")), "word").where("only is null or only = label")
     # length; then what both have from the match on
     met = met.where(F.col("size") >= F.col("least")).where(1 + F.least(F.col("of") - F.col("at") - 1, F.size("own") - F.col("here") - 1) + F.least("at", "here") >= F.col("least"))
-    once = met.groupBy("row", "doc_id", "line", "label").agg(F.first("own").alias("own"), F.first("template").alias("template"), F.first("least").alias("least"))
+    once = met.groupBy("row", "doc_id", "line", "last", "label").agg(F.first("own").alias("own"), F.first("template").alias("template"), F.first("least").alias("least"))
     same = F.size(F.array_intersect("own", "template"))
-    matches = once.where(same >= F.col("least")).select("row", "doc_id", "line", "label", (same / F.size("template")).alias("containment"))
+    matches = once.where(same >= F.col("least")).select("row", "doc_id", "line", "last", "label", (same / F.size("template")).alias("containment"))
     return read.drop("blocks"), matches
 
 
