@@ -7,6 +7,7 @@ Shared folder
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from functools import reduce
@@ -40,6 +41,14 @@ def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Deletes the files of a table of ``stage`` that is done with."""
+    spark = df.sparkSession
+    for top in {os.path.dirname(x) for x in df.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(top)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def texts_of(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id and text alone (and the columns ``more``), a null text as the empty one; other columns are not read."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)

@@ -2,87 +2,59 @@
 
 Two documents link when 100 * |A and B| >= percent * |A or B|, A and B their sets of word shingles.
 
-1. One pass gives each document's set size and fingerprint; documents of equal sets are one class, which the smallest
-   doc_id stands for. The same pass counts shingles in a table of fixed size (2^20 counters, by hash).
-2. A second pass orders each set by (counter, hash), rare first, and emits its prefix: of any linked pair, both prefixes
-   hold a common shingle, whatever the counters are. Keys of one document alone are dropped.
-3. Candidates meet on a key within neighbouring bands of set sizes (length filter). The positional filter bounds the
+1. One pass gives each document's set size and the name of its set; documents of equal sets are one class.
+2. ``rare_shingles`` counts all shingles exactly and gives each class its shared shingles, rare first. What no other
+   document holds stands before them, so a class with too few shared shingles for any link is gone here.
+3. Prefixes: in the global order (frequency, hash) any linked pair has a common shingle among the first
+   n - ceil(percent * n / 100) + 1 of both sets. Keys of one class alone are dropped.
+4. Candidates meet on a key within neighbouring bands of set sizes (length filter). The positional filter bounds the
    overlap by what follows in both sets; the suffix filter bounds it by the counts of both sets in 32 ranges of hashes.
-   What is left is verified once per pair on the full sets.
-4. Links are followed in rounds. In the first rounds each group on a key meets one of the key's groups only; what is
-   linked then counts as one group. A star round without a new link is the last of its kind. The last round takes every pair of a key whose members are still apart. A group of
-   n near copies so costs about n verifications, not n^2, and no link between groups is lost.
-
-Shingles are compared by 64-bit hashes. Memory: a task holds one batch of texts; the counters and the filter of
-documents whose sets are needed have fixed sizes; no group is gathered as a whole (lists are cut into 512 members).
-
-Edge cases: without words or text the set is empty and links with nothing; rows of equal doc_id share their links; rows
-without doc_id get a null component; an empty table gives no row; other columns are not read.
+   What is left is verified once per pair on the shared shingles.
+5. Links are followed in rounds. In star rounds a class meets one class of another group on one of its keys; what is
+   linked then counts as one group. After a star round that finds few new links, or ``STAR_ROUNDS`` of them, the last round
+   takes every pair of a key whose members are still apart. A group of n near copies so costs about n verifications a
+   round, not n^2, and no link between groups is lost.
+
+Shingles are compared by hashes (see ``rare_shingles``); names of sets have 64 bits and are drawn anew where two
+different sets have one name. Memory: a task holds a batch of texts and a block or bucket of some million hashes; no group
+is gathered as a whole (lists are cut into 512 members).
+
+Edge cases: without words or text the set is empty and links with nothing; rows of equal doc_id share their links, so
+different texts of one doc_id are one component; rows without doc_id link with nothing and get a null component; rows that
+repeat are one class; ties of frequency are ordered by hash; a very long text is a set like any other (a block of its own);
+an empty table gives no row; other columns are not read.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, stage, table, texts_of
+from .common import components, dropped, stage, table, texts_of
 from .hashing import mix, shingle_sets
+from .rare_shingles import RANGES, set_class, shared_sets
 
-COUNTERS, CHUNKS = 1 << 20, 16
-FILTER_BITS = 1 << 23
-RANGES, LIST, LARGE = 32, 512, 32
-STAR_ROUNDS = 5
-
-
-def _summed(rows: DataFrame, combine: str = "add") -> np.ndarray:
-    """Adds (or unites) the tasks' tables of fixed size: rows of (chunk, data), zlib over uint32; to the driver as one."""
-
-    def total(batches):
-        acc: dict[int, np.ndarray] = {}
-        for b in batches:
-            for c, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(zlib.decompress(d), "<u4")
-                acc[c] = x.astype(np.uint64) if c not in acc else (acc[c] + x if combine == "add" else acc[c] | x)
-        for c, x in acc.items():
-            x = np.minimum(x, 0xFFFFFFFF).astype("<u4")
-            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([zlib.compress(x.tobytes(), 1)], pa.binary())], names=["chunk", "data"])
-
-    parts = rows.repartition("chunk").mapInArrow(total, "chunk int, data binary").collect()
-    found = {r.chunk: np.frombuffer(zlib.decompress(r.data), "<u4") for r in parts}
-    return np.concatenate([found[c] for c in sorted(found)]) if found else np.zeros(0, np.uint32)
-
-
-def _chunks(x: np.ndarray, names: list[str], fill: list) -> pa.RecordBatch:
-    """A task's table as rows; ``fill``: types of the other columns, which stay null."""
-    parts = np.split(x.astype("<u4"), CHUNKS)
-    columns = [pa.nulls(CHUNKS, t) for t in fill] + [pa.array(range(CHUNKS), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, names=names)
+LIST, LARGE = 512, 32
+STAR_ROUNDS, LITTLE = 5, 0.05
 
 
-def _sizes_and_counts(k: int):
-    names, kinds = ["doc_id", "n", "print", "chunk", "data"], [pa.int64(), pa.int64(), pa.binary()]
+def _named(k: int, seed: int):
+    """(doc_id, n, cls, print): size and name of each text's set, and another 64 bits to tell equal names apart."""
+    names = ["doc_id", "n", "cls", "print"]
 
     def rows(batches):
-        counts, one, any_ = np.zeros(COUNTERS, np.uint32), np.uint32(1), False  # `one` of another type is slow
         for b in batches:
-            ids, n, prints = b.column(0), [], []
+            n, cls, prints = [], [], []
             for h in shingle_sets(b.column(1).to_pylist(), k):
                 n.append(len(h))
-                if len(h):
-                    any_ = True
-                    np.add.at(counts, (h >> np.uint64(44)).astype(np.int64), one)
-                    with np.errstate(over="ignore"):
-                        prints.append(np.array([h.sum(dtype=np.uint64), mix(h ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64), len(h)], "<u8").tobytes())
-                else:
-                    prints.append(None)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=names)
-        if any_:
-            yield _chunks(counts, names, kinds)
+                cls.append(set_class(h, seed) if len(h) else None)
+                with np.errstate(over="ignore"):
+                    prints.append(int(mix(h ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)) if len(h) else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(prints, pa.int64())], names=names)
 
     return rows
 
@@ -92,84 +64,30 @@ def _least(n, percent: int):
     return (percent * n + 99) // 100
 
 
-def _prefixes(k: int, percent: int, counts):
-    def rows(batches):
-        level, seen = counts.value, set()
-        for b in batches:
-            out = []
-            for d, h in zip(b.column(0).to_pylist(), shingle_sets(b.column(1).to_pylist(), k), strict=True):
-                n = len(h)
-                if not n or d is None:
-                    continue
-                with np.errstate(over="ignore"):
-                    own = (n, int(h.sum(dtype=np.uint64)), int(h[0]))
-                if own in seen:  # its class has gone out from this task already
-                    continue
-                if len(seen) >= 200_000:
-                    seen.clear()
-                seen.add(own)
-                m = n - _least(n, percent) + 1
-                order = level[(h >> np.uint64(44)).astype(np.int64)]
-                if m < n:
-                    cut = np.partition(order, m - 1)[m - 1]
-                    few = np.flatnonzero(order <= cut)
-                    few = few[np.lexsort((h[few], order[few]))][:m]
-                else:
-                    few = np.lexsort((h, order))
-                out.append((d, n, h[few]))
-            if out:
-                sizes = [len(x) for _, _, x in out]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([x for *_, x in out]).view(np.int64)), pa.array(np.repeat(np.array([d for d, *_ in out], np.int64), sizes)), pa.array(np.repeat(np.array([n for _, n, _ in out], np.int32), sizes)), pa.array(np.concatenate([np.arange(s, dtype=np.int32) for s in sizes]))],
-                    names=["key", "doc", "n", "pos"],
-                )
-
-    return rows
-
-
-def _bits(ids: np.ndarray) -> np.ndarray:
-    return (mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(41)).astype(np.int64)
-
+def _prefixes(percent: int):
+    """(key, doc, n, pos) of the shared shingles in each set's prefix; pos counts what is not shared, too."""
 
-def _wanted(rows: DataFrame) -> np.ndarray:
-    """A filter of fixed size that passes every doc of ``rows`` (and few others)."""
-
-    def mark(batches):
-        x, any_ = np.zeros(FILTER_BITS // 32, np.uint32), False
-        for b in batches:
-            at = _bits(b.column(0).to_numpy())
-            np.bitwise_or.at(x, at >> 5, np.uint32(1) << (at & 31).astype(np.uint32))
-            any_ = any_ or len(at) > 0
-        if any_:
-            yield _chunks(x, ["chunk", "data"], [])
-
-    return _summed(rows.mapInArrow(mark, "chunk int, data binary"), "unite")
-
-
-def _full_sets(k: int, wanted):
     def rows(batches):
-        x = wanted.value
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1)
-            at = _bits(np.array([-1 if i is None else i for i in ids], np.int64))
-            take = [i for i in np.flatnonzero(x[at >> 5] >> (at & 31).astype(np.uint32) & 1) if ids[i] is not None] if len(x) else []
-            if take:
-                sets = list(shingle_sets(texts.take(pa.array(take)).to_pylist(), k))
-                ranges = [np.bincount((h >> np.uint64(59)).astype(np.int64), minlength=RANGES).astype("<u4").tobytes() for h in sets]
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in take], pa.int64()), pa.array(ranges, pa.binary()), pa.array([h.astype("<u8").tobytes() for h in sets], pa.binary())], names=["doc", "ranges", "hashes"])
+            n, cls = b.column(1).to_numpy(), b.column(0).to_numpy()
+            ids = [np.frombuffer(x.as_buffer(), "<i8") for x in b.column(2)]
+            alone = n - np.array([len(x) for x in ids], np.int64)
+            take = np.maximum(n - _least(n.astype(np.int64), percent) + 1 - alone, 0)
+            few = [x[:m] for x, m in zip(ids, take, strict=True)]
+            size = [len(x) for x in few]
+            pos = [np.arange(a, a + s, dtype=np.int32) for a, s in zip(alone, size, strict=True)]
+            if sum(size):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(few)), pa.array(np.repeat(cls, size)), pa.array(np.repeat(n, size), pa.int32()), pa.array(np.concatenate(pos))], names=["key", "doc", "n", "pos"])
 
     return rows
 
 
-def _enough(n: int, m: int, overlap: int, percent: int) -> bool:
-    return overlap > 0 and 100 * overlap >= percent * (n + m - overlap)
-
-
 def _suffix_filter(percent: int):
     def rows(batches):
         for b in batches:
             x = [np.frombuffer(b"".join(b.column(c).to_pylist()), "<u4").reshape(-1, RANGES).astype(np.int64) for c in (2, 3)]
-            most, n, m = np.minimum(*x).sum(axis=1), x[0].sum(axis=1), x[1].sum(axis=1)
+            most = np.minimum(*x).sum(axis=1)
+            n, m = (b.column(c).to_numpy().astype(np.int64) for c in (4, 5))
             yield b.select(["a", "b"]).filter(pa.array((most > 0) & (100 * most >= percent * (n + m - most))))
 
     return rows
@@ -179,11 +97,10 @@ def _verify(percent: int):
     def rows(batches):
         for b in batches:
             keep = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
+            for x, y, n, m in zip(b.column(2), b.column(3), b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True):
                 x, y = (np.frombuffer(z.as_buffer(), "<u8") for z in (x, y))
-                both = np.searchsorted(x, y)
-                same = int((x[np.minimum(both, len(x) - 1)] == y).sum()) if len(x) else 0
-                keep.append(_enough(len(x), len(y), same, percent))
+                same = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(same > 0 and 100 * same >= percent * (n + m - same))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return rows
@@ -191,88 +108,108 @@ def _verify(percent: int):
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of distinct pairs (a, b), those that link."""
-    few = sets.select("doc", "ranges")
-    near = pairs.join(few.toDF("a", "x"), "a").join(few.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(_suffix_filter(percent), "a long, b long")
-    near = stage(near, "near")
-    full = sets.select("doc", "hashes")
-    both = near.join(full.toDF("a", "x"), "a").join(full.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    few = sets.select("cls", "ranges", "n")
+    near = pairs.join(few.toDF("a", "x", "n"), "a").join(few.toDF("b", "y", "m"), "b").select("a", "b", "x", "y", "n", "m").mapInArrow(_suffix_filter(percent), "a long, b long")
+    full = sets.select("cls", "ids", "n")
+    both = near.join(full.toDF("a", "x", "n"), "a").join(full.toDF("b", "y", "m"), "b").select("a", "b", "x", "y", "n", "m")
     return both.mapInArrow(_verify(percent), "a long, b long")
 
 
+def _classes(texts: DataFrame, k: int) -> tuple[DataFrame, int]:
+    """(doc_id, n, cls) of every row, and the seed of the names."""
+    for seed in range(16):
+        named = stage(texts.mapInArrow(_named(k, seed), "doc_id long, n long, cls long, print long"), "named")
+        same = named.where("cls is not null").groupBy("cls").agg(F.min("print").alias("low"), F.max("print").alias("high"), F.min("n").alias("few"), F.max("n").alias("many"))
+        if same.where("low <> high or few <> many").isEmpty():
+            return named.select("doc_id", "n", "cls"), seed
+    raise RuntimeError("different sets keep getting equal names")
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``."""
     if not 0 < percent <= 100:
         raise ValueError("percent must be above 0 and at most 100")
-    spark = docs.sparkSession
     texts = texts_of(docs)
-    first = stage(texts.mapInArrow(_sizes_and_counts(k), "doc_id long, n long, print binary, chunk int, data binary"), "sizes")
-    sizes = first.where(F.col("chunk").isNull()).select("doc_id", "n", "print")
-    counts = _summed(first.where(F.col("chunk").isNotNull()).select("chunk", "data"))
-    # classes of equal sets
-    stands = sizes.where(F.col("print").isNotNull()).groupBy("print").agg(F.min("doc_id").alias("class"))
-    classes = stage(sizes.join(stands, "print", "left").select("doc_id", "n", F.coalesce("class", "doc_id").alias("class")), "classes")
-    # prefix rows on keys of two documents at least
-    level = spark.sparkContext.broadcast(counts if len(counts) else np.zeros(COUNTERS, np.uint32))
-    rows = texts.mapInArrow(_prefixes(k, percent, level), "key long, doc long, n int, pos int").repartition("key")
-    shared = rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
-    rows = stage(rows.join(shared.hint("shuffle_hash"), "key"), "prefix")
-    to_class = classes.where("doc_id is not null").select(F.col("doc_id").alias("doc"), "class").distinct()
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / percent) if percent < 100 else 1.0)).cast("int")
-    rows = rows.join(to_class, "doc").groupBy("key", F.col("class").alias("doc")).agg(F.min("n").alias("n"), F.min("pos").alias("pos")).withColumn("band", band)
-    rows = stage(rows, "prefix")
-    wanted = spark.sparkContext.broadcast(_wanted(rows.select("doc").distinct()))
-    sets = texts.mapInArrow(_full_sets(k, wanted), "doc long, ranges binary, hashes binary")
-    sets = stage(sets.dropDuplicates(["doc"]) if _repeats(classes) else sets, "sets")
-    # rounds
-    links = tried = None
-    group = None
-    step, last = 0, STAR_ROUNDS
-    while step <= last:
+    classes, seed = _classes(texts, k)
+    some = classes.where("cls is not null and doc_id is not null")
+    sets = shared_sets(texts, k, percent, classes.agg(F.sum("n").alias("n")).first().n or 0, seed)
+    sets = stage(sets, "shared").dropDuplicates(["cls"])
+    sets = stage(sets, "sets")
+    # prefix rows on keys of two classes at least; sizes that may link are in the same band or the next
+    rows = stage(sets.select("cls", "n", "ids").mapInArrow(_prefixes(percent), "key long, doc long, n int, pos int"), "prefix")
+    several = rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / percent) * (1 + 1e-9)) + 1e-7) if percent < 100 else F.col("n")
+    rows = stage(rows.join(several, "key", "left_semi").withColumn("band", band.cast("int")), "prefix")
+    # different texts of one doc_id are linked by it
+    more = some.groupBy("doc_id").agg(F.min("cls").alias("a"), F.max("cls").alias("z")).where("a < z").select("doc_id", "a")
+    links = stage(some.join(more, "doc_id").where("cls <> a").select("a", F.col("cls").alias("b")).distinct(), "links")
+    tried, group = None, None if links.isEmpty() else components(links)
+    step = most = 0
+    while step <= STAR_ROUNDS:
         now = rows.withColumn("group", F.col("doc")) if group is None else rows.join(group, F.col("doc") == F.col("node"), "left").select("key", "doc", "n", "pos", "band", F.coalesce("component", "doc").alias("group"))
         apart = now.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("key")
         now = stage(now.join(apart, "key", "left_semi"), "apart")
-        pairs = _star(now, step) if step < last else _across(now, percent)
-        pairs = pairs.where(_passes(F.col("n"), F.col("pos"), F.col("n2"), F.col("pos2"), percent))
-        pairs = pairs.select(F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b")).distinct()
+        pairs = _star(now, step, percent) if step < STAR_ROUNDS else _across(now, percent)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stage(pairs, "pairs")
+        pairs = stage(pairs.distinct(), "pairs")
         found = stage(_links(pairs, sets, percent), "links")
+        dropped(now)
         tried = pairs if tried is None else tried.unionByName(pairs)
-        none = found.isEmpty()
-        links = found if links is None else links.unionByName(found)
-        if not none:
-            group = stage(components(links), "groups")
-        # a star round that finds nothing is the last of its kind
-        step = last if none and step < last else step + 1
-    out = classes
+        n = found.count()
+        if n:
+            links = links.unionByName(found)
+            group = components(links)
+        # a star round that finds little is the last of its kind; the round after it takes every pair
+        most = max(most, n)
+        step = STAR_ROUNDS if step < STAR_ROUNDS and n <= most * LITTLE else step + 1
+    labels = classes.withColumn("label", F.col("cls"))
     if group is not None:
-        out = classes.join(group, F.col("class") == F.col("node"), "left").withColumn("class", F.coalesce("component", "class"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("class").alias("component_id"))
+        labels = classes.join(group, F.col("cls") == F.col("node"), "left").withColumn("label", F.coalesce("component", "cls"))
+    least = labels.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
+    out = labels.join(least, "label", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
 
 
-def _repeats(classes: DataFrame) -> bool:
-    n = classes.agg(F.count("doc_id").alias("n"), F.countDistinct("doc_id").alias("d")).first()
-    return n.n != n.d
+def _star(rows: DataFrame, step: int, percent: int) -> DataFrame:
+    """Each class picks three of its keys and meets, where it may link, the one class drawn for the key and its band.
 
+    Picked are the class's rarest key and two drawn by a hash of the round; the partner is, of the classes with the key at
+    the earliest place (the positional filter passes these most), the smallest, in later rounds one drawn by the hash. So
+    what is still apart tries other keys and others on every key that it shares.
+    """
+    drawn = F.xxhash64("key", "doc", F.lit(step)) if step else F.col("n").cast("long")
+    centre = rows.groupBy("key", "band").agg(F.min(F.struct(F.col("pos").alias("first"), drawn.alias("drawn"), "doc", "n", "group")).alias("c"))
+    what = F.struct("key", "band", "n", "pos", "group")
+    picks = [F.min_by(what, F.struct(F.col("pos").cast("long"), "key")), *(F.min_by(what, F.struct(F.xxhash64("key", F.lit(step), F.lit(i)), "key")) for i in range(2))]
+    own = rows.groupBy("doc").agg(F.array_distinct(F.array(*picks)).alias("p")).select("doc", F.explode("p").alias("p")).select("doc", "p.*")
+    both = own.join(centre, ["key", "band"]).where((F.col("group") != F.col("c.group")) & _passes(F.col("n"), F.col("pos"), F.col("c.n"), F.col("c.first"), percent))
+    return both.select(F.least("doc", "c.doc").alias("a"), F.greatest("doc", "c.doc").alias("b"))
 
-def _star(rows: DataFrame, step: int) -> DataFrame:
-    """Each group of a key and band meets one of its groups: a pair of one document of each.
 
-    In the first round, the smallest sets meet; later, documents that hold the key early (the positional filter passes
-    these most), drawn by a hash of the key and the round, so that what is still apart tries another partner on every
-    key that it shares.
-    """
-    drawn = F.struct(F.col("pos").alias("first"), F.xxhash64("key", "doc", F.lit(step)).alias("hash")) if step else F.lit(0)
-    one = rows.groupBy("key", "band", "group").agg(F.min(F.struct(drawn.alias("drawn"), "n", "doc", "pos")).alias("m"))
-    centre = one.groupBy("key", "band").agg(F.min(F.struct("m", "group")).alias("c"))
-    both = one.join(centre, ["key", "band"]).where(F.col("group") != F.col("c.group"))
-    same = both.select(F.col("m.doc").alias("doc"), F.col("m.n").alias("n"), F.col("m.pos").alias("pos"), F.col("c.m.doc").alias("doc2"), F.col("c.m.n").alias("n2"), F.col("c.m.pos").alias("pos2"))
-    return same
+def _met(percent: int):
+    """Of two lists, the pairs of different groups that pass the length and positional filters: (a, b)."""
+
+    def rows(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                same = batch.column(0)[i].as_py()
+                (d, n, p, g), (e, m, q, h) = ([x.values.field(f).to_numpy(zero_copy_only=False) for f in range(4)] for x in (batch.column(1)[i], batch.column(2)[i]))
+                n, p, m, q = (x.astype(np.int64) for x in (n, p, m, q))
+                big, small = np.maximum.outer(n, m), np.minimum.outer(n, m)
+                needed = -(-(big + small) * percent // (100 + percent))
+                fit = (big * percent <= small * 100) & (needed <= np.minimum.outer(n - p, m - q)) & np.not_equal.outer(g, h)
+                if same:
+                    fit &= np.less.outer(d, e)
+                x, y = np.nonzero(fit)
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(d[x], e[y])), pa.array(np.maximum(d[x], e[y]))], names=["a", "b"])
+
+    return rows
 
 
 def _across(rows: DataFrame, percent: int) -> DataFrame:
-    """Every pair of a key whose documents are in different groups and pass the length and positional filters.
+    """Every pair of a key whose classes are in different groups and pass the length and positional filters.
 
     Members of a key and band form lists of about ``LIST``: large groups lists of their own, small groups common ones.
     Lists meet lists, and the filters are applied while two lists are compared, so that only candidates become rows.
@@ -286,14 +223,11 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
     lists = stage(cut.groupBy(*at, "name").agg(F.collect_list(F.struct("doc", "n", "pos", "group")).alias("of")), "lists")
     left = lists.withColumn("at", F.explode(F.array(F.col("band"), F.col("band") + 1)))
     right = lists.select("key", F.col("band").alias("at"), F.col("name").alias("name2"), F.col("of").alias("of2"))
-    met = left.join(right, ["key", "at"]).where((F.col("at") > F.col("band")) | (F.col("name") < F.col("name2")) | ((F.col("name") == F.col("name2")) & (F.col("name.own") == 0)))
-    once = (F.col("at") > F.col("band")) | (F.col("name") != F.col("name2"))
-
-    def candidates(x):
-        fit = F.filter("of2", lambda y: (y.group != x.group) & (once | (x.doc < y.doc)) & _passes(x.n, x.pos, y.n, y.pos, percent))
-        return F.transform(fit, lambda y: F.struct(x.doc.alias("doc"), x.n.alias("n"), x.pos.alias("pos"), y.doc.alias("doc2"), y.n.alias("n2"), y.pos.alias("pos2")))
-
-    return met.select(F.explode(F.flatten(F.transform("of", candidates))).alias("p")).select("p.*")
+    same = (F.col("at") == F.col("band")) & (F.col("name") == F.col("name2"))
+    met = left.join(right, ["key", "at"]).where((F.col("at") > F.col("band")) | (F.col("name") < F.col("name2")) | (same & (F.col("name.own") == 0)))
+    # a list alone in its key and band, of one member, has no pair
+    met = met.where(~same | (F.size("of") > 1))
+    return met.select(same.alias("same"), "of", "of2").mapInArrow(_met(percent), "a long, b long")
 
 
 def _passes(n, pos, n2, pos2, percent: int) -> F.Column:
