@@ -1,37 +1,43 @@
 """Benchmark decontamination, in DataFrame and SQL functions alone.
 
-1. Windows. Of each benchmark item's word shingles the rarest are taken until what is left weighs less than the
-   threshold: a window that reaches the threshold holds one of them. The rarest pair of adjacent words in each of those
-   shingles is a key with its place in the item. Where a document holds a key, a window of the item's number of words is
-   laid so that the key has the item's place in it.
-2. Fingerprints. Each window and each item gets a 64-bit SimHash of its words. A window and an item are compared when
-   they have the same number of words and share one of the shingles of step 1, as all do that reach the threshold.
-   The radius follows from the threshold (``radius_for``; 25 bits at 0.8): of windows just at the
-   threshold one in a million is expected beyond it, by a binomial estimate for words that don't repeat and shingles of
-   equal weight; where the item's changed shingles weigh next to nothing, one in a thousand.
+1. Windows have the number of words of an item. Of each item's word shingles the rarest are taken until what is left
+   weighs less than the threshold: a window that reaches the threshold holds one of them. The rarest pair of adjacent
+   words in each of those shingles is a key with its place in the item, and windows are laid where a document holds a key,
+   so that the key has the item's place in it. No window at the threshold is lost by this; windows at every word would be
+   some hundred times as many (see README). Equal windows, of whatever documents, are looked at once.
+2. Fingerprints. Each window and each item gets a 64-bit SimHash of its words. Fingerprints are cut into blocks
+   (``_blocks``), so that any two within the radius differ by ``FLIPS`` bits at most in one of them; an item stands under all
+   such values of each block, a window under its own, and they meet in an equi-join on (words, block, value). All pairs
+   within the radius are found. The radius follows from the threshold (``radius_for``): of windows just at the threshold
+   one in a million is expected beyond it, by a binomial estimate for words that don't repeat and shingles of equal weight.
 3. Verification. The weighted Jaccard similarity of the two sets of word shingles, rare shingles of the benchmark
    weighing more, has to reach the threshold.
 
-The documents are read once, word by word in generated code, without a shuffle of texts; only windows are shuffled. The
-keys are broadcast when they are few (``BROADCAST_KEYS``, about 60 bytes each), else they meet the words in a shuffle
-join.
+The documents are read word by word in generated code, without a shuffle of texts, once for each ``BROADCAST_KEYS`` keys
+(about 60 bytes each) of the benchmark; only windows are shuffled.
 
 Edge cases: null or empty texts and items without words match nothing; items shorter than a shingle are one shingle of
-all their words; an item of one word is never searched for; equal items each give their hits; rows without doc_id give
-hits without doc_id; an empty documents or benchmark table gives no hit; other columns are not read.
+all their words, an item of one word is found wherever the word stands; equal items each give their hits; rows that repeat
+a doc_id, with equal or different texts, give the best hit of any of them; rows without doc_id give hits without doc_id,
+the best of all such rows; of equally similar windows the nearest fingerprint, then the first place counts; a very long
+text is read like any other (a row holds its words once); an empty documents or benchmark table gives no hit; other
+columns are not read.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import stage, table
 
-#: Most keys that are sent to every executor.
+#: Most keys that are sent to every executor at a time.
 BROADCAST_KEYS = 200_000
+#: Bits that may differ inside the one block that two near fingerprints share.
+FLIPS = 3
 GAP = r"[^\p{L}\p{N}]+"
 
 
@@ -74,7 +80,7 @@ def radius_for(threshold: float, loss: float = 1e-6) -> int:
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
-    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), words_of(F.col("text")).alias("words")).where(F.size("words") > 1).withColumn("n_words", F.size("words"))
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), words_of(F.col("text")).alias("words")).where(F.size("words") > 0).withColumn("n_words", F.size("words"))
 
 
 def _weights(items: DataFrame, k: int) -> DataFrame:
@@ -97,7 +103,7 @@ def _rare(items: DataFrame, weights: DataFrame, k: int, threshold: float) -> Dat
 
 def _keys(items: DataFrame, rare: DataFrame, k: int) -> DataFrame:
     """(word, next, back, n_words): adjacent words and how far before them the window begins."""
-    pairs = rare.select("item_id", "at", "n_words", "words", F.explode(F.sequence(F.lit(0), F.least(F.lit(k), F.col("n_words")) - 2)).alias("j"))
+    pairs = rare.where("n_words > 1").select("item_id", "at", "n_words", "words", F.explode(F.sequence(F.lit(0), F.least(F.lit(k), F.col("n_words")) - 2)).alias("j"))
     pairs = pairs.select("item_id", "at", "n_words", (F.col("at") + F.col("j")).alias("back"), F.get("words", F.col("at") + F.col("j")).alias("word"), F.get("words", F.col("at") + F.col("j") + 1).alias("next"))
     spread = items.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
     pairs = pairs.join(spread, "word").join(spread.toDF("next", "df2"), "next")
@@ -105,6 +111,38 @@ def _keys(items: DataFrame, rare: DataFrame, k: int) -> DataFrame:
     return best.select("k.*").distinct()
 
 
+def _windows(docs: DataFrame, keys: DataFrame, singles: DataFrame) -> DataFrame:
+    """(doc_id, start, n_words, w, own): the windows laid where a key stands; ``w`` names the words of a window.
+
+    The documents are read once for each ``BROADCAST_KEYS`` keys, which are sent to every executor.
+    """
+    words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.split(F.lower("text"), GAP).alias("words"))
+    rows = words.select("doc_id", "words", F.posexplode("words").alias("at", "word")).withColumn("next", F.get("words", F.col("at") + 1))
+    met = []
+    for keys_, on in ((keys, ["word", "next"]), (singles, ["word"])):
+        parts = -(-keys_.count() // BROADCAST_KEYS)
+        for i in range(parts):
+            some = keys_.where(F.pmod(F.xxhash64(*on), F.lit(parts)) == i) if parts > 1 else keys_
+            met.append(rows.join(F.broadcast(some), on).select("doc_id", "words", "at", F.explode("places").alias("p")))
+    if not met:
+        return words.where("false").select("doc_id", F.lit(0).alias("start"), F.lit(0).alias("n_words"), F.lit("").alias("w"), F.col("words").alias("own"))
+    start = F.greatest(F.col("at") - F.col("p.back"), F.lit(0))
+    own = F.slice("words", start + 1, F.col("p.n_words"))
+    found = reduce(DataFrame.unionByName, met).select("doc_id", start.alias("start"), F.col("p.n_words").alias("n_words"), own.alias("own"))
+    return found.withColumn("w", F.md5(F.array_join("own", " "))).groupBy("doc_id", "start", "n_words", "w").agg(F.first("own").alias("own"))
+
+
+def _blocks(print_, radius: int) -> tuple[F.Column, F.Column]:
+    """Of fingerprints: the values of their blocks, and masks of up to ``FLIPS`` flipped bits in a block.
+
+    Two fingerprints within the radius differ by ``FLIPS`` bits at most in one of radius // (FLIPS + 1) + 1 blocks or more.
+    """
+    n = max(radius // (FLIPS + 1) + 1, 5)
+    width = -(-64 // n)
+    values = F.array(*[F.shiftrightunsigned(print_, i * width).bitwiseAND(F.lit((1 << width) - 1)) for i in range(-(-64 // width))])
+    return values, F.expr(f"filter(sequence(0L, {(1 << width) - 1}L), x -> bit_count(x) <= {FLIPS})")
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8, radius: int | None = None) -> DataFrame:
     """(doc_id, item_id, start_word, n_words, hamming, similarity): for each document and item, its most similar window.
 
@@ -114,34 +152,34 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: flo
     items = stage(_items(benchmark), "items")
     weights = stage(_weights(items, k), "weights")
     rare = stage(_rare(items, weights, k, threshold), "rare")
-    keys = stage(_keys(items, rare, k), "keys")
-    few = keys.count() <= BROADCAST_KEYS
-    keys = keys.select(F.struct("word", "next").alias("pair"), "back", "n_words").groupBy("pair").agg(F.collect_set(F.struct("back", "n_words")).alias("places")).select("pair.*", "places")
-    # windows, laid where a key stands
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.split(F.lower("text"), GAP).alias("words")).select("doc_id", "words", F.posexplode("words").alias("at", "word")).withColumn("next", F.get("words", F.col("at") + 1))
-    met = rows.join(F.broadcast(keys) if few else keys, ["word", "next"])
-    met = met.select("doc_id", "words", "at", F.explode("places").alias("p"))
-    start = F.greatest(F.col("at") - F.col("p.back"), F.lit(0))
-    windows = met.select("doc_id", start.alias("start"), F.col("p.n_words").alias("n_words"), F.slice("words", start + 1, F.col("p.n_words")).alias("own"))
-    windows = windows.groupBy("doc_id", "start", "n_words").agg(F.first("own").alias("own"))
-    windows = stage(windows.withColumn("print", simhash(F.col("own"))), "windows")
-    # all fingerprints within the radius, of pairs that share a rare shingle of the item
-    known = items.select("item_id", "n_words", simhash(F.col("words")).alias("print2")).join(rare.select("item_id", F.xxhash64("shingle").alias("mark")), "item_id")
-    marks = F.array_distinct(F.transform(shingles_of(F.col("own"), k), lambda x: F.xxhash64(x)))
-    left = windows.select("doc_id", "start", "n_words", "print", F.explode(marks).alias("mark"))
-    near = left.join(known, ["n_words", "mark"]).withColumn("hamming", F.bit_count(F.col("print").bitwiseXOR(F.col("print2")))).where(F.col("hamming") <= radius)
-    near = near.groupBy("doc_id", "start", "n_words", "item_id").agg(F.min("hamming").alias("hamming"))
+    keys = _keys(items, rare, k).groupBy("word", "next").agg(F.collect_set(F.struct("back", "n_words")).alias("places"))
+    one = F.array(F.struct(F.lit(0).alias("back"), F.lit(1).alias("n_words")))
+    singles = items.where("n_words = 1").select(F.get("words", F.lit(0)).alias("word")).distinct().withColumn("places", one)
+    windows = stage(_windows(docs, stage(keys, "keys"), stage(singles, "singles")), "windows")
+    # each different window once, however many documents hold it
+    texts = windows.groupBy("w", "n_words").agg(F.first("own").alias("own"))
+    texts = stage(texts.withColumn("print", simhash(F.col("own"))), "texts")
+    # all fingerprints within the radius share a block up to few flipped bits
+    known = items.select("item_id", "n_words", simhash(F.col("words")).alias("print2"))
+    values, _ = _blocks(F.col("print"), radius)
+    values2, masks = _blocks(F.col("print2"), radius)
+    flipped = known.select("item_id", "n_words", "print2", F.posexplode(values2).alias("block", "v")).withColumn("mask", F.explode(masks)).select("item_id", "n_words", "print2", "block", F.col("v").bitwiseXOR(F.col("mask")).alias("value"))
+    left = texts.select("w", "n_words", "print", F.posexplode(values).alias("block", "value"))
+    hamming = F.bit_count(F.col("print").bitwiseXOR(F.col("print2")))
+    near = left.join(flipped, ["n_words", "block", "value"]).where(hamming <= radius).groupBy("w", "n_words", "item_id").agg(F.min(hamming).alias("hamming"))
     # exact weighted similarity
-    texts = near.join(windows.select(F.col("doc_id").alias("d"), F.col("start").alias("s"), F.col("n_words").alias("w"), "own"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("start") == F.col("s")) & (F.col("n_words") == F.col("w")))
-    shingles = texts.select("doc_id", "start", "n_words", "item_id", "hamming", F.explode(F.array_distinct(shingles_of(F.col("own"), k))).alias("shingle"))
+    own = near.join(texts.select("w", "n_words", "own"), ["w", "n_words"])
+    shingles = own.select("w", "n_words", "item_id", "hamming", F.explode(F.array_distinct(shingles_of(F.col("own"), k))).alias("shingle"))
     anywhere = weights.select("shingle", "weight").distinct()
     unseen = items.agg(F.log1p(F.count("*").cast("double")).alias("unseen"))
     weighed = shingles.join(anywhere, "shingle", "left").join(F.broadcast(unseen)).withColumn("weight", F.coalesce("weight", "unseen"))
     weighed = weighed.join(weights.select("item_id", "shingle", F.lit(1.0).alias("own")), ["item_id", "shingle"], "left")
-    both = weighed.groupBy("doc_id", "start", "n_words", "item_id", "hamming").agg(F.sum("weight").alias("window"), F.sum(F.col("weight") * F.coalesce("own", F.lit(0.0))).alias("both"))
+    both = weighed.groupBy("w", "n_words", "item_id", "hamming").agg(F.sum("weight").alias("window"), F.sum(F.col("weight") * F.coalesce("own", F.lit(0.0))).alias("both"))
     whole = weights.groupBy("item_id").agg(F.sum("weight").alias("whole"))
     scored = both.join(whole, "item_id").withColumn("similarity", F.col("both") / (F.col("window") + F.col("whole") - F.col("both"))).where(F.col("similarity") >= threshold - 1e-9)
-    best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", -F.col("hamming"), -F.col("start"), "n_words")).alias("m"))
+    scored = stage(scored.select("w", "n_words", "item_id", "hamming", "similarity"), "scored")
+    hits = windows.select("doc_id", "start", "n_words", "w").join(scored, ["w", "n_words"])
+    best = hits.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", -F.col("hamming"), -F.col("start"), "n_words")).alias("m"))
     return best.select("doc_id", "item_id", (-F.col("m.col3")).alias("start_word"), F.col("m.n_words").alias("n_words"), (-F.col("m.col2")).cast("int").alias("hamming"), F.round("m.similarity", 6).alias("similarity"))
 
 

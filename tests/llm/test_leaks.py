@@ -53,3 +53,40 @@ def test_edited_copies_down_to_the_threshold(spark):
     want = brute_leaks(docs, items)
     assert len(want) > 200
     assert {(r.doc_id, r.item_id) for r in decontamination.find_leaks(df, b).collect()} == want
+
+
+def test_equal_and_missing_ids_and_single_words(spark):
+    words = [f"a{i}" for i in range(30)]
+    item, other = " ".join(words), " ".join(f"b{i}" for i in range(30))
+    rows = [(1, other), (1, item), (None, "nothing of it"), (None, other), (None, item), (2, "x " * 3000 + item), (3, "the word itself"), (4, ""), (5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    b = spark.createDataFrame([(7, item), (8, other), (9, "ITSELF"), (10, item), (11, " "), (None, None)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.start_word) for r in decontamination.find_leaks(df, b).collect()}
+    assert got == {(d, i, 0) for d in (1, None) for i in (7, 8, 10)} | {(2, 7, 3000), (2, 10, 3000), (3, 9, 2)}
+
+
+def test_keys_in_several_passes(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "BROADCAST_KEYS", 3)
+    items = {i: " ".join(f"i{i}_{j}" for j in range(20)) for i in range(6)}
+    df = spark.createDataFrame([(i, "before " + t + " after") for i, t in items.items()], "doc_id long, text string")
+    b = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.find_leaks(df, b).collect()} == {(i, i) for i in items}
+
+
+def test_blocks_meet_within_the_radius(spark):
+    rng = np.random.default_rng(2)
+    for radius in (3, 12, 25):
+        a = rng.integers(-(2**63), 2**63 - 1, 200)
+        pairs = []
+        for x in a.tolist():
+            y = x
+            for bit in rng.choice(64, int(rng.integers(0, radius + 1)), replace=False).tolist():
+                y ^= (1 << bit) if bit < 63 else -(1 << 63)
+            pairs.append((x, y))
+        df = spark.createDataFrame(pairs, "a long, b long")
+        from pyspark.sql import functions as F
+
+        x, _ = decontamination._blocks(F.col("a"), radius)
+        y, _ = decontamination._blocks(F.col("b"), radius)
+        near = F.exists(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q)) <= decontamination.FLIPS), lambda t: t)
+        assert df.where(~near).count() == 0
