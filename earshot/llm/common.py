@@ -49,6 +49,13 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small(batches, rows: int = 1000):
+    """Arrow batches of ``rows`` rows at most, so that a task holds the Python objects of few texts at a time."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def texts_of(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id and text alone (and the columns ``more``), a null text as the empty one; other columns are not read."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)

@@ -66,13 +66,13 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
 
 
 def batches_of(texts: list[str], size: int = 1 << 17):
-    """Runs of texts of about ``size`` characters: (first, end)."""
+    """Runs of texts of about ``size`` characters, an empty text counted as 512: (first, end)."""
     start = total = 0
     for i, t in enumerate(texts):
         if i > start and total + len(t) > size:
             yield start, i
             start, total = i, 0
-        total += len(t)
+        total += max(len(t), 512)
     if start < len(texts):
         yield start, len(texts)
 

@@ -12,10 +12,12 @@ For each row and language the log posterior is the sum of
 
 The grouped tables have a row per host, domain, declaration or suffix; they meet the rows in ordinary joins (broadcast
 only where Spark measures them small, split where adaptive execution finds a hot host). Trigram counts come from a
-bounded sample of labelled rows (``MAX_TRAIN``, the smallest by a hash of doc_id); everything else covers all rows.
+bounded sample of labelled rows (``MAX_TRAIN``, the smallest by a hash of doc_id); the languages are those of the sample.
+Everything else covers all rows.
 
 Edge cases: a null or empty text has no likelihood of its own, the other evidence decides; with no evidence at all the
-corpus prior does, and ``n_grams`` is 0; equal rows get the same language; null hosts, declarations and suffixes each
+corpus prior does, and ``n_grams`` is 0; equal rows get the same language; of equal posteriors the language that is more
+frequent in the sample wins; a very long text weighs as ``MOST_GRAMS`` trigrams, all of it is read; null hosts, declarations and suffixes each
 count as a value of their own that says nothing; an empty table gives no row; without labelled rows there is no language
 and the result is "und".
 """
@@ -30,11 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage, table
+from .common import small, stage, table
 from .hashing import LOWER
 
 MAX_TRAIN = 6_000
-MOST_LANGUAGES = 64
 GRAM_BITS = 15
 TEMPER, MOST_GRAMS = 0.25, 400
 ALPHA, KAPPA = 1.0, 5.0
@@ -64,7 +65,7 @@ def grams(text: str) -> np.ndarray:
 
 
 def learn_text_model(docs: DataFrame, label: str = "lang", max_train: int = MAX_TRAIN) -> tuple[list[str], np.ndarray]:
-    """Languages (most frequent first, 64 at most), and log probabilities of trigrams, one row per language."""
+    """Languages (those of the sample, most frequent first), and log probabilities of trigrams, one row per language."""
     named = docs.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).alias("lang"))
     chosen = stage(named.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(max_train), "chosen")
 
@@ -82,10 +83,10 @@ def learn_text_model(docs: DataFrame, label: str = "lang", max_train: int = MAX_
     # max_train rows: bounded, whatever the table's size
     train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col(label).alias("lang")).join(F.broadcast(chosen), ["doc_id", "lang"])
     rows = train.select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    # at most 64 languages times 2^15 trigrams
+    # bounded by the sample: the trigrams of max_train texts
     rows = stage(rows, "grams")
-    languages = [r.lang for r in rows.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()]
-    got = rows.where(F.col("lang").isin(languages)).toPandas() if languages else None
+    languages = [r.lang for r in rows.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").collect()]
+    got = rows.toPandas() if languages else None
     logp = np.zeros((len(languages), 1 << GRAM_BITS), np.float32)
     for k, lang in enumerate(languages):
         own = got[got["lang"] == lang]
@@ -96,7 +97,8 @@ def learn_text_model(docs: DataFrame, label: str = "lang", max_train: int = MAX_
 
 
 def score_texts(rows: DataFrame, model: tuple[list[str], np.ndarray], is_html: bool) -> DataFrame:
-    """(id, declared, suffix, host, domain, n_grams, ll): the tempered log likelihoods per language, in the model's order.
+    """(id, declared, suffix, host, domain, n_grams, ll, post): the tempered log likelihoods per language, in the model's
+    order, and what they say alone.
 
     ``rows``: id, text, declared, suffix, host. Of a page, the declaration comes from its markup.
     """
@@ -104,7 +106,7 @@ def score_texts(rows: DataFrame, model: tuple[list[str], np.ndarray], is_html: b
 
     def score(batches):
         logp = sent.value
-        for b in batches:
+        for b in small(batches):
             declared, ll, size = b.column(2).to_pylist(), [], []
             for i, text in enumerate(b.column(1).to_pylist()):
                 if is_html:
@@ -113,19 +115,17 @@ def score_texts(rows: DataFrame, model: tuple[list[str], np.ndarray], is_html: b
                 size.append(len(g))
                 factor = TEMPER * min(1.0, MOST_GRAMS / max(len(g), 1))
                 ll.append((logp[:, g].sum(axis=1, dtype=np.float64) * factor) if len(g) else np.zeros(len(logp)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(declared, pa.string()), b.column(3), b.column(4), pa.array(size, pa.int64()), pa.array(ll, pa.list_(pa.float64()))], names=["id", "declared", "suffix", "host", "n_grams", "ll"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(declared, pa.string()), b.column(3), b.column(4), pa.array(size, pa.int64()), pa.array(ll, pa.list_(pa.float64())), pa.array(list(_softmax(np.array(ll))) if len(logp) else ll, pa.list_(pa.float64()))], names=["id", "declared", "suffix", "host", "n_grams", "ll", "post"])
 
-    out = rows.select("id", F.coalesce("text", F.lit("")).alias("text"), "declared", "suffix", "host").mapInArrow(score, "id long, declared string, suffix string, host string, n_grams long, ll array<double>")
+    out = rows.select("id", F.coalesce("text", F.lit("")).alias("text"), "declared", "suffix", "host").mapInArrow(score, "id long, declared string, suffix string, host string, n_grams long, ll array<double>, post array<double>")
     parts = F.split("host", r"\.")
     domain = F.when(F.size(parts) > 2, F.array_join(F.slice(parts, -2, 2), ".")).otherwise(F.col("host"))
     return out.withColumn("domain", domain)
 
 
-def _softmax(x) -> F.Column:
-    top = F.array_max(x)
-    e = F.transform(x, lambda v: F.exp(v - top))
-    total = F.aggregate(e, F.lit(0.0), lambda a, v: a + v)
-    return F.transform(e, lambda v: v / total)
+def _softmax(x: np.ndarray) -> np.ndarray:
+    e = np.exp(x - x.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
 
 
 def _sums(rows: DataFrame, key: str, n: int) -> DataFrame:
@@ -133,50 +133,62 @@ def _sums(rows: DataFrame, key: str, n: int) -> DataFrame:
     return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.array(*[F.sum(F.get("post", F.lit(i))) for i in range(n)]).alias(f"{key}_n"))
 
 
+def _dense(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``n`` numbers, 0 where the column is null; where it isn't."""
+    known = column.is_valid().to_numpy(zero_copy_only=False)
+    out = np.zeros((len(column), n))
+    out[known] = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+    return out, known
+
+
+def _fused(languages: list[str], total: np.ndarray, told: int):
+    """From (id, ll, post, n_grams, declared, suffix, host) and the sums of the row's keys to the posterior."""
+    n = len(languages)
+    prior = (total + ALPHA) / (told + ALPHA * n)
+    names = pa.array(languages, pa.string())
+
+    def rows(batches):
+        for b in batches:
+            ll, post = (_dense(b.column(c), n)[0] for c in ("ll", "post"))
+            some = b.column("n_grams").to_numpy() > 0
+            own = post * some[:, None]
+            mine = own.sum(axis=1, keepdims=True)
+
+            def share(all_, above):
+                return (np.maximum(all_ - own, 0) + KAPPA * above) / (np.maximum(all_.sum(axis=1, keepdims=True) - mine, 0) + KAPPA)
+
+            host = share(_dense(b.column("host_n"), n)[0], share(_dense(b.column("domain_n"), n)[0], prior))
+            named = b.column("host").is_valid().to_numpy(zero_copy_only=False)[:, None]
+            score = ll + np.log(np.where(named, host, prior))
+            for key in ("declared", "suffix"):
+                all_, known = _dense(b.column(f"{key}_n"), n)
+                seen = np.maximum(all_ - own, 0) + ALPHA * all_.sum(axis=1, keepdims=True) / max(told, 1)
+                score += np.where(known[:, None], np.log(np.maximum(seen, 1e-9) / (total + ALPHA)), 0)
+            p = _softmax(score) if len(score) else score
+            lang = names.take(pa.array(p.argmax(axis=1)))
+            text = pa.array([x if y else "und" for x, y in zip(names.take(pa.array(post.argmax(axis=1))).to_pylist(), some, strict=True)], pa.string())
+            columns = [b.column("id"), lang, pa.array(p.max(axis=1)), text, *(b.column(c) for c in ("declared", "suffix", "host", "n_grams")), pa.array(list(p), pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "lang", "confidence", "text_lang", "declared", "suffix", "host", "n_grams", "posterior"])
+
+    return rows
+
+
 def fuse(scored: DataFrame, languages: list[str]) -> DataFrame:
     """(id, lang, confidence, text_lang, declared, suffix, host, n_grams, posterior) of every scored row."""
     n = len(languages)
     if not n:
         none = F.array().cast("array<double>")
         return scored.select("id", F.lit("und").alias("lang"), F.lit(0.0).alias("confidence"), F.lit("und").alias("text_lang"), "declared", "suffix", "host", "n_grams", none.alias("posterior"))
-    first = stage(scored.withColumn("post", _softmax(F.col("ll"))), "scored")
+    first = stage(scored, "scored")
     # the corpus prior, one row; rows without text say nothing about it
     told = first.where("n_grams > 0")
     whole = told.agg(*[F.coalesce(F.sum(F.get("post", F.lit(i))), F.lit(0.0)).alias(f"t{i}") for i in range(n)], F.count("*").alias("m")).first()
-    total = [whole[f"t{i}"] for i in range(n)]
-    prior = [(t + ALPHA) / (whole.m + ALPHA * n) for t in total]
+    total = np.array([whole[f"t{i}"] for i in range(n)])
     rows = first
     for key in ("declared", "suffix", "host", "domain"):
         rows = rows.join(_sums(told, key, n), key, "left")
-    own = F.when(F.col("n_grams") > 0, F.col("post")).otherwise(F.array(*[F.lit(0.0)] * n))
-
-    def at(column, i):
-        return F.coalesce(F.get(column, F.lit(i)), F.lit(0.0))
-
-    def everything(column):
-        return sum((at(column, i) for i in range(1, n)), at(column, 0))
-
-    rows = rows.withColumn("own", own)
-    mine, domain_all, host_all = everything("own"), everything("domain_n"), everything("host_n")
-    fused = []
-    for i in range(n):
-        domain = (F.greatest(at("domain_n", i) - at("own", i), F.lit(0.0)) + KAPPA * prior[i]) / (F.greatest(domain_all - mine, F.lit(0.0)) + KAPPA)
-        host = (F.greatest(at("host_n", i) - at("own", i), F.lit(0.0)) + KAPPA * domain) / (F.greatest(host_all - mine, F.lit(0.0)) + KAPPA)
-        score = F.get("ll", F.lit(i)) + F.log(F.when(F.col("host").isNull(), F.lit(prior[i])).otherwise(host))
-        for key in ("declared", "suffix"):
-            all_ = everything(f"{key}_n")
-            share = all_ / max(float(whole.m), 1.0)
-            seen = F.greatest(at(f"{key}_n", i) - at("own", i), F.lit(0.0)) + ALPHA * share
-            score = score + F.when(F.col(f"{key}_n").isNull(), F.lit(0.0)).otherwise(F.log(F.greatest(seen, F.lit(1e-9)) / (F.lit(total[i] + ALPHA))))
-        fused.append(score)
-    rows = rows.withColumn("posterior", _softmax(F.array(*fused)))
-    names = F.array(*[F.lit(x) for x in languages])
-
-    def best(column):
-        return F.element_at(names, F.array_position(F.col(column), F.array_max(column)).cast("int"))
-
-    text_lang = F.when(F.col("n_grams") > 0, best("post")).otherwise(F.lit("und"))
-    return rows.select("id", best("posterior").alias("lang"), F.array_max("posterior").alias("confidence"), text_lang.alias("text_lang"), "declared", "suffix", "host", "n_grams", "posterior")
+    rows = rows.select("id", "ll", "post", "n_grams", "declared", "suffix", "host", "declared_n", "suffix_n", "host_n", "domain_n")
+    return rows.mapInArrow(_fused(languages, total, whole.m), "id long, lang string, confidence double, text_lang string, declared string, suffix string, host string, n_grams long, posterior array<double>")
 
 
 def address(url) -> tuple[F.Column, F.Column]:

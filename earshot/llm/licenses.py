@@ -63,11 +63,12 @@ def words(text: str) -> list[bytes]:
 
 def _places(flat: bytes, phrase: bytes) -> list[int]:
     """Starts, in words, of the phrase in words joined by single spaces (a space before and after)."""
-    out, at = [], flat.find(phrase)
+    out, n, before, at = [], 0, 0, flat.find(phrase)
     while at >= 0:
-        out.append(at)
-        at = flat.find(phrase, at + 1)
-    return [flat.count(b" ", 0, x) for x in out]
+        n += flat.count(b" ", before, at)
+        out.append(n)
+        before, at = at, flat.find(phrase, at + 1)
+    return out
 
 
 def _vocabulary(templates: dict[str, str]) -> list[bytes]:

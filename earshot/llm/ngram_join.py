@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, dropped, stage, table, texts_of
+from .common import components, dropped, small, stage, table, texts_of
 from .hashing import mix, shingle_sets
 from .rare_shingles import RANGES, set_class, shared_sets
 
@@ -47,7 +47,7 @@ def _named(k: int, seed: int):
     names = ["doc_id", "n", "cls", "print"]
 
     def rows(batches):
-        for b in batches:
+        for b in small(batches):
             n, cls, prints = [], [], []
             for h in shingle_sets(b.column(1).to_pylist(), k):
                 n.append(len(h))

@@ -3,14 +3,16 @@
 Indicators of word n-grams (single words, pairs) and of byte groups of a text's shape are hashed to a fixed number of
 features. Each is scaled by the log ratio of its smoothed counts in the two classes, counted by a grouped aggregation; a
 linear model with hinge loss is fitted on the scaled indicators by dual coordinate descent; a logistic curve, fitted on
-rows that the descent has not seen, turns its margin into a score.
+a quarter of the rows that neither the counts nor the descent have seen, turns its margin into a score.
 
 Labels are learnt from rows whose crc32(doc_id as text) mod 5 is not 0, at most ``MAX_TRAIN`` of them (the smallest by a
 hash of doc_id): the one bounded sample here, a parameter. Every row of the table is scored, on its whole text.
 
 Edge cases: a null or empty text has no indicator and gets the score of the intercept; labels that are null or whose
-document is missing are left out; a doc_id labelled twice counts once; without labels of both classes every score is
-the share of label 1 (0.5 without labels); equal rows get equal scores; other columns are not read.
+document is missing are left out; a doc_id labelled twice counts once, with the smaller label; of different texts of one
+doc_id the smallest is learnt from; without labels of both classes every score is the share of label 1 (0.5 without
+labels); equal rows get equal scores, a score of exactly the threshold is predicted as 1; a very long text is hashed in a
+run of its own; other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage, table, texts_of
+from .common import small, stage, table, texts_of
 from .hashing import batches_of, mix, spans, word_hashes
 
 MAX_TRAIN = 8_000
@@ -127,13 +129,16 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train:
     chosen = stage(own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train), "chosen")
 
     def rows(batches):
-        for b in batches:
+        for b in small(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(list(features_of(b.column(1).to_pylist())), pa.list_(pa.int32()))], names=["doc_id", "y", "features"])
 
     # max_train rows of 12 bytes: bounded, whatever the table's size
-    train = texts_of(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").mapInArrow(rows, "doc_id long, y int, features array<int>")
-    train = stage(train.dropDuplicates(["doc_id"]), "train")
-    counts = train.select("y", F.explode("features").alias("f")).groupBy("f").agg(F.sum("y").alias("up"), F.count("*").alias("n"))
+    train = texts_of(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    train = stage(train.select("doc_id", "text", "y").mapInArrow(rows, "doc_id long, y int, features array<int>"), "train")
+    # a quarter is kept for the curve alone, by a hash of doc_id
+    unseen = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1)), F.lit(4)) == 0
+    train = train.withColumn("kept", unseen.cast("int"))
+    counts = train.where("kept = 0").select("y", F.explode("features").alias("f")).groupBy("f").agg(F.sum("y").alias("up"), F.count("*").alias("n"))
 
     def fit(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
         part = part.sort_by([("doc_id", "ascending")])
@@ -149,17 +154,17 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train:
         down = all_ - up
         ratio = np.log((up / up.sum()) / (down / down.sum()))
         sign = labels_ * 2.0 - 1
-        third = np.arange(len(feats)) % 4 == 0
-        w, bias = descend([x for x, t in zip(feats, third, strict=True) if not t], sign[~third], ratio)
-        curve = logistic_curve(margins([x for x, t in zip(feats, third, strict=True) if t], w, ratio**2, bias), labels_[third])
+        kept = part.column("kept").to_numpy() == 1
+        w, bias = descend([x for x, t in zip(feats, kept, strict=True) if not t], sign[~kept], ratio)
+        curve = logistic_curve(margins([x for x, t in zip(feats, kept, strict=True) if t], w, ratio**2, bias), labels_[kept])
         return pa.table({"w": pa.array([w.astype("<f4").tobytes()], pa.binary()), "norm": pa.array([(ratio**2).astype("<f4").tobytes()], pa.binary()), "bias": [float(bias)], "a": [float(curve[0])], "b": [float(curve[1])]})
 
     share = train.agg(F.count("*").alias("n"), F.sum("y").alias("up")).first()
     n, up = share.n or 0, share.up or 0
     if up in (0, n):
         return {"w": np.zeros(FEATURES, np.float32), "norm": np.zeros(FEATURES, np.float32), "bias": 0.0, "a": 0.0, "b": 0.0 if not n else 30.0 if up else -30.0}
-    empty = "cast(null as long) doc_id", "cast(null as int) y", "cast(null as array<int>) features"
-    both = train.selectExpr("0 g", "doc_id", "y", "features", "cast(null as int) f", "cast(null as long) up", "cast(null as long) n").unionByName(counts.selectExpr("0 g", *empty, "f", "up", "n"))
+    empty = "cast(null as long) doc_id", "cast(null as int) y", "cast(null as array<int>) features", "cast(null as int) kept"
+    both = train.selectExpr("0 g", "doc_id", "y", "features", "kept", "cast(null as int) f", "cast(null as long) up", "cast(null as long) n").unionByName(counts.selectExpr("0 g", *empty, "f", "up", "n"))
     m = both.groupBy("g").applyInArrow(fit, "w binary, norm binary, bias double, a double, b double").first()
     return {"w": np.frombuffer(m.w, "<f4"), "norm": np.frombuffer(m.norm, "<f4"), "bias": m.bias, "a": m.a, "b": m.b}
 
@@ -170,7 +175,7 @@ def score(docs: DataFrame, model: dict, threshold: float = 0.3) -> DataFrame:
 
     def rows(batches):
         m = sent.value
-        for b in batches:
+        for b in small(batches):
             x = margins(features_of(b.column(1).to_pylist()), m["w"], m["norm"], m["bias"])
             s = 1 / (1 + np.exp(-np.clip(m["a"] * x + m["b"], -30, 30)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], names=["doc_id", "score"])

@@ -17,7 +17,8 @@ ranges of (conversation, thread, turn), not in one window per conversation, so t
 task. Paragraphs and lines of a quote that are shorter than ``LEAST_CHARS`` normalised characters aren't linked on their
 own; a whole quote of fewer is linked within its conversation only.
 
-Edge cases: null or empty texts have no passage and stay as empty messages; rows of equal (conv_id, turn) each stay,
+Edge cases: null or empty texts have no passage and stay as empty messages; a very long quote is read line by line and
+hashed once per line, paragraph and run; rows of equal (conv_id, turn) each stay,
 ordered by role and text; rows without conv_id or turn are never linked and come first; an empty table gives no row;
 other columns are not read.
 """
@@ -56,16 +57,14 @@ def parse(messages: DataFrame) -> DataFrame:
 
 def _passages() -> F.Column:
     """Runs of lines of one level: array of (level, body), bodies joined by newlines."""
-    empty = F.array().cast("array<struct<level:int,body:string>>")
+    n, level = F.size("lines"), F.col("lines.level")
+    starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(level, i) != F.get(level, i - 1)))
 
-    def add(acc, x):
-        last = F.element_at(acc, -1)
-        more = F.struct(last.level.alias("level"), F.concat(last.body, F.lit("\n"), x.body).alias("body"))
-        new = F.struct(x.level.cast("int").alias("level"), x.body.alias("body"))
-        same = (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1)).level == x.level)
-        return F.when(same, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(more))).otherwise(F.concat(acc, F.array(new)))
+    def run(first, place):
+        end = F.coalesce(F.get(starts, place + 1), n)
+        return F.struct(F.get(level, first).alias("level"), F.array_join(F.slice(F.col("lines.body"), first + 1, end - first), "\n").alias("body"))
 
-    return F.aggregate("lines", empty, add)
+    return F.transform(starts, run)
 
 
 def own_text(lines) -> F.Column:
@@ -77,6 +76,7 @@ def own_text(lines) -> F.Column:
 def quoted_passages(parsed: DataFrame) -> DataFrame:
     """(conv_id, turn, place, level, hash, size) of quoted passages; only messages with a quote are looked at."""
     some = parsed.where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull() & F.exists("lines", lambda x: x.level > 0))
+    some = some.select("conv_id", "turn", "lines")
     rows = some.select("conv_id", "turn", F.posexplode(_passages()).alias("place", "p")).where("p.level > 0")
     whole, body = normal(F.col("p.body")), F.col("p.body")
     parts = F.filter(F.transform(F.concat(F.split(body, r"\n\s*\n"), F.split(body, "\n")), normal), lambda x: F.length(x) >= LEAST_CHARS)

@@ -194,7 +194,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, kind:
         if doc_ids:
             yield flush()
 
-    ordered = texts_of(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = texts_of(docs).repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(segments, SEGMENTS).write.option("compression", "none").parquet(path)
 
 

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .common import small
 from .hashing import mix, shingle_sets
 
 BLOCK, BUCKET, HOT, MOST_DOCS = 2_000_000, 2_000_000, 64, 60_000
@@ -95,7 +96,7 @@ def _deal(k: int, bits: int, seed: int):
 
     def rows(batches):
         block, sets, classes, size, seen = TaskContext.get().partitionId() << 32, [], [], 0, set()
-        for b in batches:
+        for b in small(batches):
             for d, h in zip(b.column(0).to_pylist(), shingle_sets(b.column(1).to_pylist(), k), strict=True):
                 if d is None or not len(h):
                     continue
