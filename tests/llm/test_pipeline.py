@@ -35,3 +35,17 @@ def test_odd_rows(spark):
             out = stage(step(spark, df, SF), name)
             assert name == "packing" or out.columns == df.columns
             df = out
+
+
+def test_repeated_and_missing_ids(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("extra", F.lit("kept")).where("doc_id < 60")
+    first = docs.orderBy("doc_id").first()
+    more = docs.where(F.col("doc_id") == first.doc_id).withColumn("text", F.concat(F.lit("zz "), "text"))
+    odd = docs.unionByName(docs.where(F.col("doc_id") == first.doc_id)).unionByName(more).unionByName(more.withColumn("doc_id", F.lit(None).cast("long")))
+    once = pipeline.near_duplicate_stage(spark, odd.where("doc_id is not null"), SF)
+    rows = once.collect()
+    assert once.columns == docs.columns and len({r.doc_id for r in rows}) == len(rows) and {r.extra for r in rows} == {"kept"}
+    assert [r.text for r in rows if r.doc_id == first.doc_id] == [first.text]
+    assert pipeline.language_stage(spark, odd, SF).where("doc_id is null").count() == 0
