@@ -6,8 +6,14 @@
 4. decontamination: documents that hold a benchmark item go.
 5. packing: token ids of what is left, in sequences of 2,048.
 
-Stages 1 to 4 return the columns of documents. A stage writes the ids that it rejects as a table of its own and
-anti-joins it; rows without doc_id are never rejected, as no decision can name them.
+Stages 1 to 4 return the columns of documents, those that they don't know included. A stage writes the ids that it rejects
+as a table of its own and anti-joins it.
+
+Edge cases: rows without doc_id go in stage 1, as no later decision could name them; a null or empty text has no language,
+so it goes in stage 1, too; of rows that repeat a doc_id, with equal or different texts, one stays (the smallest by text,
+then by the other columns) in stage 3, and the decisions of the other stages on any of them hold for all; a score of
+exactly the quality threshold stays; very long texts are read whole; null labels, sources and items are left out of what
+is learnt; an empty table stays empty through all stages.
 """
 
 from __future__ import annotations
@@ -31,10 +37,20 @@ def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     return docs.join(ids, "doc_id", "left_anti").select(*docs.columns)
 
 
+def _one_of_each_id(docs: DataFrame) -> DataFrame:
+    """Of rows that repeat a doc_id, the smallest; texts are shuffled of such rows alone."""
+    ids = stage(docs.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"), "repeated")
+    if ids.isEmpty():
+        return docs
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    least = docs.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *rest)).alias("row"))
+    return docs.join(ids, "doc_id", "left_anti").unionByName(least.select("doc_id", "row.*").select(*docs.columns))
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     told = language_id.identify_documents(docs)
     bad = (F.col("n_grams") == 0) | (F.col("confidence") < LEAST_CONFIDENCE) | ~F.col("lang").isin(*LANGUAGES)
-    return _without(docs, told.where(bad).select(F.col("id").alias("doc_id")))
+    return _without(docs.where("doc_id is not null"), told.where(bad).select(F.col("id").alias("doc_id")))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +59,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, ngram_join.jaccard_components(docs, k=5, percent=80).where("component_id <> doc_id"))
+    return _one_of_each_id(_without(docs, ngram_join.jaccard_components(docs, k=5, percent=80).where("component_id <> doc_id")))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
