@@ -7,11 +7,14 @@ Shared folder
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,6 +57,14 @@ def small(batches, rows: int = 1000):
     for b in batches:
         for i in range(0, b.num_rows, rows):
             yield b.slice(i, rows)
+    give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: a Python worker lives on after its task, beside the executor's JVM."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def texts_of(docs: DataFrame, *more: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, texts_of
+from .common import small, table, texts_of
 from .tokens import encoder
 
 
@@ -135,7 +135,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, kind: str = "word_end
                 names.append("ids")
             return pa.RecordBatch.from_arrays(columns, names=names)
 
-        for b in batches:
+        for b in small(batches):
             keys, prompts = b.column(0).to_pylist(), b.column(2).to_pylist()
             found = []
             for key, ids, k in zip(keys, enc.encode(b.column(1).to_pylist()), prompts, strict=True):

@@ -142,7 +142,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train:
 
     def fit(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
         part = part.sort_by([("doc_id", "ascending")])
-        is_row = np.array([x is not None for x in part.column("features").to_pylist()])
+        is_row = part.column("features").is_valid().to_numpy()
         table_ = part.filter(pa.array(~is_row))
         part = part.filter(pa.array(is_row))
         labels_ = part.column("y").to_numpy().astype(np.int64)

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import running_offsets, shared_dir, texts_of
+from .common import running_offsets, shared_dir, small, texts_of
 from .tokens import encoder
 
 SCALE_BITS = 20
@@ -183,7 +183,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, kind:
             data = pack_segment(doc_ids, [len(x) for x in arrays], ids)
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seg], pa.int32()), pa.array([len(doc_ids)], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([data], pa.binary())], names=["part", "seg", "n_docs", "n_ids", "segment"])
 
-        for b in batches:
+        for b in small(batches):
             for d, ids in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist()), strict=True):
                 doc_ids.append(d)
                 arrays.append(np.append(ids, np.uint32(end_id)))
