@@ -6,18 +6,26 @@ import math
 
 from pyspark.sql import functions as F
 
-#: Metres per degree of latitude; WGS84 semi-major axis and squared eccentricity.
-METRES_PER_DEGREE = 111320.0
+#: The series of metres per degree of latitude and of longitude; WGS84 semi-major axis and squared eccentricity.
+LAT_SERIES, LON_SERIES = (111132.92, -559.82, 1.175), (111412.84, -93.5)
 WGS84_A, WGS84_E2 = 6378137.0, 6.69437999014e-3
 
 
+def metres_per_degree(lat0: float) -> tuple[float, float]:
+    """Of latitude and of longitude, at a latitude."""
+    r = math.radians(lat0)
+    return LAT_SERIES[0] + LAT_SERIES[1] * math.cos(2 * r) + LAT_SERIES[2] * math.cos(4 * r), LON_SERIES[0] * math.cos(r) + LON_SERIES[1] * math.cos(3 * r)
+
+
 def to_local_flat(lat, lon, lat0: float, lon0: float) -> tuple[F.Column, F.Column]:
     """East and north of the origin, in metres."""
-    return (lon - F.lit(lon0)) * METRES_PER_DEGREE * F.cos(F.radians(F.lit(lat0))), (lat - F.lit(lat0)) * METRES_PER_DEGREE
+    north, east = metres_per_degree(lat0)
+    return (lon - F.lit(lon0)) * east, (lat - F.lit(lat0)) * north
 
 
 def to_geo_flat(x, y, lat0: float, lon0: float) -> tuple[F.Column, F.Column]:
-    return y / METRES_PER_DEGREE + lat0, x / (METRES_PER_DEGREE * math.cos(math.radians(lat0))) + lon0
+    north, east = metres_per_degree(lat0)
+    return y / north + lat0, x / east + lon0
 
 
 def to_ecef(lat, lon, alt) -> tuple[F.Column, F.Column, F.Column]:

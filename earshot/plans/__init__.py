@@ -27,6 +27,6 @@ def query(name: str, sql: str | None = None):
 
 
 def registered() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
-    from . import aggregates, joins, rules, scans, signals, windows  # noqa: F401
+    from . import aggregates, areas, evaluation, fusion, joins, measures, rules, scans, signals, site, store, windows  # noqa: F401
 
     return dict(_QUERIES), dict(_SQL)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.timeline import running
 from ..sources.views import DAY, HOUR, NOW_NS, SECOND
 from . import query
 
@@ -108,7 +109,12 @@ def _(v):
 
 @query("bit_rollup", "SELECT node_id, CASE max(CASE status WHEN 'FAIL' THEN 2 WHEN 'DEGRADED' THEN 1 ELSE 0 END) WHEN 2 THEN 'FAIL' WHEN 1 THEN 'DEGRADED' ELSE 'PASS' END AS worst, count(*) FILTER (status = 'FAIL') AS failures FROM (SELECT *, row_number() OVER (PARTITION BY node_id, report_type ORDER BY timestamp_ns DESC, id DESC) AS r FROM {bit_reports}) WHERE r = 1 GROUP BY node_id")
 def _(v):
-    latest = v.bit_reports.groupBy("node_id", "report_type").agg(F.max_by("status", F.struct("timestamp_ns", "id")).alias("status"))
+    return bit_rollup(v.bit_reports)
+
+
+def bit_rollup(reports: DataFrame) -> DataFrame:
+    """(node_id, worst, failures) over the latest report of each type."""
+    latest = reports.groupBy("node_id", "report_type").agg(F.max_by("status", F.struct("timestamp_ns", "id")).alias("status"))
     rank = F.when(F.col("status") == "FAIL", 2).when(F.col("status") == "DEGRADED", 1).otherwise(0)
     worst = F.element_at(F.array(F.lit("PASS"), F.lit("DEGRADED"), F.lit("FAIL")), F.max(rank) + 1)
     return latest.groupBy("node_id").agg(worst.alias("worst"), F.count_if(F.col("status") == "FAIL").alias("failures"))
@@ -135,8 +141,9 @@ _SCORED_SQL = "SELECT d.doc_id, d.n_chars::DOUBLE AS score, l.quality = 1 AS tru
 @query("rank_auc", f"WITH s AS ({_SCORED_SQL}), c AS (SELECT score, count(*) AS n, count(*) FILTER (truth) AS up FROM s GROUP BY score), r AS (SELECT *, sum(n) OVER (ORDER BY score) - n + (n + 1) / 2.0 AS rank FROM c), t AS (SELECT sum(up) AS p, sum(n) - sum(up) AS q, sum(rank * up) AS ranks FROM r) SELECT round((ranks - p * (p + 1) / 2.0) / (p * q), 9)::DOUBLE AS auc FROM t")
 def _(v):
     counts = _scored(v).groupBy("score").agg(F.count("*").alias("n"), F.count_if("truth").alias("up"))  # one row per distinct score
-    before = F.sum("n").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
-    total = counts.withColumn("rank", before + (F.col("n") + 1) / 2.0).agg(F.sum("up").alias("p"), (F.sum("n") - F.sum("up")).alias("q"), F.sum(F.col("rank") * F.col("up")).alias("ranks"))
+    # ranks are counted by ranges of scores, with what lies below a range added
+    counts = running(counts.withColumn("one", F.lit(1)), ["one"], ["score"], F.col("n"), "upto", bucket=500)
+    total = counts.withColumn("rank", F.col("upto") - F.col("n") + (F.col("n") + 1) / 2.0).agg(F.sum("up").alias("p"), (F.sum("n") - F.sum("up")).alias("q"), F.sum(F.col("rank") * F.col("up")).alias("ranks"))
     return total.select(F.round((F.col("ranks") - F.col("p") * (F.col("p") + 1) / 2.0) / (F.col("p") * F.col("q")), 9).alias("auc"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..sources.views import DAY, HOUR, NOW_NS, SECOND
 from . import query
+from .aggregates import bit_rollup
 
 
 @query("latest_observation_per_node", "SELECT node_id, observation_id, sensor_id, toa_ns FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY toa_ns DESC, observation_id DESC) AS r FROM {observations}) WHERE r = 1")
@@ -118,19 +119,19 @@ def _(v):
     return pairs.groupBy("id").agg(F.count("*").alias("n"), F.min(F.abs(F.col("ts_a") - F.col("timestamp_ns"))).alias("nearest_ns"))
 
 
-@query("ground_truth_matches", f"SELECT t.id, count(d.id) AS n, min(round(111320.0 * sqrt(power(d.lat - t.lat, 2) + power(d.lon - t.lon, 2)), 3)) AS best_m FROM (SELECT * FROM {{detections}} WHERE review_state = 'confirmed' AND id % 5 = 0) t LEFT JOIN {{detections}} d ON d.id <> t.id AND d.label = t.label AND abs(d.timestamp_ns - t.timestamp_ns) <= {120 * SECOND} GROUP BY t.id")
+@query("ground_truth_matches", f"SELECT t.id, count(d.id) AS n, min(round(111320.0 * sqrt(power(d.lat - t.lat, 2) + power(d.lon - t.lon, 2)), 3)) AS best_m FROM (SELECT * FROM {{detections}} WHERE review_state = 'confirmed') t LEFT JOIN {{detections}} d ON d.id <> t.id AND d.label = t.label AND abs(d.timestamp_ns - t.timestamp_ns) <= {120 * SECOND} GROUP BY t.id")
 def _(v):
-    truth = v.detections.where("review_state = 'confirmed' and id % 5 = 0").select(F.col("id").alias("truth_id"), "label", F.col("timestamp_ns").alias("truth_ns"), F.col("lat").alias("lat_t"), F.col("lon").alias("lon_t"))
+    truth = v.detections.where("review_state = 'confirmed'").select(F.col("id").alias("truth_id"), "label", F.col("timestamp_ns").alias("truth_ns"), F.col("lat").alias("lat_t"), F.col("lon").alias("lon_t"))
     pairs = near_in_time(truth, v.detections.select("id", "label", "timestamp_ns", "lat", "lon"), "truth_ns", "timestamp_ns", 120 * SECOND, "label").where("id <> truth_id")
     metres = F.round(F.lit(111320.0) * F.sqrt(F.pow(F.col("lat") - F.col("lat_t"), F.lit(2.0)) + F.pow(F.col("lon") - F.col("lon_t"), F.lit(2.0))), 3)
     best = pairs.groupBy("truth_id").agg(F.count("*").alias("n"), F.min(metres).alias("best_m"))
     return truth.select("truth_id").join(best, "truth_id", "left").select(F.col("truth_id").alias("id"), F.coalesce("n", F.lit(0)).cast("long").alias("n"), "best_m")
 
 
-@query("node_overview", "SELECT n.id, n.name, e.last_env_ns, b.worst, coalesce(d.n, 0)::BIGINT AS detections FROM {nodes} n LEFT JOIN (SELECT node_id, max(timestamp_ns) AS last_env_ns FROM {environment} GROUP BY 1) e ON e.node_id = n.id LEFT JOIN (SELECT node_id, max(status) AS worst FROM {bit_reports} GROUP BY 1) b ON b.node_id = n.id LEFT JOIN (SELECT node_id, count(*) AS n FROM {detections} GROUP BY 1) d ON d.node_id = n.id")
+@query("node_overview", "SELECT n.id, n.name, e.last_env_ns, CASE b.worst WHEN 2 THEN 'FAIL' WHEN 1 THEN 'DEGRADED' WHEN 0 THEN 'PASS' END AS worst, coalesce(d.n, 0)::BIGINT AS detections FROM {nodes} n LEFT JOIN (SELECT node_id, max(timestamp_ns) AS last_env_ns FROM {environment} GROUP BY 1) e ON e.node_id = n.id LEFT JOIN (SELECT node_id, max(CASE status WHEN 'FAIL' THEN 2 WHEN 'DEGRADED' THEN 1 ELSE 0 END) AS worst FROM (SELECT *, row_number() OVER (PARTITION BY node_id, report_type ORDER BY timestamp_ns DESC, id DESC) AS r FROM {bit_reports}) WHERE r = 1 GROUP BY 1) b ON b.node_id = n.id LEFT JOIN (SELECT node_id, count(*) AS n FROM {detections} GROUP BY 1) d ON d.node_id = n.id")
 def _(v):
     env = v.environment.groupBy("node_id").agg(F.max("timestamp_ns").alias("last_env_ns"))
-    bit = v.bit_reports.groupBy("node_id").agg(F.max("status").alias("worst"))
+    bit = bit_rollup(v.bit_reports).select("node_id", "worst")
     heard = v.detections.groupBy("node_id").agg(F.count("*").alias("n"))
     rows = v.nodes.withColumnRenamed("id", "node_id").join(env, "node_id", "left").join(bit, "node_id", "left").join(heard, "node_id", "left")
     return rows.select(F.col("node_id").alias("id"), "name", "last_env_ns", "worst", F.coalesce("n", F.lit(0)).cast("long").alias("detections"))

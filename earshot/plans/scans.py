@@ -126,7 +126,7 @@ def _(v):
     return v.ble.select("id", F.round(physics.rssi_to_range(F.col("rssi")), 6).alias("range_m"))
 
 
-@query("local_positions", "SELECT id, round((lat - 44.98) * 111320.0, 4) AS y, round((lon + 93.2565) * 111320.0 * cos(radians(44.98)), 4) AS x FROM {detections}")
+@query("local_positions", "SELECT id, round((lat - 44.98) * (111132.92 - 559.82 * cos(2 * radians(44.98)) + 1.175 * cos(4 * radians(44.98))), 4) AS y, round((lon + 93.2565) * (111412.84 * cos(radians(44.98)) - 93.5 * cos(3 * radians(44.98))), 4) AS x FROM {detections}")
 def _(v):
     x, y = geo.to_local_flat(F.col("lat"), F.col("lon"), 44.98, -93.2565)
     return v.detections.select("id", F.round(y, 4).alias("y"), F.round(x, 4).alias("x"))

@@ -30,7 +30,7 @@ class Views:
 
     @cached_property
     def detections(self) -> DataFrame:
-        k = F.get_json_object("props", "$.k").cast("int")
+        k = F.get_json_object("props", "$.k").try_cast("int")
         i = F.col("event_id")
         category = F.expr("CASE event_type WHEN 'view' THEN 'bird' WHEN 'click' THEN 'human' WHEN 'purchase' THEN 'vehicle' WHEN 'signup' THEN 'wildlife' ELSE 'security' END")
         return self.raw("events").select(
@@ -63,6 +63,20 @@ class Views:
         r = F.col("r_regionkey").cast("double")
         return self.raw("region").select(F.col("r_regionkey").cast("long").alias("zone_id"), F.col("r_name").alias("name"), (F.lit(44.98) + r * 0.0008).alias("lat_min"), (F.lit(44.9812) + r * 0.0008).alias("lat_max"), F.lit(-93.258).alias("lon_min"), F.lit(-93.2555).alias("lon_max"))
 
+    @cached_property
+    def areas(self) -> DataFrame:
+        """Zones with a polygon of [lat, lon] vertices, not convex, and what they do."""
+        z = self.zones
+        point = lambda a, b: F.array(a, b)
+        lat0, lat1, lon0, lon1 = (F.col(c) for c in ("lat_min", "lat_max", "lon_min", "lon_max"))
+        ring = F.array(point(lat0, lon0), point(lat1, lon0), point((lat0 + lat1) / 2, (lon0 + lon1) / 2), point(lat1, lon1), point(lat0, lon1))
+        return z.select("zone_id", "name", F.expr("CASE zone_id % 3 WHEN 0 THEN 'exclusion' WHEN 1 THEN 'suppress' ELSE 'only' END").alias("kind"), F.expr("CASE zone_id WHEN 1 THEN 'view' WHEN 4 THEN 'click' WHEN 2 THEN 'signup' END").alias("zone_label"), ring.alias("polygon"))
+
+    @cached_property
+    def artifacts(self) -> DataFrame:
+        i = F.col("o_orderkey")
+        return self.raw("orders").select(i.alias("id"), (F.col("o_custkey") % 16).alias("node_id"), i.alias("detection_id"), (F.col("o_custkey") % 250).alias("track_id"), ns_of("o_orderdate").alias("created_ns"), F.col("o_totalprice").alias("bytes"))
+
     @cached_property
     def frames(self) -> DataFrame:
         return self.raw("lineitem").select((F.col("l_suppkey") % 16).alias("node_id"), F.col("l_linestatus").alias("boot_session"), F.col("l_orderkey").alias("sequence"), ns_of("l_shipdate").alias("received_ns"), F.col("l_linenumber").cast("long").alias("line"), F.col("l_partkey").alias("part"))
@@ -103,7 +117,7 @@ DUCKDB_VIEWS = {
         CASE event_type WHEN 'view' THEN 'bird' WHEN 'click' THEN 'human' WHEN 'purchase' THEN 'vehicle' WHEN 'signup' THEN 'wildlife' ELSE 'security' END AS label_category,
         (event_id * 37 % 100) / 100.0::DOUBLE AS label_confidence,
         CASE WHEN event_id % 3 = 0 THEN 'localized' ELSE 'omni' END AS reporting_modality,
-        CASE WHEN cast(json_extract_string(props,'$.k') AS int) < 10 THEN NULL WHEN cast(json_extract_string(props,'$.k') AS int) < 55 THEN 'birdnet' ELSE 'drone_head' END AS winner_member,
+        CASE WHEN try_cast(json_extract_string(props,'$.k') AS int) < 10 THEN NULL WHEN try_cast(json_extract_string(props,'$.k') AS int) < 55 THEN 'birdnet' ELSE 'drone_head' END AS winner_member,
         (4498000 + event_id * 7919 % 400) / 100000.0::DOUBLE AS lat, (-9325800 + event_id * 104729 % 400) / 100000.0::DOUBLE AS lon,
         CASE WHEN event_id % 3 <> 0 AND event_id % 5 = 0 THEN NULL ELSE event_id % 200 END AS track_id,
         CASE event_id % 10 WHEN 0 THEN 'long' WHEN 1 THEN 'ephemeral' WHEN 2 THEN 'permanent' ELSE 'short' END AS retention_tier,
@@ -113,6 +127,9 @@ DUCKDB_VIEWS = {
         n_regionkey::BIGINT AS cluster_id, {NOW_NS} - n_nationkey::BIGINT * {5 * SECOND} AS last_seen_ns FROM nation WHERE n_nationkey < 16""",
     "zones": """SELECT r_regionkey::BIGINT AS zone_id, r_name AS name, 44.98::DOUBLE + r_regionkey::DOUBLE * 0.0008::DOUBLE AS lat_min, 44.9812::DOUBLE + r_regionkey::DOUBLE * 0.0008::DOUBLE AS lat_max,
         -93.258::DOUBLE AS lon_min, -93.2555::DOUBLE AS lon_max FROM region""",
+    "areas": """SELECT zone_id, name, CASE zone_id % 3 WHEN 0 THEN 'exclusion' WHEN 1 THEN 'suppress' ELSE 'only' END AS kind, CASE zone_id WHEN 1 THEN 'view' WHEN 4 THEN 'click' WHEN 2 THEN 'signup' END AS zone_label,
+        [[lat_min, lon_min], [lat_max, lon_min], [(lat_min + lat_max) / 2, (lon_min + lon_max) / 2], [lat_max, lon_max], [lat_min, lon_max]] AS polygon FROM zones""",
+    "artifacts": "SELECT o_orderkey AS id, o_custkey % 16 AS node_id, o_orderkey AS detection_id, o_custkey % 250 AS track_id, epoch_ns(o_orderdate) AS created_ns, o_totalprice AS bytes FROM orders",
     "frames": "SELECT l_suppkey % 16 AS node_id, l_linestatus AS boot_session, l_orderkey AS sequence, epoch_ns(l_shipdate) AS received_ns, l_linenumber::BIGINT AS line, l_partkey AS part FROM lineitem",
     "tracks": f"""SELECT *, CASE WHEN update_count < 2 THEN 'tentative' WHEN last_seen_ns < {NOW_NS - 10 * DAY} THEN 'dropped' ELSE 'confirmed' END AS status FROM (
         SELECT track_id, min(timestamp_ns) AS first_seen_ns, max(timestamp_ns) AS last_seen_ns, count(*) AS update_count, max_by(label, (timestamp_ns, id)) AS label FROM detections WHERE track_id IS NOT NULL GROUP BY track_id)""",
@@ -124,7 +141,7 @@ DUCKDB_VIEWS = {
     "transcripts": f"SELECT doc_id AS id, doc_id % 16 AS node_id, text, {NOW_NS} - doc_id * {SECOND} AS created_ns FROM documents",
     "ble": f"SELECT c_custkey AS id, c_custkey % 50 AS mac, (c_nationkey % 16)::BIGINT AS node_id, -40 - c_custkey % 50 AS rssi, {NOW_NS} - c_custkey * {SECOND} AS recv_ns FROM customer",
 }
-_NEEDS = {"tracks": ["detections"], "observations": ["detections"]}
+_NEEDS = {"tracks": ["detections"], "observations": ["detections"], "areas": ["zones"]}
 
 
 def with_views(sql: str) -> str:
