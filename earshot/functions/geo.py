@@ -35,6 +35,45 @@ def to_ecef(lat, lon, alt) -> tuple[F.Column, F.Column, F.Column]:
     return (n + alt) * c * F.cos(F.radians(lon)), (n + alt) * c * F.sin(F.radians(lon)), (n * (1 - WGS84_E2) + alt) * s
 
 
+def to_lla(x, y, z, steps: int = 6) -> tuple[F.Column, F.Column, F.Column]:
+    """Latitude, longitude, height, by fixed-point steps."""
+    p = F.sqrt(x * x + y * y)
+
+    def radius(lat):
+        return F.lit(WGS84_A) / F.sqrt(F.lit(1.0) - F.lit(WGS84_E2) * F.sin(lat) * F.sin(lat))
+
+    def step(lat, _):
+        return F.atan2(z, p * (F.lit(1.0) - F.lit(WGS84_E2) * radius(lat) * F.cos(lat) / p))
+
+    lat = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.atan2(z, p * F.lit(1.0 - WGS84_E2)), step)
+    return F.degrees(lat), F.degrees(F.atan2(y, x)), p / F.cos(lat) - radius(lat)
+
+
+def ellipse(xx, xy, yy) -> tuple[F.Column, F.Column, F.Column]:
+    """Standard deviations along the axes of a covariance, larger first, and the larger one's bearing, -180 to 180."""
+    mean, half = (xx + yy) / 2, F.sqrt((xx - yy) * (xx - yy) / 4 + xy * xy)
+    bearing = F.degrees(F.atan2(xy, mean + half - xx))
+    return F.sqrt(F.greatest(mean + half, F.lit(0.0))), F.sqrt(F.greatest(mean - half, F.lit(0.0))), bearing
+
+
+def wrapped(degrees) -> F.Column:
+    """Between -180 and 180."""
+    return F.pmod(degrees + F.lit(180.0), F.lit(360.0)) - F.lit(180.0)
+
+
+def pan_tilt(dx, dy, dz, yaw, pitch) -> tuple[F.Column, F.Column]:
+    """Where a camera with this home direction turns to: degrees clockwise, degrees up."""
+    level = F.sqrt(dx * dx + dy * dy)
+    up = F.when(level > 1e-9, F.degrees(F.atan2(dz, level))).otherwise(F.signum(dz) * 90.0)
+    return wrapped(F.degrees(F.atan2(dx, dy)) - yaw), F.least(F.greatest(up - pitch, F.lit(-90.0)), F.lit(90.0))
+
+
+def spherical(x, y, z) -> tuple[F.Column, F.Column, F.Column]:
+    """Azimuth and elevation in degrees, distance."""
+    far = F.sqrt(x * x + y * y + z * z)
+    return F.degrees(F.atan2(y, x)), F.when(far < 1e-9, 0.0).otherwise(F.degrees(F.asin(z / far))), far
+
+
 def angle_difference(a, b) -> F.Column:
     """Between 0 and 180 degrees."""
     return F.abs(F.pmod(a - b + F.lit(180.0), F.lit(360.0)) - 180.0)

@@ -26,8 +26,9 @@ def finite(x) -> F.Column:
     return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
 
 
-def track_quality(confidence, updates, seconds, sensors, weights=(0.4, 0.2, 0.2, 0.2)) -> F.Column:
-    """Weighted sum of confidence, corroboration, recency and number of sensors, between 0 and 1."""
-    parts = (confidence, F.least(updates / 10.0, F.lit(1.0)), F.lit(1.0) / (F.lit(1.0) + seconds / 30.0), F.least(sensors / 4.0, F.lit(1.0)))
-    total = sum((w * p for w, p in zip(weights[1:], parts[1:], strict=True)), weights[0] * parts[0])
-    return F.least(F.greatest(total, F.lit(0.0)), F.lit(1.0))
+
+def amplitude_range(level, reference: float, least: float, most: float) -> tuple[F.Column, F.Column]:
+    """Distance from a level by spherical spreading, and whether it had to be drawn into the given band."""
+    raw = F.pow(F.lit(10.0), (F.lit(reference) - level) / 20.0)
+    known = ~(F.isnan(level) | (F.abs(level) == float("inf")))
+    return F.when(known, F.least(F.greatest(raw, F.lit(least)), F.lit(most))).otherwise(F.lit(least)), F.when(known, (raw < least) | (raw > most)).otherwise(F.lit(True))
