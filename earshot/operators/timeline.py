@@ -37,13 +37,14 @@ def previous(df: DataFrame, keys: list[str], order: list[str], columns: list[str
     return rows.withColumn(out, F.coalesce(F.lag("_v").over(inside), F.col("_c"))).drop("_b", "_v", "_c")
 
 
-def running(df: DataFrame, keys: list[str], order: list[str], value, out: str, kind: str = "sum", bucket: int = DAY_NS) -> DataFrame:
-    """``df`` with ``out``: the sum or maximum (``kind``) of ``value`` over the key's rows up to this one."""
+def running(df: DataFrame, keys: list[str], order: list[str], value, out: str, kind: str = "sum", bucket: int = DAY_NS, own: bool = True) -> DataFrame:
+    """``df`` with ``out``: the sum or maximum (``kind``) of ``value`` over the key's rows up to this one; without ``own``, up to
+    the one before (null or 0 for the first)."""
     total = {"sum": F.sum, "max": F.max}[kind]
     rows = df.withColumn("_b", F.floor(F.col(order[0]) / F.lit(bucket))).withColumn("_v", value)
     ends = rows.groupBy(*keys, "_b").agg(total("_v").alias("_e"))
     rows = _joined(rows, _carried(ends, keys, total("_e")), keys)
-    inside = total("_v").over(Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    inside = total("_v").over(Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if own else -1))
     found = F.coalesce(F.col("_c"), F.lit(0)) + F.coalesce(inside, F.lit(0)) if kind == "sum" else F.greatest("_c", inside)
     return rows.withColumn(out, found).drop("_b", "_v", "_c")
 

@@ -75,9 +75,8 @@ def window_lookup(df: DataFrame, node_id) -> DataFrame:
 )
 def _(v):
     order = ["received_ns", "sequence", "line", "part"]
-    rows = running(v.frames, ["node_id", "boot_session"], order, F.col("sequence"), "high", "max", 30 * DAY)
-    rows = previous(rows, ["node_id", "boot_session"], order, ["high"], "before", 30 * DAY)
-    gap = F.greatest(F.col("sequence") - (F.coalesce(F.col("before.high"), F.col("sequence") - 1) + 1), F.lit(0))
+    rows = running(v.frames, ["node_id", "boot_session"], order, F.col("sequence"), "high", "max", 30 * DAY, own=False)
+    gap = F.greatest(F.col("sequence") - (F.coalesce(F.col("high"), F.col("sequence") - 1) + 1), F.lit(0))
     return rows.select("node_id", "boot_session", gap.alias("gap")).groupBy("node_id", "boot_session").agg(F.count("*").alias("frames"), F.sum("gap").cast("long").alias("missing"), F.count_if(F.col("gap") > 0).alias("gaps"))
 
 
