@@ -194,7 +194,9 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, kind:
         if doc_ids:
             yield flush()
 
-    ordered = texts_of(docs).repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    # rows of one doc_id (or of none) are spread by a hash of the text
+    of = F.xxhash64("text")
+    ordered = texts_of(docs).repartitionByRange("doc_id", of).sortWithinPartitions("doc_id", of, "text")
     ordered.mapInArrow(segments, SEGMENTS).write.option("compression", "none").parquet(path)
 
 
