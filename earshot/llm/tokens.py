@@ -76,7 +76,6 @@ class PieceEncoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.coded = [x.tobytes() for x in np.arange(self.tokenizer.get_vocab_size(), dtype=self.dtype)]
         self.known = _Cache(self._ids, {})
-        self.tokens: dict[str, bytes] = {}
 
     def pieces(self, text: str) -> list[str]:
         """Keys of the cache. Byte-level: "\\0" before what begins the text, a space left out before other words."""
@@ -94,17 +93,21 @@ class PieceEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def _token(self, word: str, space: str = "") -> bytes:
-        """Of one pre-token, or of the space before it with it."""
-        ids = self.tokens.get(space + word)
+        """Of one pre-token, or of the space before it with it. As a piece of its own it has the same ids, so it shares
+        the pieces' cache: under the key that this piece has, or (beyond Latin letters, after lower-casing) one that none has."""
+        key = word if space or self.lower else "\0" + word
+        if not (word.isascii() or max(word) <= _LATIN):
+            key = " " + key
+        ids = self.known.get(key)
         if ids is None:
-            if word.isascii() and word.isalpha():
-                letters = self.letters[0x20] + word if space else word
-            else:
-                letters = (space + word).encode().decode("latin-1").translate(self.letters)
-            ids = b"".join([self.coded[x.id] for x in self.model.tokenize(letters)])
-            self.tokens[space + word] = ids
-            if len(self.tokens) > self.most:
-                self.tokens.clear()
+            ids = self.known.older.get(key)
+            if ids is None:
+                if word.isascii() and word.isalpha():
+                    letters = self.letters[0x20] + word if space else word
+                else:
+                    letters = (space + word).encode().decode("latin-1").translate(self.letters)
+                ids = b"".join([self.coded[x.id] for x in self.model.tokenize(letters)])
+            self.known[key] = ids
         return ids
 
     def _ids(self, key: str) -> bytes:
@@ -116,7 +119,7 @@ class PieceEncoder:
                 space = " "
         if len(key) > _LONG or "<|" in key or not (key.isascii() or max(key) <= _LATIN):
             return self._whole(space + key)
-        if self.lower:  # up to U+024F the normal form changes nothing
+        if self.lower and not key.islower():  # up to U+024F the normal form changes nothing
             key = key.lower()
         if key.isalpha():
             return self._token(key, space)
