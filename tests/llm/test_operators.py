@@ -65,6 +65,16 @@ def test_pieces_give_the_librarys_ids(docs, path, kind):
         assert ids.tolist() == t.encode(text, add_special_tokens=False).ids, text[:80]
 
 
+@pytest.mark.parametrize(("path", "kind"), [(BYTE, "byte_level"), (WORD, "word_end")])
+def test_cached_pieces_and_pre_tokens_dont_mix(path, kind):
+    """Words alone, with stops, at the start, after a space or a line, in any order, through one cache."""
+    rng, e, t = np.random.default_rng(5), PieceEncoder(path, kind, most=300), Tokenizer.from_file(path)
+    words = ["a", "A", "it", "It's", "'s", "s", "''s", ".", "?'", "12", "x1", "é", "É", "İ", "i̇", "ж", "\0", "\0a", "\1", "\1ж", "\1i̇", "\n", "\n\n", "foo,", "foo", "Foo", "foo.bar", "--", "<|"]
+    texts = ["".join(rng.choice(words) + rng.choice(["", " ", " ", "\n"]) for _ in range(rng.integers(1, 9))) for _ in range(3000)]
+    for text, ids in zip(texts, e.encode(texts), strict=True):
+        assert ids.tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 @pytest.mark.parametrize("n", [1, 5, 300, 70_000, 2_500_000])
 def test_segments_round_trip(n):
     ids = np.minimum(np.random.default_rng(n).zipf(1.3, n), 50256).astype(np.uint32)
