@@ -1,27 +1,27 @@
 """Benchmark decontamination, in DataFrame and SQL functions alone.
 
 1. Windows have the number of words of an item. Of each item's word shingles the rarest are taken until what is left
-   weighs less than the threshold: a window that reaches the threshold holds one of them. The rarest pair of adjacent
-   words in each of those shingles is a key with its place in the item, and windows are laid where a document holds a key,
-   so that the key has the item's place in it. No window at the threshold is lost by this; windows at every word would be
-   some hundred times as many (see README). Equal windows, of whatever documents, are looked at once.
+   weighs less than the threshold: a window that reaches the threshold holds one of them, wherever words were put in, left
+   out, changed or moved. So where a document holds such a shingle, windows are laid at every start that has the shingle
+   inside, each start once. The rarest pair of adjacent words of a shingle is its key for the look-up; the whole shingle is
+   compared (by a 64-bit hash) before a window is laid. Equal windows, of whatever documents, are looked at once.
 2. Fingerprints. Each window and each item gets a 64-bit SimHash of its words. Fingerprints are cut into blocks
    (``_blocks``), so that any two within the radius differ by ``FLIPS`` bits at most in one of them; an item stands under all
    such values of each block, a window under its own, and they meet in an equi-join on (words, block, value). All pairs
-   within the radius are found. The radius follows from the threshold (``radius_for``): of windows just at the threshold
-   one in a million is expected beyond it, by a binomial estimate for words that don't repeat and shingles of equal weight.
+   within the radius are found. The radius follows from the threshold (``radius_for``) by an estimate; the tests measure
+   what it loses on edited copies, short items, repeated words and shingles of unequal weight (see README).
 3. Verification. The weighted Jaccard similarity of the two sets of word shingles, rare shingles of the benchmark
    weighing more, has to reach the threshold.
 
 The documents are read word by word in generated code, without a shuffle of texts, once for each ``BROADCAST_KEYS`` keys
-(about 60 bytes each) of the benchmark; only windows are shuffled.
+(about 60 bytes each) of the benchmark; only the words around hits are shuffled.
 
 Edge cases: null or empty texts and items without words match nothing; items shorter than a shingle are one shingle of
-all their words, an item of one word is found wherever the word stands; equal items each give their hits; rows that repeat
-a doc_id, with equal or different texts, give the best hit of any of them; rows without doc_id give hits without doc_id,
-the best of all such rows; of equally similar windows the nearest fingerprint, then the first place counts; a very long
-text is read like any other (a row holds its words once); an empty documents or benchmark table gives no hit; other
-columns are not read.
+all their words, an item of one word is found wherever the word stands; equal items each give their hits; a document
+shorter than an item is one window; rows that repeat a doc_id, with equal or different texts, give the best hit of any of
+them; rows without doc_id give hits without doc_id, the best of all such rows; of equally similar windows the nearest
+fingerprint, then the first place counts; a very long text is read like any other (a row holds its words once); an empty
+documents or benchmark table gives no hit; other columns are not read.
 """
 
 from __future__ import annotations
@@ -102,34 +102,48 @@ def _rare(items: DataFrame, weights: DataFrame, k: int, threshold: float) -> Dat
 
 
 def _keys(items: DataFrame, rare: DataFrame, k: int) -> DataFrame:
-    """(word, next, back, n_words): adjacent words and how far before them the window begins."""
-    pairs = rare.where("n_words > 1").select("item_id", "at", "n_words", "words", F.explode(F.sequence(F.lit(0), F.least(F.lit(k), F.col("n_words")) - 2)).alias("j"))
-    pairs = pairs.select("item_id", "at", "n_words", (F.col("at") + F.col("j")).alias("back"), F.get("words", F.col("at") + F.col("j")).alias("word"), F.get("words", F.col("at") + F.col("j") + 1).alias("next"))
+    """(word, next, back, size, hash, n_words): adjacent words, how far before them their shingle begins, its words and hash."""
+    size = F.least(F.lit(k), F.col("n_words"))
+    pairs = rare.where("n_words > 1").select("item_id", "at", "n_words", "words", F.explode(F.sequence(F.lit(0), size - 2)).alias("back"))
+    pairs = pairs.select("item_id", "at", "n_words", "back", size.alias("size"), _hash(F.slice("words", F.col("at") + 1, size)).alias("hash"), F.get("words", F.col("at") + F.col("back")).alias("word"), F.get("words", F.col("at") + F.col("back") + 1).alias("next"))
     spread = items.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
     pairs = pairs.join(spread, "word").join(spread.toDF("next", "df2"), "next")
-    best = pairs.groupBy("item_id", "at").agg(F.min_by(F.struct("word", "next", "back", "n_words"), F.struct(F.col("df") + F.col("df2"), -F.length(F.concat("word", "next")), F.col("back"))).alias("k"))
+    best = pairs.groupBy("item_id", "at").agg(F.min_by(F.struct("word", "next", "back", "size", "hash", "n_words"), F.struct(F.col("df") + F.col("df2"), -F.length(F.concat("word", "next")), F.col("back"))).alias("k"))
     return best.select("k.*").distinct()
 
 
+def _hash(words) -> F.Column:
+    return F.xxhash64(F.array_join(words, " "))
+
+
 def _windows(docs: DataFrame, keys: DataFrame, singles: DataFrame) -> DataFrame:
-    """(doc_id, start, n_words, w, own): the windows laid where a key stands; ``w`` names the words of a window.
+    """(doc_id, start, n_words, w, own): the windows that hold a rare shingle; ``w`` names the words of a window.
 
-    The documents are read once for each ``BROADCAST_KEYS`` keys, which are sent to every executor.
+    The documents are read once for each ``BROADCAST_KEYS`` keys, which are sent to every executor. Of a hit only the words
+    that its windows can have go on; the hit before it, in the same text, tells which starts are laid already.
     """
-    words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.split(F.lower("text"), GAP).alias("words"))
-    rows = words.select("doc_id", "words", F.posexplode("words").alias("at", "word")).withColumn("next", F.get("words", F.col("at") + 1))
+    words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text"), F.split(F.lower("text"), GAP).alias("words"))
+    words = words.withColumn("words", F.filter("words", lambda x: x != ""))
+    rows = words.select("doc_id", "text", "words", F.posexplode("words").alias("at", "word")).withColumn("next", F.get("words", F.col("at") + 1))
     met = []
     for keys_, on in ((keys, ["word", "next"]), (singles, ["word"])):
         parts = -(-keys_.count() // BROADCAST_KEYS)
         for i in range(parts):
             some = keys_.where(F.pmod(F.xxhash64(*on), F.lit(parts)) == i) if parts > 1 else keys_
-            met.append(rows.join(F.broadcast(some), on).select("doc_id", "words", "at", F.explode("places").alias("p")))
+            met.append(rows.join(F.broadcast(some), on).select("doc_id", "text", "words", "at", F.explode("places").alias("p")))
     if not met:
         return words.where("false").select("doc_id", F.lit(0).alias("start"), F.lit(0).alias("n_words"), F.lit("").alias("w"), F.col("words").alias("own"))
-    start = F.greatest(F.col("at") - F.col("p.back"), F.lit(0))
-    own = F.slice("words", start + 1, F.col("p.n_words"))
-    found = reduce(DataFrame.unionByName, met).select("doc_id", start.alias("start"), F.col("p.n_words").alias("n_words"), own.alias("own"))
-    return found.withColumn("w", F.md5(F.array_join("own", " "))).groupBy("doc_id", "start", "n_words", "w").agg(F.first("own").alias("own"))
+    n, size, at = F.col("p.n_words"), F.col("p.size"), F.col("at") - F.col("p.back")
+    hits = reduce(DataFrame.unionByName, met).where((at >= 0) & (_hash(F.slice("words", F.greatest(at, F.lit(0)) + 1, size)) == F.col("p.hash")))
+    low = F.greatest(at - (n - size), F.lit(0))
+    high = F.least(at, F.greatest(F.size("words") - n, F.lit(0)))
+    hits = hits.select("doc_id", "text", n.alias("n_words"), at.alias("at"), low.alias("low"), high.alias("high"), F.slice("words", low + 1, high - low + n).alias("around"))
+    hits = hits.groupBy("doc_id", "text", "n_words", "at").agg(F.first("low").alias("low"), F.first("high").alias("high"), F.first("around").alias("around"))
+    before = F.lag("at").over(Window.partitionBy("doc_id", "text", "n_words").orderBy("at"))
+    hits = hits.withColumn("first", F.greatest("low", F.coalesce(before + 1, F.lit(0)))).where("first <= high")
+    laid = hits.select("doc_id", "n_words", "low", "around", F.explode(F.sequence("first", "high")).alias("start"))
+    laid = laid.select("doc_id", "start", "n_words", F.slice("around", F.col("start") - F.col("low") + 1, F.col("n_words")).alias("own"))
+    return laid.withColumn("w", F.md5(F.array_join("own", " ")))
 
 
 def _blocks(print_, radius: int) -> tuple[F.Column, F.Column]:
@@ -152,8 +166,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: flo
     items = stage(_items(benchmark), "items")
     weights = stage(_weights(items, k), "weights")
     rare = stage(_rare(items, weights, k, threshold), "rare")
-    keys = _keys(items, rare, k).groupBy("word", "next").agg(F.collect_set(F.struct("back", "n_words")).alias("places"))
-    one = F.array(F.struct(F.lit(0).alias("back"), F.lit(1).alias("n_words")))
+    keys = _keys(items, rare, k).groupBy("word", "next").agg(F.collect_set(F.struct("back", "size", "hash", "n_words")).alias("places"))
+    one = F.array(F.struct(F.lit(0).alias("back"), F.lit(1).alias("size"), _hash(F.array("word")).alias("hash"), F.lit(1).alias("n_words")))
     singles = items.where("n_words = 1").select(F.get("words", F.lit(0)).alias("word")).distinct().withColumn("places", one)
     windows = stage(_windows(docs, stage(keys, "keys"), stage(singles, "singles")), "windows")
     # each different window once, however many documents hold it

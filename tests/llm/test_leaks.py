@@ -4,6 +4,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from earshot.llm import decontamination
 
@@ -55,6 +56,54 @@ def test_edited_copies_down_to_the_threshold(spark):
     assert {(r.doc_id, r.item_id) for r in decontamination.find_leaks(df, b).collect()} == want
 
 
+def edited(rng, words, edits):
+    w = list(words)
+    for _ in range(int(rng.integers(0, edits + 1))):
+        if not w:
+            break
+        kind, j = int(rng.integers(5)), int(rng.integers(len(w)))
+        if kind == 0:
+            w.insert(j, f"x{rng.integers(10**9)}")
+        elif kind == 1:
+            del w[j]
+        elif kind == 2:
+            w[j] = f"x{rng.integers(10**9)}"
+        elif kind == 3 and j + 1 < len(w):
+            w[j], w[j + 1] = w[j + 1], w[j]
+        elif kind == 4:  # two parts change places
+            w = w[j:] + w[:j]
+    return w
+
+
+@pytest.mark.parametrize(("known", "lengths", "edits", "common"), [(3000, [13, 36, 50, 100], 3, 0), (3000, [5, 6, 7, 8, 9, 10, 12], 1, 0), (12, [8, 13, 20, 36, 100], 3, 0), (30, [8, 13, 20, 36, 100], 4, 0), (3000, [20, 40, 80], 3, 40)])
+def test_insertions_deletions_swaps_and_moves(spark, known, lengths, edits, common):
+    """Also short items, repeated words, and a passage that half of the items share (shingles of unequal weight)."""
+    rng = np.random.default_rng(known + edits)
+    names, items, docs = [f"w{i}" for i in range(known)], {}, {}
+    for i in range(40):
+        n = int(rng.choice(lengths))
+        w = [str(x) for x in rng.choice(names, n, replace=known < 200)]
+        items[i] = w[: n // 2] + [f"c{j}" for j in range(common)][: n // 3] + w[n // 2 : n - n // 3] if common and i % 2 else w
+    for d in range(250):
+        w = edited(rng, items[int(rng.integers(40))], edits)
+        docs[d] = [*(f"y{rng.integers(10**9)}" for _ in range(int(rng.integers(0, 8)))), *w, *(f"y{rng.integers(10**9)}" for _ in range(int(rng.integers(0, 6))))]
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id long, text string")
+    b = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    want = brute_leaks(docs, items)
+    assert len(want) > 50
+    assert {(r.doc_id, r.item_id) for r in decontamination.find_leaks(df, b).collect()} == want
+
+
+def test_long_texts_and_extra_columns(spark):
+    item = " ".join(f"a{i}" for i in range(40))
+    text = ("filler words here " * 30_000) + item.replace("a20", "a20 put in") + " and on " + ("a0 a1 a2 a3 a4 a5 " * 2000) + item
+    rows = [(1, text, "w", 3, "s", 1.0), (2, "", "w", 3, "s", 1.0), (None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, words string, n_words int, word string, similarity double")
+    b = spark.createDataFrame([(7, item, "x", 2), (None, item + " more", "x", 2)], "item_id long, text string, shingle string, weight int")
+    got = {(r.doc_id, r.item_id, r.similarity) for r in decontamination.find_leaks(df, b).collect() if r.item_id == 7}
+    assert got == {(1, 7, 1.0)}
+
+
 def test_equal_and_missing_ids_and_single_words(spark):
     words = [f"a{i}" for i in range(30)]
     item, other = " ".join(words), " ".join(f"b{i}" for i in range(30))
