@@ -65,7 +65,7 @@ def _table(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds.get(n, pa.binary())) for c, n in zip(columns, names, strict=True)], names=names)
 
 
-def _deal(k: int, bits: int, seed: int):
+def _deal(k: int, bits: int, seed: int, block_size: int = BLOCK, hot_from: int = HOT):
     names = ["to", "block", "kind", "bucket", "a", "b", "c"]
     width = min(48, 64 - bits)
 
@@ -78,7 +78,7 @@ def _deal(k: int, bits: int, seed: int):
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         held = np.diff(np.append(first, len(h)))
         keys, of = h[first] & np.uint64((1 << width) - 1), bucket[first].astype(np.int64)
-        hot = held >= HOT
+        hot = held >= hot_from
         edges = np.searchsorted(of, np.arange((1 << bits) + 1))
         ends = np.append(first, len(h))
         cold = np.repeat(~hot, held)
@@ -109,7 +109,7 @@ def _deal(k: int, bits: int, seed: int):
                 sets.append(h)
                 classes.append(cls)
                 size += len(h)
-                if size >= BLOCK or len(sets) >= MOST_DOCS:
+                if size >= block_size or len(sets) >= MOST_DOCS:
                     yield from flush(block, sets, classes)
                     block, sets, classes, size = block + 1, [], [], 0
         if sets:
@@ -118,7 +118,16 @@ def _deal(k: int, bits: int, seed: int):
     return rows
 
 
-def _answer(rows: pa.Table) -> pa.Table:
+def _answer(hot_from: int = HOT):
+    """``hot_from`` has to be that of ``_deal``: it tells which lists of documents a bucket was given."""
+
+    def answers(rows: pa.Table) -> pa.Table:
+        return _answers(rows, hot_from)
+
+    return answers
+
+
+def _answers(rows: pa.Table, hot_from: int) -> pa.Table:
     names = ["block", "kind", "bucket", "a", "b", "c"]
     kinds = rows.column("kind").to_numpy()
     block, bucket = rows.column("block").to_pylist(), rows.column("bucket").to_pylist()
@@ -137,7 +146,7 @@ def _answer(rows: pa.Table) -> pa.Table:
             take = own > 0
             if take.any():
                 docs = np.frombuffer(c[i].as_py(), "<u2")
-                given = np.where(n < HOT, n, 0)
+                given = np.where(n < hot_from, n, 0)
                 out.append((block[i], _ASK, bucket[i], _packed(x[take]), np.stack([own[take], given[take]]).tobytes(), docs[np.repeat(take, given)].tobytes()))
     return pa.Table.from_batches([_table(out, names)])
 
@@ -193,10 +202,10 @@ def _assemble(bits: int, percent: int):
     return sets
 
 
-def shared_sets(texts: DataFrame, k: int, percent: int, shingles: int, seed: int = 0) -> DataFrame:
+def shared_sets(texts: DataFrame, k: int, percent: int, shingles: int, seed: int = 0, block_size: int = BLOCK, hot_from: int = HOT, bits: int | None = None) -> DataFrame:
     """(cls, n, ranges, ids) of the sets of ``texts`` (doc_id, text) that may link: their size, and the shingles that
     they share with any other document, rare first. Equal sets have equal rows, one per task at most."""
-    bits = bucket_bits(shingles)
-    dealt = texts.mapInArrow(_deal(k, bits, seed), DEALT)
-    answers = dealt.groupBy("to").applyInArrow(_answer, "block long, kind int, bucket int, a binary, b binary, c binary")
+    bits = bucket_bits(shingles) if bits is None else bits
+    dealt = texts.mapInArrow(_deal(k, bits, seed, block_size, hot_from), DEALT)
+    answers = dealt.groupBy("to").applyInArrow(_answer(hot_from), "block long, kind int, bucket int, a binary, b binary, c binary")
     return answers.groupBy("block").applyInArrow(_assemble(bits, percent), SETS)

@@ -14,22 +14,10 @@ def frame(spark, rows):
 
 def test_small_blocks_and_hot_shingles(spark, monkeypatch):
     """Several blocks and buckets; passages that most documents hold, groups of near copies, exact copies."""
-    import earshot.llm.ngram_join as nj
-
     def small(texts, k, percent, shingles, seed=0):
-        def deal(batches):
-            rare_shingles.BLOCK, rare_shingles.HOT = 700, 6
-            yield from rare_shingles._deal(k, 6, seed)(batches)
-
-        def answer(rows):
-            rare_shingles.HOT = 6
-            return rare_shingles._answer(rows)
-
-        dealt = texts.repartition(3, "doc_id").mapInArrow(deal, rare_shingles.DEALT)
-        answers = dealt.groupBy("to").applyInArrow(answer, "block long, kind int, bucket int, a binary, b binary, c binary")
-        return answers.groupBy("block").applyInArrow(rare_shingles._assemble(6, percent), rare_shingles.SETS)
+        return rare_shingles.shared_sets(texts.repartition(3, "doc_id"), k, percent, shingles, seed, block_size=700, hot_from=6, bits=6)
 
-    monkeypatch.setattr(nj, "shared_sets", small)
+    monkeypatch.setattr(ngram_join, "shared_sets", small)
     rng = np.random.default_rng(8)
     passage = [f"p{i}" for i in range(25)]
     bases = [[f"b{g}_{i}" for i in range(50)] for g in range(12)]
@@ -42,7 +30,7 @@ def test_small_blocks_and_hot_shingles(spark, monkeypatch):
             w = passage + w
         rows.append((d, " ".join(w)))
     rows += [(300 + i, rows[i][1]) for i in range(20)]
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in nj.jaccard_components(frame(spark, rows), 4, 75).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(frame(spark, rows), 4, 75).collect()}
     assert got == brute_components(dict(rows), 4, 75)
 
 
