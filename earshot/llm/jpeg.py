@@ -10,7 +10,7 @@ so that the block's samples equal the byte), 64 blocks a row, one restart interv
 is the payload again: nothing is lost. A payload beyond 8,191 rows goes on in further images after the first, in the
 same bytes.
 
-The stored form travels as a column of the DataFrame; callers write it where they like.
+The query writes the stored form as a table and reads it again before it decodes.
 
 Edge cases: a null or empty text gives the 64 zero bytes that the padding adds; a null or broken image gets null
 dimensions and an error text, other rows aren't harmed; equal texts give equal bytes; other columns are not read.
@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table, texts_of
+from .common import stage, table, texts_of
 
 WIDE, MOST_ROWS = 64, 8191
 #: The luminance DC table of the JPEG standard (codes per length, categories), and an AC table of one code, end of block.
@@ -469,6 +469,7 @@ def thumbnails(media: DataFrame, column: str = "media", key: str = "doc_id", wit
 def op2_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
-    rows = thumbnails(texts_to_media(table(spark, sf_dir, "documents")))
+    media = stage(texts_to_media(table(spark, sf_dir, "documents")), "media", compression="none")
+    rows = thumbnails(media)
     feature = F.format_string("%dx%d/%d:%s", "width", "height", "n_images", "thumb_hash")
     return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
