@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import signal, tracking
+from ..operators import assignment, signal, trackfold, tracking
 from . import query
+from .measures import placed
 
 
 @query("fingerprint_norms", "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 5) AS norm, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 5) AS total FROM embeddings")
@@ -49,6 +50,26 @@ def _(v):
     return tracking.kalman_smooth(rows)
 
 
+@query("site_tracks")
+def _(v):
+    """Tracks of each site (a cluster of nodes) from its localized detections."""
+    sites = v.nodes.select(F.col("id").alias("node_id"), F.col("cluster_id").alias("site"))
+    rows = placed(v).where("reporting_modality = 'localized'").join(sites, "node_id")
+    scores = F.create_map(F.col("label"), F.col("label_confidence"))
+    return trackfold.fold_batch(rows.select("site", "id", "timestamp_ns", "x", "y", "label", F.col("label_category").alias("category"), F.col("label_confidence").alias("confidence"), "node_id", scores.alias("scores")))
+
+
+@query("peer_assignments")
+def _(v):
+    """One-to-one pairs of the tracks of two sites, by the last place of each: localized reports are ours, omni reports the peer's."""
+    rows = placed(v).where("track_id is not null")
+    last = rows.groupBy("track_id", "reporting_modality").agg(F.max(F.struct("timestamp_ns", "id", "x", "y")).alias("m"))
+    last = last.select(F.lit(0).alias("tick"), "track_id", "reporting_modality", F.col("m.x").alias("x"), F.col("m.y").alias("y"), (1 + F.col("m.id") % 20).cast("double").alias("cxx"), F.lit(0.0).alias("cxy"), (1 + F.col("m.id") % 30).cast("double").alias("cyy"))
+    ours = last.where("reporting_modality = 'localized'").withColumnRenamed("track_id", "l").drop("reporting_modality")
+    theirs = last.where("reporting_modality = 'omni'").withColumnRenamed("track_id", "r").drop("reporting_modality")
+    return assignment.assigned(assignment.gated_pairs(ours, theirs, ["tick"], 3.0), ["tick"], 3.0)
+
+
 @query("node_positions_kde")
 def _(v):
     rows = v.detections.select("node_id", ((F.col("lon") + 93.2565) * 78700.0).alias("x"), ((F.col("lat") - 44.98) * 111320.0).alias("y"))
