@@ -112,3 +112,12 @@ def heuristic_scores(rms, centroid, crest, zcr, flatness, bandwidth) -> F.Column
     hum = F.when(~quiet & (centroid < 450.0) & (flatness < 0.55), F.least(F.lit(0.9), 0.3 + (450.0 - centroid) / 700.0)).otherwise(zero)
     none = ~quiet & (F.greatest(impulse, bird, speech, hum) < 0.2)
     return F.create_map(F.lit("ambient"), F.when(quiet, 0.95).otherwise(zero), F.lit("bird_like"), bird, F.lit("speech_like"), speech, F.lit("impulse"), impulse, F.lit("machine_hum"), hum, F.lit("unknown"), F.when(none, 0.6).otherwise(zero))
+
+
+def alike(a, b) -> F.Column:
+    """Cosine of two maps of class scores, between 0 and 1; null where one is missing or empty."""
+    add = lambda x, y: x + y
+    zero = F.lit(0.0)
+    dot = F.aggregate(F.transform(F.map_entries(a), lambda e: e.value * F.coalesce(F.try_element_at(b, e.key), zero)), zero, add)
+    size = lambda m: F.aggregate(F.transform(F.map_values(m), lambda x: x * x), zero, add)
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.greatest(F.least(F.coalesce(F.try_divide(dot, F.sqrt(size(a) * size(b))), zero), F.lit(1.0)), zero))

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.stages import stage
 from ..sources.views import SECOND
 from . import query
 from .aggregates import _METRICS_SQL, _SCORED_SQL, _scored
 from .joins import near_in_time
 from .measures import placed
-from .windows import sessions
 
 _PLACED_SQL = "SELECT *, (lon + 93.2565) * 78846.0 AS x, (lat - 44.98) * 111131.0 AS y FROM {detections}"
 SLOP = 600 * SECOND
@@ -41,31 +40,29 @@ def _(v):
 
 def greedy_matches(truth: DataFrame, found: DataFrame, max_ns: int, max_m: float) -> DataFrame:
     """(matched, missed, extra, confused): in order of (time, id) each true event takes the nearest detection in reach that no
-    earlier one took.
+    earlier one took (of equally near ones the first by time, then id).
 
-    Events of both kinds with a pause over ``max_ns`` between them can't match, so the timeline falls into stretches; each
-    is matched on its own. ``truth`` and ``found``: id, label, timestamp_ns, x, y.
+    Pairs in reach meet on buckets of time. Then, in rounds, a true event takes its nearest free detection if no earlier
+    event that is still open has it in reach: what it takes is then what it would get in its turn. The earliest open event
+    always takes its own, so each round ends some; no task holds more than a bucket. ``truth`` and ``found``: id, label,
+    timestamp_ns, x, y.
     """
-    both = truth.withColumn("known", F.lit(True)).unionByName(found.withColumn("known", F.lit(False))).withColumn("one", F.lit(1))
-    rows = sessions(both, ["one"], ["timestamp_ns", "known", "id"], max_ns)
-
-    def match(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["timestamp_ns", "id"])
-        t, d = part[part["known"]], part[~part["known"]]
-        free, hits, confused = dict.fromkeys(range(len(d))), 0, 0
-        at, x, y, label = (d[c].to_numpy() for c in ("timestamp_ns", "x", "y", "label"))
-        for e in t.itertuples():
-            reach = [((x[i] - e.x) ** 2 + (y[i] - e.y) ** 2, i) for i in free if abs(at[i] - e.timestamp_ns) <= max_ns]
-            near = min((r for r in reach if r[0] <= max_m * max_m), default=None)
-            if near:
-                del free[near[1]]
-                hits += 1
-                confused += label[near[1]].strip().lower() != e.label.strip().lower()
-        return pd.DataFrame({"matched": [hits], "missed": [len(t) - hits], "extra": [len(free)], "confused": [confused]})
-
-    names = ("matched", "missed", "extra", "confused")
-    each = rows.select("session", "id", "label", "timestamp_ns", "x", "y", "known").groupBy("session").applyInPandas(match, ", ".join(f"{n} long" for n in names))
-    return each.agg(*[F.sum(n).alias(n) for n in names])
+    t = truth.select(F.col("id").alias("t"), F.col("timestamp_ns").alias("tns"), F.lower(F.trim("label")).alias("tl"), F.col("x").alias("tx"), F.col("y").alias("ty"))
+    d = found.select(F.col("id").alias("d"), F.col("timestamp_ns").alias("dns"), F.lower(F.trim("label")).alias("dl"), "x", "y")
+    far = (F.col("x") - F.col("tx")) * (F.col("x") - F.col("tx")) + (F.col("y") - F.col("ty")) * (F.col("y") - F.col("ty"))
+    pairs = near_in_time(t, d, "tns", "dns", max_ns).withColumn("far", far).where(F.col("far") <= max_m * max_m)
+    pairs = stage(pairs.select(F.struct("tns", "t").alias("t"), F.struct("dns", "d").alias("d"), "far", F.coalesce(F.col("tl") != F.col("dl"), F.lit(True)).alias("confused")), "pairs")
+    taken, open_ = None, pairs
+    while not open_.isEmpty():
+        wants = open_.groupBy("t").agg(F.min(F.struct("far", "d", "confused")).alias("w"))
+        first = open_.groupBy("d").agg(F.min("t").alias("first"))
+        now = wants.select("t", F.col("w.d").alias("d"), F.col("w.confused").alias("confused")).join(first, "d").where(F.col("t") == F.col("first")).select("t", "d", "confused")
+        now = stage(now, "taken")
+        taken = now if taken is None else taken.unionByName(now)
+        open_ = stage(open_.join(now.select("t"), "t", "left_anti").join(now.select("d"), "d", "left_anti"), "open")
+    hits = (taken if taken is not None else pairs).agg(F.count("*").alias("matched"), F.coalesce(F.count_if("confused"), F.lit(0)).alias("confused"))
+    counts = truth.agg(F.count("*").alias("n")).crossJoin(found.agg(F.count("*").alias("m"))).crossJoin(hits)  # single rows
+    return counts.select("matched", (F.col("n") - F.col("matched")).alias("missed"), (F.col("m") - F.col("matched")).alias("extra"), "confused")
 
 
 @query("event_matches")
@@ -107,8 +104,24 @@ def group_split(rows: DataFrame, test: float = 0.1, val: float = 0.1) -> DataFra
     return out.withColumn("fold", F.when(~F.col("copy"), F.col("own")).when(F.coalesce("own", F.lit("train")) == "train", "train")).where("fold is not null").drop("own")
 
 
-@query("balance_copies", "SELECT label, greatest(least(ceil(0.5 * max(n) OVER () / n) - 1, 4), 0)::INT AS copies FROM (SELECT label, count(*) AS n FROM {detections} GROUP BY label)")
+def balance_copies(weights: DataFrame, ratio: float, floor: dict[str, int] | None = None, base: int = 0) -> DataFrame:
+    """(label, copies): how often each label's rows are repeated so that none weighs less than the largest one / ``ratio``.
+
+    ``weights``: label, weight. ``floor`` has copies by label that are never lowered, ``base`` those of other labels; labels
+    of weight 0 and a ratio of 0 or less change nothing.
+    """
+    own = F.lit(base)
+    for label, copies in (floor or {}).items():
+        own = F.when(F.col("label") == label, copies).otherwise(own)
+    rows = weights.crossJoin(weights.agg(F.max("weight").alias("most"))).withColumn("own", own)  # a single row
+    target = F.col("most") / F.lit(float(ratio)) if ratio > 0 else F.lit(0.0)
+    short = (F.col("weight") > 0) & (F.col("weight") * (1 + F.col("own")) < target)
+    needed = F.greatest(F.col("own"), F.ceil(F.try_divide(target, F.col("weight"))) - 1)
+    return rows.select("label", F.when(short, needed).otherwise(F.col("own")).cast("long").alias("copies"))
+
+
+@query("balance_copies", "WITH w AS (SELECT label_category || '-' || node_id AS label, sum(label_confidence) AS weight FROM {detections} WHERE node_id <> 2 OR id % 40 = 0 GROUP BY 1) SELECT label, CASE WHEN weight > 0 AND weight * (1 + own) < most / 1.25 THEN greatest(own, ceil(most / 1.25 / weight) - 1) ELSE own END::BIGINT AS copies FROM (SELECT *, max(weight) OVER () AS most, CASE label WHEN 'bird-3' THEN 2 ELSE 0 END AS own FROM w)")
 def _(v):
-    n = v.detections.groupBy("label").agg(F.count("*").alias("n"))
-    copies = F.greatest(F.least(F.ceil(0.5 * F.col("most") / F.col("n")) - 1, F.lit(4)), F.lit(0))
-    return n.crossJoin(n.agg(F.max("n").alias("most"))).select("label", copies.cast("int").alias("copies"))  # a single row
+    """One node has a fortieth of its rows left, so that its labels need many copies."""
+    w = v.detections.where("node_id <> 2 or id % 40 = 0").groupBy(F.concat_ws("-", "label_category", "node_id").alias("label")).agg(F.sum("label_confidence").alias("weight"))
+    return balance_copies(w, 1.25, {"bird-3": 2})

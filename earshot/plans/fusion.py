@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import physics
+from ..functions import physics, scoring
 from ..sources.views import DAY, NOW_NS, SECOND, WINDOW_NS
 from . import query
 from .joins import near_in_time
@@ -49,7 +49,7 @@ def bearing_fixes(rays: DataFrame, event: str, min_separation_deg: float = 5.0,
     return rows.select(event, "nodes", "reason", *shown, F.when(F.col("reason") == "", F.round("sure", 6)).alias("confidence"))
 
 
-_RAYS_SQL = "SELECT o.detection_id, o.node_id, n.x AS ox, n.y AS oy, cos(radians(o.observation_id * 37 % 360)) AS dx, sin(radians(o.observation_id * 37 % 360)) AS dy, 0.1::DOUBLE + (o.observation_id % 9) / 10.0::DOUBLE AS confidence, 2.0::DOUBLE + (o.observation_id % 4)::DOUBLE AS std FROM {observations} o JOIN {nodes} n ON n.id = o.node_id WHERE o.detection_id % 2 = 1 OR o.channel < 2"
+_RAYS_SQL = "SELECT o.detection_id, o.node_id, n.x AS ox, n.y AS oy, cos(radians(o.observation_id * 37 % 360)) AS dx, sin(radians(o.observation_id * 37 % 360)) AS dy, 0.1::DOUBLE + (o.observation_id % 9) / 10.0::DOUBLE AS confidence, 2.0::DOUBLE + (o.observation_id % 4)::DOUBLE AS std FROM {observations} o JOIN {nodes} n ON n.id = o.node_id"
 
 
 @query(
@@ -65,19 +65,19 @@ _RAYS_SQL = "SELECT o.detection_id, o.node_id, n.x AS ox, n.y AS oy, cos(radians
 def _(v):
     i = F.col("observation_id")
     nodes = v.nodes.select(F.col("id").alias("node_id"), F.col("x").alias("ox"), F.col("y").alias("oy"))
-    rays = v.observations.where("detection_id % 2 = 1 or channel < 2").join(nodes, "node_id")
+    rays = v.observations.join(nodes, "node_id")
     turn = F.radians((i * 37 % 360).cast("double"))
     return bearing_fixes(rays.select("detection_id", "node_id", "ox", "oy", F.cos(turn).alias("dx"), F.sin(turn).alias("dy"), (0.1 + (i % 9) / F.lit(10.0)).alias("confidence"), (2.0 + (i % 4).cast("double")).alias("std")), "detection_id")
 
 
-def dilution(pairs: DataFrame, event: str, speed: float = 343.0) -> DataFrame:
+def dilution(pairs: DataFrame, event: str, speed: float = 343.0, worst: float = 1e12) -> DataFrame:
     """(event, gdop) in the plane from (x, y, nx, ny, rx, ry): place, sensor, reference sensor; infinite if ill-conditioned."""
     far = lambda a, b: F.sqrt((F.col("x") - F.col(a)) * (F.col("x") - F.col(a)) + (F.col("y") - F.col(b)) * (F.col("y") - F.col(b))) + 1e-9
     gx = (F.col("x") - F.col("nx")) / (far("nx", "ny") * speed) - (F.col("x") - F.col("rx")) / (far("rx", "ry") * speed)
     gy = (F.col("y") - F.col("ny")) / (far("nx", "ny") * speed) - (F.col("y") - F.col("ry")) / (far("rx", "ry") * speed)
     s = pairs.withColumn("gx", gx).withColumn("gy", gy).groupBy(event).agg(F.sum(F.col("gx") * F.col("gx")).alias("a"), F.sum(F.col("gx") * F.col("gy")).alias("b"), F.sum(F.col("gy") * F.col("gy")).alias("c"))
     mean, half = (F.col("a") + F.col("c")) / 2, F.sqrt((F.col("a") - F.col("c")) * (F.col("a") - F.col("c")) / 4 + F.col("b") * F.col("b"))
-    sound = mean + half <= (mean - half) * 1e12
+    sound = mean + half <= (mean - half) * worst
     return s.select(event, F.when(sound, F.sqrt(F.try_divide(F.col("a") + F.col("c"), F.col("a") * F.col("c") - F.col("b") * F.col("b")))).otherwise(F.lit(float("inf"))).alias("gdop"))
 
 
@@ -86,13 +86,18 @@ _FAR = "(sqrt((x - {0}) * (x - {0}) + (y - {1}) * (y - {1})) + 1e-9) * 343.0"
 
 @query(
     "dilutions",
-    f"""WITH p AS (SELECT id, (lon + 93.2565) * 78846.0 AS x, (lat - 44.98) * 111131.0 AS y FROM {{detections}} WHERE reporting_modality = 'localized'), g AS (SELECT p.id, (x - n.nx) / ({_FAR.format('n.nx', 'n.ny')}) - x / ({_FAR.format('0', '0')}) AS gx, (y - n.ny) / ({_FAR.format('n.nx', 'n.ny')}) - y / ({_FAR.format('0', '0')}) AS gy FROM p, (SELECT x AS nx, y AS ny FROM {{nodes}} WHERE id IN (3, 5, 10, 12)) n),
-    s AS (SELECT id, sum(gx * gx) AS a, sum(gx * gy) AS b, sum(gy * gy) AS c FROM g GROUP BY 1) SELECT id, round(ln(sqrt((a + c) / (a * c - b * b))), 4) AS log_gdop FROM s""",
+    f"""WITH p AS (SELECT id, (lon + 93.2565) * 78846.0 AS x, (lat - 44.98) * 111131.0 AS y FROM {{detections}} WHERE reporting_modality = 'localized'), o AS (SELECT detection_id AS id, channel, n.x AS nx, n.y AS ny FROM {{observations}} JOIN {{nodes}} n ON n.id = node_id),
+    g AS (SELECT p.id, (x - s.nx) / ({_FAR.format('s.nx', 's.ny')}) - (x - r.nx) / ({_FAR.format('r.nx', 'r.ny')}) AS gx, (y - s.ny) / ({_FAR.format('s.nx', 's.ny')}) - (y - r.ny) / ({_FAR.format('r.nx', 'r.ny')}) AS gy FROM p JOIN o s ON s.id = p.id AND s.channel > 0 JOIN o r ON r.id = p.id AND r.channel = 0),
+    s AS (SELECT id, sum(gx * gx) AS a, sum(gx * gy) AS b, sum(gy * gy) AS c FROM g GROUP BY 1), e AS (SELECT *, (a + c) / 2 AS m, sqrt((a - c) * (a - c) / 4 + b * b) AS h FROM s)
+    SELECT id, round(ln(sqrt((a + c) / (a * c - b * b))), 3) AS log_gdop FROM e WHERE m + h <= (m - h) * 1e6""",
 )
 def _(v):
-    sensors = v.nodes.where("id in (3, 5, 10, 12)").select(F.col("x").alias("nx"), F.col("y").alias("ny"), F.lit(0.0).alias("rx"), F.lit(0.0).alias("ry"), F.lit("localized").alias("reporting_modality"))
-    rows = dilution(placed(v).where("reporting_modality = 'localized'").select("id", "x", "y", "reporting_modality").join(sensors, "reporting_modality"), "id")
-    return rows.select("id", F.round(F.log("gdop"), 4).alias("log_gdop"))
+    """By each event's own sensors, the first as the reference; events whose geometry is worse than 1e6 are left out."""
+    at = v.nodes.select(F.col("id").alias("node_id"), F.col("x").alias("nx"), F.col("y").alias("ny"))
+    o = v.observations.select(F.col("detection_id").alias("id"), "node_id", "channel").join(at, "node_id")
+    reference = o.where("channel = 0").select("id", F.col("nx").alias("rx"), F.col("ny").alias("ry"))
+    pairs = placed(v).where("reporting_modality = 'localized'").select("id", "x", "y").join(o.where("channel > 0").drop("channel", "node_id"), "id").join(reference, "id")
+    return dilution(pairs, "id", worst=1e6).where("gdop < double('infinity')").select("id", F.round(F.log("gdop"), 3).alias("log_gdop"))
 
 
 def multilaterate(ranges: DataFrame, device: str, steps: int = 25) -> DataFrame:
@@ -135,34 +140,41 @@ def _(v):
     return multilaterate(last.join(nodes, "node_id").select("mac", "x", "y", physics.rssi_to_range(F.col("rssi"), exponent=2.7).alias("range_m")), "mac")
 
 
-def associated(points: DataFrame, tracks: DataFrame, near_m: float = 8.0, far_m: float = 32.0, chi2: float = 9.0) -> DataFrame:
-    """(id, track_id, score): each point's best track in reach, of the same category (unknown fits all).
+def associated(points: DataFrame, tracks: DataFrame, near_m: float = 8.0, most_m: float = 32.0, chi2: float = 9.0, unlike: float = 3.0) -> DataFrame:
+    """(id, track_id, score): each point's best track of those whose gate it passes, of the same category (unknown fits all).
 
-    Within ``near_m`` the squared distance counts in units that reach ``chi2`` there; beyond, up to ``far_m``, the squared
-    Mahalanobis distance under the variances of both. They meet on cells of the reach and its neighbours.
+    Within ``near_m`` the squared distance counts in units that reach ``chi2`` there; beyond, up to three deviations of both
+    positions together (``near_m`` at least, ``most_m`` at most), the squared Mahalanobis distance. Unlike class scores add
+    up to ``unlike`` to the score of what has passed. ``points``: id, x, y, variance, category, scores; ``tracks``: track_id,
+    tx, ty, t_variance, t_category, t_scores, status; dropped ones don't take part. They meet on cells of ``most_m``.
     """
     around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-    t = tracks.withColumn("_i", F.floor(F.col("tx") / far_m)).withColumn("_j", F.floor(F.col("ty") / far_m))
-    p = points.withColumn("_di", around).withColumn("_dj", around).withColumn("_i", F.floor(F.col("x") / far_m) + F.col("_di")).withColumn("_j", F.floor(F.col("y") / far_m) + F.col("_dj"))
+    t = tracks.where("status <> 'dropped'").withColumn("_i", F.floor(F.col("tx") / most_m)).withColumn("_j", F.floor(F.col("ty") / most_m))
+    p = points.withColumn("_di", around).withColumn("_dj", around).withColumn("_i", F.floor(F.col("x") / most_m) + F.col("_di")).withColumn("_j", F.floor(F.col("y") / most_m) + F.col("_dj"))
     d2 = (F.col("x") - F.col("tx")) * (F.col("x") - F.col("tx")) + (F.col("y") - F.col("ty")) * (F.col("y") - F.col("ty"))
-    score = F.when(d2 < near_m * near_m, d2 * chi2 / (near_m * near_m)).when(d2 <= far_m * far_m, d2 / (F.col("variance") + F.col("t_variance")))
+    both = F.col("variance") + F.col("t_variance")
+    reach2 = F.least(F.greatest(9 * both, F.lit(near_m * near_m)), F.lit(most_m * most_m))
+    gate = F.when(d2 < near_m * near_m, d2 * chi2 / (near_m * near_m)).when((d2 <= reach2) & (d2 / both <= chi2), d2 / both)
     fits = (F.col("category") == F.col("t_category")) | (F.col("category") == "unknown") | (F.col("t_category") == "unknown")
-    met = p.join(t, ["_i", "_j"]).where(fits).withColumn("score", score).where((F.col("score") <= chi2))
+    met = p.join(t, ["_i", "_j"]).where(fits).withColumn("gate", gate).where("gate is not null")
+    met = met.withColumn("score", F.col("gate") + F.coalesce(unlike * (1 - scoring.alike(F.col("scores"), F.col("t_scores"))), F.lit(0.0)))
     best = met.groupBy("id").agg(F.min(F.struct("score", "track_id")).alias("m"))
     return best.select("id", "m.track_id", F.round("m.score", 6).alias("score"))
 
 
 @query(
     "associations",
-    f"""WITH p AS (SELECT id, (lon + 93.2565) * 78846.0 AS x, (lat - 44.98) * 111131.0 AS y, label_category AS category, (1 + id % 20)::DOUBLE AS variance FROM {{detections}} WHERE reporting_modality = 'omni'),
-    t AS (SELECT track_id, (max_by(lon, (timestamp_ns, id)) + 93.2565) * 78846.0 AS tx, (max_by(lat, (timestamp_ns, id)) - 44.98) * 111131.0 AS ty, CASE WHEN track_id % 4 = 0 THEN 'unknown' ELSE max_by(label_category, (timestamp_ns, id)) END AS t_category, (1 + track_id % 30)::DOUBLE AS t_variance FROM {{detections}} WHERE track_id IS NOT NULL GROUP BY track_id),
-    m AS (SELECT id, track_id, CASE WHEN d2 < 64 THEN d2 * 9 / 64 WHEN d2 <= 1024 THEN d2 / (variance + t_variance) END AS score FROM (SELECT *, (x - tx) * (x - tx) + (y - ty) * (y - ty) AS d2 FROM p JOIN t ON category = t_category OR t_category = 'unknown'))
-    SELECT id, track_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score, track_id) AS r FROM m WHERE score <= 9) WHERE r = 1""",
+    f"""WITH p AS (SELECT id, (lon + 93.2565) * 78846.0 AS x, (lat - 44.98) * 111131.0 AS y, label, label_category AS category, (1 + id % 20)::DOUBLE AS variance FROM {{detections}} WHERE reporting_modality = 'omni'),
+    t AS (SELECT d.track_id, (max_by(lon, (timestamp_ns, id)) + 93.2565) * 78846.0 AS tx, (max_by(lat, (timestamp_ns, id)) - 44.98) * 111131.0 AS ty, max_by(d.label, (timestamp_ns, id)) AS t_label, CASE WHEN d.track_id % 4 = 0 THEN 'unknown' ELSE max_by(label_category, (timestamp_ns, id)) END AS t_category, (1 + d.track_id % 150)::DOUBLE AS t_variance FROM {{detections}} d JOIN {{tracks}} s ON s.track_id = d.track_id AND s.status <> 'dropped' GROUP BY d.track_id),
+    m AS (SELECT id, track_id, g + CASE WHEN label = t_label THEN 0 ELSE 3 END AS score FROM (SELECT *, CASE WHEN d2 < 64 THEN d2 * 9 / 64 WHEN d2 <= least(greatest(9 * (variance + t_variance), 64), 1024) AND d2 / (variance + t_variance) <= 9 THEN d2 / (variance + t_variance) END AS g FROM (SELECT *, (x - tx) * (x - tx) + (y - ty) * (y - ty) AS d2 FROM p JOIN t ON category = t_category OR t_category = 'unknown')) WHERE g IS NOT NULL)
+    SELECT id, track_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score, track_id) AS r FROM m) WHERE r = 1""",
 )
 def _(v):
-    p = placed(v).where("reporting_modality = 'omni'").select("id", "x", "y", F.col("label_category").alias("category"), (1 + F.col("id") % 20).cast("double").alias("variance"))
-    last = placed(v).where("track_id is not null").groupBy("track_id").agg(F.max(F.struct("timestamp_ns", "id", "x", "y", "label_category")).alias("m"))
-    t = last.select("track_id", F.col("m.x").alias("tx"), F.col("m.y").alias("ty"), F.when(F.col("track_id") % 4 == 0, "unknown").otherwise(F.col("m.label_category")).alias("t_category"), (1 + F.col("track_id") % 30).cast("double").alias("t_variance"))
+    one = F.lit(1.0)
+    p = placed(v).where("reporting_modality = 'omni'").select("id", "x", "y", F.col("label_category").alias("category"), (1 + F.col("id") % 20).cast("double").alias("variance"), F.create_map("label", one).alias("scores"))
+    last = placed(v).where("track_id is not null").groupBy("track_id").agg(F.max(F.struct("timestamp_ns", "id", "x", "y", "label_category", "label")).alias("m"))
+    last = last.join(v.tracks.select("track_id", "status"), "track_id")
+    t = last.select("track_id", "status", F.col("m.x").alias("tx"), F.col("m.y").alias("ty"), F.when(F.col("track_id") % 4 == 0, "unknown").otherwise(F.col("m.label_category")).alias("t_category"), (1 + F.col("track_id") % 150).cast("double").alias("t_variance"), F.create_map("m.label", one).alias("t_scores"))
     return associated(p, t)
 
 
@@ -192,11 +204,33 @@ def owners(pairs: DataFrame, hysteresis: float = 0.1) -> DataFrame:
     return rows.withColumn("reason", F.when(peer, "peer_higher_tqi").when(local, "local_higher_tqi").when(F.col("before").isNotNull(), "hysteresis_hold").otherwise("hysteresis_default_local"))
 
 
-@query("merged_tracks", f"SELECT * FROM (SELECT track_id AS id, 'local' AS site, last_seen_ns AS seen FROM {{tracks}} UNION ALL SELECT peer_id, 'peer', seen FROM ({_PEERS_SQL}) WHERE seen >= {NOW_NS - 160 * SECOND}) ORDER BY seen DESC, id LIMIT 120")
+_OWNED_SQL = f"SELECT t.track_id, p.peer_id, CASE WHEN peer_tqi > tqi + 0.1 THEN 'peer' WHEN tqi > peer_tqi + 0.1 THEN 'local' WHEN t.track_id % 3 = 0 THEN 'peer' ELSE 'local' END AS owner FROM (SELECT *, (track_id * 37 % 100) / 100.0::DOUBLE AS tqi FROM {{tracks}}) t JOIN ({_PEERS_SQL}) p ON p.pair = t.track_id WHERE p.seen >= {NOW_NS - 160 * SECOND}"
+
+
+@query("merged_tracks", f"WITH o AS ({_OWNED_SQL}) SELECT track_id AS id, 'local' AS site, last_seen_ns AS seen, 'owner' AS role FROM {{tracks}} WHERE track_id NOT IN (SELECT track_id FROM o WHERE owner = 'peer') UNION ALL SELECT peer_id, 'peer', seen, 'owner' FROM ({_PEERS_SQL}) WHERE seen >= {NOW_NS - 160 * SECOND} AND peer_id NOT IN (SELECT peer_id FROM o WHERE owner = 'local')")
+def _(v):
+    return merged(*_merge_inputs(v))
+
+
+@query("merged_tracks_with_standby", f"WITH o AS ({_OWNED_SQL}) SELECT track_id AS id, 'local' AS site, last_seen_ns AS seen, CASE WHEN track_id IN (SELECT track_id FROM o WHERE owner = 'peer') THEN 'standby' ELSE 'owner' END AS role FROM {{tracks}} UNION ALL SELECT peer_id, 'peer', seen, CASE WHEN peer_id IN (SELECT peer_id FROM o WHERE owner = 'local') THEN 'standby' ELSE 'owner' END FROM ({_PEERS_SQL}) WHERE seen >= {NOW_NS - 160 * SECOND}")
 def _(v):
+    return merged(*_merge_inputs(v), include_standby=True)
+
+
+def _merge_inputs(v):
     local, peers = _sites(v)
-    both = local.select(F.col("track_id").alias("id"), F.lit("local").alias("site"), F.col("last_seen_ns").alias("seen")).unionByName(peers.where(F.col("seen") >= NOW_NS - 160 * SECOND).select(F.col("peer_id").alias("id"), F.lit("peer").alias("site"), "seen"))
-    return both.orderBy(F.desc("seen"), "id").limit(120)
+    peers = peers.where(F.col("seen") >= NOW_NS - 160 * SECOND)
+    pairs = owners(local.join(peers, F.col("pair") == F.col("track_id")).withColumn("before", F.when(F.col("track_id") % 3 == 0, "peer")))
+    return local.select(F.col("track_id").alias("id"), F.col("last_seen_ns").alias("seen")), peers.select(F.col("peer_id").alias("id"), "seen"), pairs.select("track_id", "peer_id", "owner")
+
+
+def merged(local: DataFrame, peers: DataFrame, owned: DataFrame, include_standby: bool = False) -> DataFrame:
+    """(id, site, seen, role) of two sites' tracks. Of a track that both see (a row of ``owned``: track_id, peer_id, owner) the
+    form of the site that doesn't own it is on standby, and left out unless asked for."""
+    behind = owned.where("owner = 'peer'").select(F.col("track_id").alias("id"), F.lit("local").alias("site")).unionByName(owned.where("owner = 'local'").select(F.col("peer_id").alias("id"), F.lit("peer").alias("site")))
+    both = local.select("id", F.lit("local").alias("site"), "seen").unionByName(peers.select("id", F.lit("peer").alias("site"), "seen"))
+    rows = both.join(behind.distinct().withColumn("role", F.lit("standby")), ["id", "site"], "left").select("id", "site", "seen", F.coalesce("role", F.lit("owner")).alias("role"))
+    return rows if include_standby else rows.where("role = 'owner'")
 
 
 @query("window_saturation", f"SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY node_id, report_window_start_ns ORDER BY timestamp_ns, id) AS r FROM {{detections}} WHERE reporting_modality = 'localized') WHERE r <= 1")
@@ -227,11 +261,46 @@ def slots(tracks: DataFrame, n: int) -> DataFrame:
     return held.unionByName(rows.where("z.slot is not null and z.t is not null").select("z.slot", "z.t.track_id"))
 
 
-@query("ensemble_winners", "SELECT id, CASE WHEN alarm >= 0.9 THEN 'alarm' WHEN greatest(a * 1.0, b * 0.8, alarm * 0.5) = a * 1.0 THEN label WHEN greatest(b * 0.8, alarm * 0.5) = b * 0.8 THEN 'drone' ELSE 'alarm' END AS winner FROM (SELECT id, label, label_confidence AS a, (id * 53 % 100) / 100.0::DOUBLE AS b, (id * 71 % 100) / 100.0::DOUBLE AS alarm FROM {detections})")
+#: Labels by which a classifier says that it can't tell.
+ABSTENTIONS = ("unknown", "")
+
+
+def ensemble_winner(members, priority=()) -> F.Column:
+    """(label, confidence, member) of an array of members (member, label, confidence, weight, ranks, scores).
+
+    The best label of ``priority`` wins at any confidence. Else the highest confidence times weight among those that don't
+    abstain (the first of equals). If all abstain, the highest score, other than an abstention or of a stage ("stage:label"),
+    of members that rank all sounds; else what the first said. Members that failed are null.
+    """
+    members = F.filter(members, lambda m: m.isNotNull())
+    abstains = lambda m: F.lower(F.trim(m.label)).isin(*ABSTENTIONS)
+    place = lambda m: F.array_position(F.transform(members, lambda x: x.member), m.member)
+
+    def best(some, value):
+        return F.array_max(F.transform(some, lambda m: F.struct(value(m).alias("by"), (-place(m)).alias("first"), m.label.alias("label"), value(m).alias("confidence"), m.member.alias("member"))))
+
+    urgent = best(F.filter(members, lambda m: m.label.isin(*priority) if priority else F.lit(False)), lambda m: m.confidence)
+    sure = best(F.filter(members, lambda m: ~abstains(m)), lambda m: m.confidence * m.weight)
+    ranked = F.flatten(F.transform(F.filter(members, lambda m: abstains(m) & m.ranks), lambda m: F.transform(F.filter(F.map_entries(m.scores), lambda e: ~F.lower(F.trim(e.key)).isin(*ABSTENTIONS) & ~e.key.contains(":")), lambda e: F.struct(e.value.alias("by"), (-place(m)).alias("first"), e.key.alias("label"), e.value.alias("confidence"), m.member.alias("member")))))
+    first = F.get(members, F.lit(0))
+    said = F.when(first.isNotNull(), F.struct(first.label.alias("label"), first.confidence.alias("confidence"), first.member.alias("member")))
+    pick = lambda s: F.when(s.isNotNull(), F.struct(s.label.alias("label"), F.least(F.greatest(s.confidence, F.lit(0.0)), F.lit(1.0)).alias("confidence"), s.member.alias("member")))
+    return F.coalesce(pick(urgent), pick(sure), pick(F.array_max(ranked)), said)
+
+
+@query("ensemble_winners", "SELECT id, CASE WHEN alarm >= 0.9 THEN 'alarm' WHEN a >= 0.3 AND (b < 0.4 OR a >= b * 0.8) THEN label WHEN b >= 0.4 THEN 'drone' ELSE label END AS winner, round(CASE WHEN alarm >= 0.9 THEN alarm * 0.1 WHEN a >= 0.3 AND (b < 0.4 OR a >= b * 0.8) THEN a WHEN b >= 0.4 THEN b * 0.8 ELSE a / 2 END, 6) AS confidence, CASE WHEN alarm >= 0.9 THEN 'alarm' WHEN a >= 0.3 AND (b < 0.4 OR a >= b * 0.8) THEN 'base' WHEN b >= 0.4 THEN 'drone' ELSE 'base' END AS member FROM (SELECT id, label, label_confidence AS a, (id * 53 % 100) / 100.0::DOUBLE AS b, (id * 71 % 100) / 100.0::DOUBLE AS alarm FROM {detections})")
 def _(v):
-    """The members' scores by weight; a priority label that is sure enough wins whatever the others say."""
-    members = F.array(*[F.struct(s.alias("score"), F.lit(-k).alias("order"), n.alias("label")) for k, (s, n) in enumerate(((F.col("label_confidence") * 1.0, F.col("label")), ((F.col("id") * 53 % 100) / F.lit(100.0) * 0.8, F.lit("drone")), ((F.col("id") * 71 % 100) / F.lit(100.0) * 0.5, F.lit("alarm"))))])
-    return v.detections.select("id", F.when((F.col("id") * 71 % 100) / F.lit(100.0) >= 0.9, "alarm").otherwise(F.array_max(members)["label"]).alias("winner"))
+    """Three members; an alarm has priority though its confidence is low; unsure members abstain."""
+    a, b, alarm = F.col("label_confidence"), (F.col("id") * 53 % 100) / F.lit(100.0), (F.col("id") * 71 % 100) / F.lit(100.0)
+    none = F.lit(None).cast("map<string,double>")
+
+    def member(name, label, confidence, weight, ranks, scores):
+        return F.struct(F.lit(name).alias("member"), label.alias("label"), confidence.alias("confidence"), F.lit(weight).alias("weight"), F.lit(ranks).alias("ranks"), scores.alias("scores"))
+
+    scores = F.create_map(F.col("label"), a / 2, F.lit("unknown"), F.lit(0.9), F.lit("stage:ambient"), F.lit(0.95))
+    members = F.array(member("base", F.when(a >= 0.3, F.col("label")).otherwise("unknown"), a, 1.0, True, scores), member("drone", F.when(b >= 0.4, "drone").otherwise("unknown"), b, 0.8, False, none), member("alarm", F.when(alarm >= 0.9, "alarm").otherwise("unknown"), alarm * 0.1, 1.0, False, none))
+    w = ensemble_winner(members, ("alarm",))
+    return v.detections.withColumn("w", w).select("id", F.col("w.label").alias("winner"), F.round("w.confidence", 6).alias("confidence"), F.col("w.member").alias("member"))
 
 
 @query("speech_triggers", "SELECT id, node_id FROM {detections} WHERE label_category = 'human' AND label_confidence >= 0.35")

@@ -1,7 +1,7 @@
 """Joins: latest per group, as-of, intervals, zones, contributors, matches with ground truth.
 
 Interval joins meet on a time bucket as wide as the tolerance and its two neighbours, so that they are equi-joins;
-dimension tables (nodes, zones) have a row per device or area and are broadcast.
+tables of nodes and zones carry no hint: Spark broadcasts them by their size.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.cells import by_cells
 from ..sources.views import DAY, HOUR, NOW_NS, SECOND
 from . import query
 from .aggregates import bit_rollup
@@ -22,7 +23,7 @@ def _(v):
 @query("latest_environment_per_node", "SELECT e.id, e.node_id, e.timestamp_ns, e.temperature_k, n.x, n.y FROM (SELECT *, rank() OVER (PARTITION BY node_id ORDER BY timestamp_ns DESC) AS r FROM {environment}) e LEFT JOIN {nodes} n ON n.id = e.node_id WHERE r = 1")
 def _(v):
     last = v.environment.groupBy("node_id").agg(F.max("timestamp_ns").alias("timestamp_ns"))
-    return v.environment.join(last, ["node_id", "timestamp_ns"]).join(F.broadcast(v.nodes.select(F.col("id").alias("node_id"), "x", "y")), "node_id", "left").select("id", "node_id", "timestamp_ns", "temperature_k", "x", "y")
+    return v.environment.join(last, ["node_id", "timestamp_ns"]).join(v.nodes.select(F.col("id").alias("node_id"), "x", "y"), "node_id", "left").select("id", "node_id", "timestamp_ns", "temperature_k", "x", "y")
 
 
 @query(
@@ -93,13 +94,13 @@ def in_zone():
 
 @query("zone_detections", f"SELECT z.zone_id, d.label, count(*) AS n FROM {{zones}} z JOIN {{detections}} d ON {_INSIDE_SQL} GROUP BY 1, 2")
 def _(v):
-    return v.detections.join(F.broadcast(v.zones), in_zone()).groupBy("zone_id", "label").agg(F.count("*").alias("n"))
+    return by_cells(v.detections, v.zones.drop("name"), ("lat", "lon"), ("lat_min", "lat_max", "lon_min", "lon_max")).where(in_zone()).groupBy("zone_id", "label").agg(F.count("*").alias("n"))
 
 
 @query("zone_occupancy", f"SELECT z.zone_id, count(DISTINCT d.track_id) AS tracks, count(d.track_id) > 0 AS occupied FROM {{zones}} z LEFT JOIN {{detections}} d ON {_INSIDE_SQL} AND d.track_id IS NOT NULL AND d.timestamp_ns >= {NOW_NS - 4 * DAY} GROUP BY z.zone_id")
 def _(v):
     recent = v.detections.where(F.col("track_id").isNotNull() & (F.col("timestamp_ns") >= NOW_NS - 4 * DAY))
-    inside = recent.join(F.broadcast(v.zones.drop("name")), in_zone()).groupBy("zone_id").agg(F.countDistinct("track_id").alias("tracks"))
+    inside = by_cells(recent, v.zones.drop("name"), ("lat", "lon"), ("lat_min", "lat_max", "lon_min", "lon_max")).where(in_zone()).groupBy("zone_id").agg(F.countDistinct("track_id").alias("tracks"))
     return v.zones.select("zone_id").join(inside, "zone_id", "left").select("zone_id", F.coalesce("tracks", F.lit(0)).cast("long").alias("tracks"), F.col("tracks").isNotNull().alias("occupied"))
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, physics, scoring, text
+from ..operators.timeline import running
 from ..sources.views import NOW_NS, SECOND
 from . import query
 
@@ -195,10 +197,10 @@ def _(v):
 _WORDS_SQL = "CASE " + " ".join(f"WHEN regexp_matches(n, '{'|'.join(words)}') THEN '{name}'" for name, words in text.CATEGORY_WORDS.items()) + " ELSE 'unknown' END"
 
 
-@query("label_categories", f"SELECT id, canonical, coalesce(m, {_WORDS_SQL}) AS category, CASE coalesce(m, {_WORDS_SQL}) WHEN 'human' THEN 'neutral' WHEN 'vehicle' THEN 'suspect' ELSE 'unknown' END AS iff FROM (SELECT doc_id AS id, left(lower(trim(text)), 300) AS n, CASE lang WHEN 'en' THEN 'english' ELSE lang END AS canonical, CASE WHEN lang = 'de' THEN 'vehicle' END AS m FROM documents)")
+@query("label_categories", f"SELECT id, canonical, coalesce(m, {_WORDS_SQL}) AS category, CASE coalesce(m, {_WORDS_SQL}) WHEN 'human' THEN 'neutral' WHEN 'vehicle' THEN 'suspect' ELSE 'unknown' END AS iff FROM (SELECT doc_id AS id, lower(trim(text)) AS n, CASE lang WHEN 'en' THEN 'english' ELSE lang END AS canonical, CASE WHEN lang = 'de' THEN 'vehicle' END AS m FROM documents)")
 def _(v):
     """Aliases, then a map, then the words of the name; the category's side."""
-    rows = v.raw("documents").select(F.col("doc_id").alias("id"), F.substring(F.trim("text"), 1, 300).alias("n"), scoring.looked_up(F.col("lang"), {"en": "english"}, None).cast("string").alias("alias"), "lang")
+    rows = v.raw("documents").select(F.col("doc_id").alias("id"), F.trim("text").alias("n"), scoring.looked_up(F.col("lang"), {"en": "english"}, None).cast("string").alias("alias"), "lang")
     category = F.coalesce(scoring.looked_up(F.col("lang"), {"de": "vehicle"}, None).cast("string"), text.category_of(F.col("n")))
     return rows.select("id", F.coalesce("alias", "lang").alias("canonical"), category.alias("category"), scoring.looked_up(category, {"human": "neutral", "vehicle": "suspect"}, "unknown").alias("iff"))
 
@@ -232,29 +234,47 @@ def _(v):
     return rows.where(F.coalesce(F.col("label_confidence").between(0.2, 0.7), F.lit(False))).agg(F.count("*").alias("n"))
 
 
-@query("energy_selected", "SELECT detection_id, count(*) AS selected FROM (SELECT detection_id, e, row_number() OVER (PARTITION BY detection_id ORDER BY e DESC, channel) AS r, count(*) FILTER (e > 60) OVER (PARTITION BY detection_id) AS strong FROM (SELECT detection_id, channel, (observation_id * 37 % 100) AS e FROM {observations})) WHERE (strong >= 2 AND e > 60) OR (strong < 2 AND r <= 2) GROUP BY detection_id")
-def _(v):
-    """Sensors over the threshold; where fewer than two are, the two strongest."""
-    e = v.observations.groupBy("detection_id").agg(F.sort_array(F.collect_list(F.col("observation_id") * 37 % 100), asc=False).alias("e"))  # a detection's channels
-    strong = F.size(F.filter("e", lambda x: x > 60))
-    return e.select("detection_id", F.when(strong >= 2, strong).otherwise(F.least(F.size("e"), F.lit(2))).cast("long").alias("selected"))
+def energy_selected(rows: DataFrame, event: str, threshold: float, least: int) -> DataFrame:
+    """(event, sensors): those over the threshold if they are ``least``; else, if the event has that many sensors, the
+    strongest ``least``; an event with fewer keeps those over the threshold. ``rows``: event, sensor, energy."""
+    e = rows.groupBy(event).agg(F.array_sort(F.collect_list(F.struct((-F.col("energy")).alias("e"), "sensor"))).alias("all"))  # an event's channels
+    strong = F.filter("all", lambda x: -x.e > threshold)
+    chosen = F.when((F.size(strong) >= least) | (F.size("all") < least), strong).otherwise(F.slice("all", 1, least))
+    return e.select(event, F.transform(chosen, lambda x: x.sensor).alias("sensors"))
 
 
-@query("selected_nodes", "SELECT id, node_id, r::BIGINT AS rank FROM (SELECT d.id, n.id AS node_id, row_number() OVER (PARTITION BY d.id ORDER BY sqrt((d.x - n.x) * (d.x - n.x) + (d.y - n.y) * (d.y - n.y)), n.id) AS r FROM (" + _XYZ_SQL + ") d JOIN {nodes} n ON n.id % 3 <> 0 AND sqrt((d.x - n.x) * (d.x - n.x) + (d.y - n.y) * (d.y - n.y)) <= 150 WHERE d.label = 'purchase') WHERE r <= 3")
+@query("energy_selected", "SELECT detection_id, count(*) AS selected FROM (SELECT detection_id, e, row_number() OVER (PARTITION BY detection_id ORDER BY e DESC, channel) AS r, count(*) OVER (PARTITION BY detection_id) AS n, count(*) FILTER (e > 60) OVER (PARTITION BY detection_id) AS strong FROM (SELECT detection_id, channel, (observation_id * 37 % 100) AS e FROM {observations} WHERE detection_id % 9 <> 0 OR channel = 0)) WHERE ((strong >= 2 OR n < 2) AND e > 60) OR (strong < 2 AND n >= 2 AND r <= 2) GROUP BY detection_id")
 def _(v):
-    """Of usable nodes within reach, the three nearest to each event."""
-    nodes = v.nodes.where("id % 3 <> 0").select(F.col("id").alias("node_id"), F.col("x").alias("nx"), F.col("y").alias("ny"), F.lit(1).alias("site"))
+    """Some events have one sensor."""
+    rows = v.observations.where("detection_id % 9 <> 0 or channel = 0").select("detection_id", F.col("channel").alias("sensor"), (F.col("observation_id") * 37 % 100).alias("energy"))
+    return energy_selected(rows, "detection_id", 60, 2).where(F.size("sensors") > 0).select("detection_id", F.size("sensors").cast("long").alias("selected"))
+
+
+def nearest_nodes(points: DataFrame, nodes: DataFrame, reach_m: float, most: int) -> DataFrame:
+    """(id, node_id, rank): of ``nodes`` (node_id, nx, ny) within reach the nearest ``most`` of each point (id, x, y).
+
+    They meet on cells of the reach; what a point meets is bounded by the nodes around it."""
+    around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+    n = nodes.withColumn("_di", around).withColumn("_dj", around).withColumn("_i", F.floor(F.col("nx") / reach_m) + F.col("_di")).withColumn("_j", F.floor(F.col("ny") / reach_m) + F.col("_dj"))
+    p = points.withColumn("_i", F.floor(F.col("x") / reach_m)).withColumn("_j", F.floor(F.col("y") / reach_m))
     far = F.sqrt((F.col("x") - F.col("nx")) * (F.col("x") - F.col("nx")) + (F.col("y") - F.col("ny")) * (F.col("y") - F.col("ny")))
-    pairs = placed(v).drop("node_id").where("label = 'purchase'").withColumn("site", F.lit(1)).join(nodes, "site").where(far <= 150)
-    near = pairs.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct(far.alias("m"), "node_id"))), 1, 3).alias("n"))  # one per node at most
-    return near.select("id", F.posexplode("n").alias("rank", "n")).select("id", "n.node_id", (F.col("rank") + 1).cast("long").alias("rank"))
+    met = p.join(n.drop("_di", "_dj"), ["_i", "_j"]).select("id", "node_id", far.alias("m")).where(F.col("m") <= reach_m)
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("m", "node_id"))
+    return met.withColumn("rank", rank.cast("long")).where(F.col("rank") <= most).select("id", "node_id", "rank")
+
+
+@query("selected_nodes", "SELECT id, node_id, r::BIGINT AS rank FROM (SELECT d.id, n.id AS node_id, row_number() OVER (PARTITION BY d.id ORDER BY sqrt((d.x - n.x) * (d.x - n.x) + (d.y - n.y) * (d.y - n.y)), n.id) AS r FROM (" + _XYZ_SQL + f") d JOIN {{nodes}} n ON n.last_seen_ns >= {NOW_NS - 60 * SECOND} AND sqrt((d.x - n.x) * (d.x - n.x) + (d.y - n.y) * (d.y - n.y)) <= 150) WHERE r <= 3")
+def _(v):
+    """Of nodes seen in the last minute and within reach, the three nearest to each event."""
+    nodes = v.nodes.where(F.col("last_seen_ns") >= NOW_NS - 60 * SECOND).select(F.col("id").alias("node_id"), F.col("x").alias("nx"), F.col("y").alias("ny"))
+    return nearest_nodes(placed(v).select("id", "x", "y"), nodes, 150.0, 3)
 
 
-@query("store_forward_order", "SELECT node_id, sequence, rank FROM (SELECT node_id, sequence, line, part, row_number() OVER (PARTITION BY node_id ORDER BY received_ns, sequence, line, part) AS rank FROM {frames} WHERE boot_session = 'O' AND part % 50 = 7) WHERE rank <= 20")
+@query("store_forward_order", "SELECT node_id, sequence, line, part, row_number() OVER (PARTITION BY node_id ORDER BY received_ns, sequence, line, part) AS rank FROM {frames} WHERE boot_session = 'O'")
 def _(v):
-    rows = v.frames.where("boot_session = 'O' and part % 50 = 7")
-    first = rows.groupBy("node_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("received_ns", "sequence", "line", "part"))), 1, 20).alias("f"))
-    return first.select("node_id", F.posexplode("f").alias("rank", "f")).select("node_id", "f.sequence", (F.col("rank") + 1).cast("int").alias("rank"))
+    """The place of each frame of a session in its node's order, counted by days so that no node is one task."""
+    rows = v.frames.where("boot_session = 'O'")
+    return running(rows, ["node_id"], ["received_ns", "sequence", "line", "part"], F.lit(1).cast("long"), "rank").select("node_id", "sequence", "line", "part", F.col("rank").cast("long").alias("rank"))
 
 
 @query("ready_expired", f"SELECT id, created_ns < {NOW_NS} - 60 * {SECOND}::BIGINT AS expired FROM {{transcripts}}")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.cells import by_cells
 from ..operators.cooldown import with_cooldown
 from ..sources.views import DAY, NOW_NS, SECOND
 from . import query
+from .joins import in_zone
 
 #: Id, categories, modality, least confidence, cooldown in seconds.
 RULES = [("security", ("security",), None, 0.5, 300), ("vehicle_located", ("vehicle",), "localized", 0.4, 60), ("wildlife", ("wildlife", "bird"), "omni", 0.8, 600)]
@@ -52,11 +54,10 @@ def _(v):
 
 @query("zone_policies", "SELECT d.id, count(*) FILTER (suppressed) > 0 AS suppressed, coalesce(string_agg(DISTINCT CASE WHEN suppressed THEN reason END, ',' ORDER BY CASE WHEN suppressed THEN reason END), '') AS reasons FROM (SELECT d.id, z.zone_id % 2 = 0 AND d.label = 'view' AS suppressed, 'suppress_label:' || z.zone_id AS reason FROM {detections} d LEFT JOIN {zones} z ON d.lat >= z.lat_min AND d.lat < z.lat_max AND d.lon >= z.lon_min AND d.lon < z.lon_max) d GROUP BY d.id")
 def _(v):
-    inside = (F.col("lat") >= F.col("lat_min")) & (F.col("lat") < F.col("lat_max")) & (F.col("lon") >= F.col("lon_min")) & (F.col("lon") < F.col("lon_max"))
-    rows = v.detections.join(F.broadcast(v.zones), inside, "left")
-    bad = (F.col("zone_id") % 2 == 0) & (F.col("label") == "view")
-    reason = F.when(bad, F.concat(F.lit("suppress_label:"), F.col("zone_id")))
-    return rows.groupBy("id").agg((F.count_if(bad) > 0).alias("suppressed"), F.array_join(F.array_sort(F.collect_set(reason)), ",").alias("reasons"))
+    bad = v.zones.where("zone_id % 2 = 0").select("zone_id", "lat_min", "lat_max", "lon_min", "lon_max")
+    met = by_cells(v.detections.where("label = 'view'").select("id", "lat", "lon"), bad, ("lat", "lon"), ("lat_min", "lat_max", "lon_min", "lon_max")).where(in_zone())
+    of = met.groupBy("id").agg(F.array_join(F.array_sort(F.collect_set(F.concat(F.lit("suppress_label:"), F.col("zone_id")))), ",").alias("reasons"))
+    return v.detections.select("id").join(of, "id", "left").select("id", F.col("reasons").isNotNull().alias("suppressed"), F.coalesce("reasons", F.lit("")).alias("reasons"))
 
 
 @query("retention_tiers", "SELECT id, CASE WHEN id % 11 = 0 THEN 'ephemeral' WHEN label IN ('purchase') THEN 'permanent' WHEN label_category = 'security' AND label_confidence >= 0.8 THEN 'long' ELSE 'short' END AS tier FROM {detections}")

@@ -52,7 +52,7 @@ def _(v):
 @query("environment_history", "SELECT e.id, e.node_id, e.timestamp_ns, e.temperature_k, n.x, n.y FROM {environment} e LEFT JOIN {nodes} n ON n.id = e.node_id WHERE e.node_id IN (3, 7) ORDER BY e.timestamp_ns DESC, e.id DESC LIMIT 100")
 def _(v):
     rows = newest(v.environment.where(F.col("node_id").isin(3, 7)), 100)
-    return rows.join(F.broadcast(v.nodes.select(F.col("id").alias("node_id"), "x", "y")), "node_id", "left").select("id", "node_id", "timestamp_ns", "temperature_k", "x", "y")
+    return rows.join(v.nodes.select(F.col("id").alias("node_id"), "x", "y"), "node_id", "left").select("id", "node_id", "timestamp_ns", "temperature_k", "x", "y")
 
 
 @query("transcript_scan", f"SELECT id, node_id, created_ns, length(text)::BIGINT AS n_chars FROM {{transcripts}} WHERE created_ns >= {NOW_NS - HOUR} ORDER BY created_ns DESC, id DESC LIMIT 100")

@@ -26,9 +26,10 @@ def insert_unique(stored: DataFrame, new: DataFrame, keys: list, order: list[str
     return stored.unionByName(first.select("r.*"))
 
 
-def upsert(stored: DataFrame, new: DataFrame, key: str, newer: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``stored`` with the rows of ``new`` by ``key``. With ``newer`` a row only replaces one whose ``newer`` is not above its
-    own (late rows change nothing); a null in a column of ``keep`` leaves what is stored. ``new`` has one row per key."""
+def upsert(stored: DataFrame, new: DataFrame, key: str, newer: str | None = None, keep: tuple[str, ...] = (), once: tuple[str, ...] = ()) -> DataFrame:
+    """``stored`` with the rows of ``new`` by ``key``, the column on which they conflict. With ``newer`` a row only replaces one
+    whose ``newer`` is not above its own (late rows change nothing); a null in a column of ``keep`` leaves what is stored;
+    columns of ``once`` are written with a new row and never changed. ``new`` has one row per key."""
     n = new.select(F.col(key), F.struct(*new.columns).alias("_n"))
     both = stored.select(F.col(key), F.struct(*stored.columns).alias("_s")).join(n, key, "full")
     takes = F.col("_n").isNotNull()
@@ -37,6 +38,8 @@ def upsert(stored: DataFrame, new: DataFrame, key: str, newer: str | None = None
     columns = []
     for c in stored.columns:
         own = F.coalesce(F.col("_n")[c], F.col("_s")[c]) if c in keep else F.col("_n")[c]
+        if c in once:
+            own = F.when(F.col("_s").isNotNull(), F.col("_s")[c]).otherwise(own)
         columns.append((F.col(key) if c == key else F.when(takes, own).otherwise(F.col("_s")[c])).alias(c))
     return both.select(*columns)
 
@@ -83,19 +86,23 @@ def _(v):
     return upsert(v.nodes.select("id", "name", "last_seen_ns"), new, "id", "last_seen_ns")
 
 
-@query("upsert_labels", "WITH s AS (SELECT 'lbl-' || label AS id, label AS name, any_value(label_category) AS category, NULL::VARCHAR AS source FROM {detections} GROUP BY label), n AS (SELECT 'lbl-' || left(trim(regexp_replace(lower(c_mktsegment), '[^a-z0-9]+', '-', 'g'), '-'), 48) AS id, lower(c_mktsegment) AS name, NULL::VARCHAR AS category, 'customer' AS source FROM customer GROUP BY c_mktsegment UNION ALL SELECT 'lbl-view', 'view', NULL, 'manual') SELECT coalesce(n.id, s.id) AS id, CASE WHEN n.id IS NOT NULL THEN n.name ELSE s.name END AS name, CASE WHEN n.id IS NOT NULL THEN coalesce(n.category, s.category) ELSE s.category END AS category, CASE WHEN n.id IS NOT NULL THEN coalesce(n.source, s.source) ELSE s.source END AS source FROM s FULL JOIN n ON n.id = s.id")
+_NEW_LABELS_SQL = "SELECT 'lbl-' || left(trim(regexp_replace(lower(c_mktsegment), '[^a-z0-9]+', '-', 'g'), '-'), 48) AS id, lower(c_mktsegment) AS name, 'market' AS category, 'customer' AS source, 'seg-' || lower(c_mktsegment) AS external_id FROM customer GROUP BY c_mktsegment UNION ALL SELECT 'lbl-other', 'view', 'seen', 'manual', NULL UNION ALL SELECT 'lbl-click', 'click', 'heard', 'manual', 'x1'"
+
+
+@query("upsert_labels", f"WITH s AS (SELECT 'lbl-' || label AS id, label AS name, max(label_category) AS category, 'runtime' AS source, 'ext-' || label AS external_id FROM {{detections}} GROUP BY label), n AS ({_NEW_LABELS_SQL}) SELECT coalesce(s.id, n.id) AS id, coalesce(n.name, s.name) AS name, CASE WHEN n.name IS NULL THEN s.category ELSE n.category END AS category, CASE WHEN n.name IS NULL THEN s.source ELSE n.source END AS source, coalesce(n.external_id, s.external_id) AS external_id FROM s FULL JOIN n ON n.name = s.name")
 def _(v):
-    none = F.lit(None).cast("string")
-    stored = v.detections.groupBy("label").agg(F.max("label_category").alias("category")).select(F.concat(F.lit("lbl-"), "label").alias("id"), F.col("label").alias("name"), "category", none.alias("source"))
-    new = v.raw("customer").select("c_mktsegment").distinct().select(F.concat(F.lit("lbl-"), F.substring(slug(F.col("c_mktsegment")), 1, 48)).alias("id"), F.lower("c_mktsegment").alias("name"), none.alias("category"), F.lit("customer").alias("source"))
-    new = new.unionByName(v.spark.range(1).select(F.lit("lbl-view").alias("id"), F.lit("view").alias("name"), none.alias("category"), F.lit("manual").alias("source")))
-    return upsert(stored, new, "id", keep=("category", "source"))
+    """Labels conflict by name: category and source are overwritten, the id stays, and an outside id where the new row has none."""
+    name, stored = F.lower("c_mktsegment"), v.detections.groupBy("label").agg(F.max("label_category").alias("category"))
+    stored = stored.select(F.concat(F.lit("lbl-"), "label").alias("id"), F.col("label").alias("name"), "category", F.lit("runtime").alias("source"), F.concat(F.lit("ext-"), "label").alias("external_id"))
+    new = v.raw("customer").select("c_mktsegment").distinct().select(F.concat(F.lit("lbl-"), F.substring(slug(F.col("c_mktsegment")), 1, 48)).alias("id"), name.alias("name"), F.lit("market").alias("category"), F.lit("customer").alias("source"), F.concat(F.lit("seg-"), name).alias("external_id"))
+    by_hand = v.spark.createDataFrame([("lbl-other", "view", "seen", "manual", None), ("lbl-click", "click", "heard", "manual", "x1")], new.schema)
+    return upsert(stored, new.unionByName(by_hand), "name", keep=("external_id",), once=("id",))
 
 
-@query("upsert_tracks", f"SELECT coalesce(n.track_id, s.track_id) AS track_id, CASE WHEN n.track_id IS NOT NULL THEN n.status ELSE s.status END AS status, CASE WHEN n.track_id IS NOT NULL THEN n.last_seen_ns ELSE s.last_seen_ns END AS last_seen_ns FROM {{tracks}} s FULL JOIN (SELECT c_custkey AS track_id, 'coasting' AS status, {NOW_NS} AS last_seen_ns FROM customer) n ON n.track_id = s.track_id")
+@query("upsert_tracks", f"SELECT coalesce(n.track_id, s.track_id) AS track_id, CASE WHEN n.track_id IS NOT NULL THEN n.status ELSE s.status END AS status, CASE WHEN n.track_id IS NOT NULL THEN n.last_seen_ns ELSE s.last_seen_ns END AS last_seen_ns, coalesce(s.first_seen_ns, n.first_seen_ns) AS first_seen_ns FROM {{tracks}} s FULL JOIN (SELECT c_custkey AS track_id, 'coasting' AS status, {NOW_NS} AS last_seen_ns, {NOW_NS - SECOND} AS first_seen_ns FROM customer) n ON n.track_id = s.track_id")
 def _(v):
-    new = v.raw("customer").select(F.col("c_custkey").alias("track_id"), F.lit("coasting").alias("status"), F.lit(NOW_NS).alias("last_seen_ns"))
-    return upsert(v.tracks.select("track_id", "status", "last_seen_ns"), new, "track_id")
+    new = v.raw("customer").select(F.col("c_custkey").alias("track_id"), F.lit("coasting").alias("status"), F.lit(NOW_NS).alias("last_seen_ns"), F.lit(NOW_NS - SECOND).alias("first_seen_ns"))
+    return upsert(v.tracks.select("track_id", "status", "last_seen_ns", "first_seen_ns"), new, "track_id", once=("first_seen_ns",))
 
 
 _TTL = {"ephemeral": 6 * 86400, "short": 14 * 86400, "long": -1, "permanent": 0}
@@ -118,15 +125,66 @@ def drop_stale(tracks: DataFrame, cutoff_ns: int, active: tuple[str, ...] = ("co
     return tracks.withColumn("status", F.when(F.col("status").isin(*active) & (F.col("last_seen_ns") < cutoff_ns), "dropped").otherwise(F.col("status")))
 
 
-@query("node_delete", "SELECT 'nodes' AS part, count(*) AS n FROM {nodes} WHERE id <> 3 UNION ALL SELECT 'observations', count(*) FROM {observations} WHERE node_id <> 3 UNION ALL SELECT 'environment', count(*) FROM {environment} WHERE node_id <> 3 UNION ALL SELECT 'bit_reports', count(*) FROM {bit_reports} WHERE node_id <> 3")
+@query("retention_tables", f"SELECT 'detections' AS part, count(*) FILTER (CASE {_KEPT_SQL} ELSE true END) AS kept FROM {{detections}} UNION ALL SELECT 'observations', count(*) FILTER (CASE {_KEPT_SQL} ELSE true END) FROM (SELECT o.toa_ns AS timestamp_ns, d.retention_tier FROM {{observations}} o JOIN {{detections}} d ON d.id = o.detection_id) UNION ALL SELECT 'bit_reports', count(*) FILTER (timestamp_ns > {NOW_NS - 9000 * DAY}) FROM {{bit_reports}} UNION ALL SELECT 'environment', count(*) FILTER (timestamp_ns > {NOW_NS - 10 * DAY}) FROM {{environment}} UNION ALL SELECT 'tracks', count(*) FILTER (NOT (status = 'dropped' AND last_seen_ns <= {NOW_NS - 12 * DAY})) FROM {{tracks}}")
 def _(v):
-    rows = delete_node({"nodes": v.nodes, "observations": v.observations, "environment": v.environment, "bit_reports": v.bit_reports}, 3)
+    of_detection = v.detections.select(F.col("id").alias("detection_id"), "retention_tier")
+    tables = {"detections": (v.detections, "timestamp_ns"), "observations": (v.observations.join(of_detection, "detection_id"), "toa_ns")}
+    kept = cleaned(tables, {"bit_reports": (v.bit_reports, "timestamp_ns"), "environment": (v.environment, "timestamp_ns")}, v.tracks, _TTL, {"bit_reports": 9000 * 86400, "environment": 10 * 86400, "dropped_tracks": 12 * 86400}, NOW_NS)
+    return reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("kept")).select(F.lit(name).alias("part"), "kept") for name, df in kept.items()])
+
+
+def cleaned(tiered: dict, operational: dict, tracks: DataFrame, tiers: dict[str, int], ttls: dict[str, int], now_ns: int) -> dict[str, DataFrame]:
+    """The tables after retention: those with a ``retention_tier`` by tier, others by a time to live of their own (without one
+    they stay), and dropped tracks by theirs. ``tiered`` and ``operational``: name -> (table, its time)."""
+    out = {name: retained(df, "retention_tier", ts, tiers, now_ns) for name, (df, ts) in tiered.items()}
+    for name, (df, ts) in operational.items():
+        own = ttls.get(name, -1)
+        out[name] = df.where(F.col(ts) > now_ns - own * SECOND) if own >= 0 else df
+    own = ttls.get("dropped_tracks", -1)
+    out["tracks"] = tracks.where(~((F.col("status") == "dropped") & (F.col("last_seen_ns") <= now_ns - own * SECOND))) if own >= 0 else tracks
+    return out
+
+
+@query("node_delete", "SELECT 'nodes' AS part, count(*) AS n FROM {nodes} WHERE id <> 3 UNION ALL SELECT 'observations', count(*) FROM {observations} WHERE node_id <> 3 UNION ALL SELECT 'environment', count(*) FROM {environment} WHERE node_id <> 3 UNION ALL SELECT 'bit_reports', count(*) FROM {bit_reports} WHERE node_id <> 3 UNION ALL SELECT 'detections', count(*) FROM {detections} UNION ALL SELECT 'detections with a node', count(*) FROM {detections} WHERE node_id <> 3")
+def _(v):
+    rows = delete_node({"nodes": v.nodes, "observations": v.observations, "environment": v.environment, "bit_reports": v.bit_reports}, 3, {"detections": v.detections})
+    rows["detections with a node"] = rows["detections"].where("node_id is not null")
     return reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n") for name, df in rows.items()])
 
 
-def delete_node(tables: dict[str, DataFrame], node_id) -> dict[str, DataFrame]:
-    """The tables without a node and what belongs to it; rows without a node stay."""
-    return {name: df.where(~F.col("id" if name == "nodes" else "node_id").eqNullSafe(F.lit(node_id))) for name, df in tables.items()}
+def delete_node(tables: dict[str, DataFrame], node_id, cleared: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """The tables without a node and what belongs to it, and those of ``cleared`` with its id set to null; rows without a node stay."""
+    out = {name: df.where(~F.col("id" if name == "nodes" else "node_id").eqNullSafe(F.lit(node_id))) for name, df in tables.items()}
+    return out | {name: df.withColumn("node_id", F.when(~F.col("node_id").eqNullSafe(F.lit(node_id)), F.col("node_id"))) for name, df in (cleared or {}).items()}
+
+
+@query("insert_observations", "SELECT observation_id, node_id, toa_ns FROM {observations} UNION ALL SELECT observation_id + 1000000000, node_id, toa_ns FROM {observations} WHERE channel = 1")
+def _(v):
+    """Appended observations: of batches that were sent again only ids not stored yet."""
+    stored = v.observations.select("observation_id", "node_id", "toa_ns")
+    fresh = v.observations.where("channel = 1").select((F.col("observation_id") + 1000000000).alias("observation_id"), "node_id", "toa_ns")
+    return insert_unique(stored, stored.unionByName(fresh).unionByName(fresh), [F.col("observation_id")], ["toa_ns"])
+
+
+@query("insert_transcripts", "SELECT id, node_id, created_ns FROM {transcripts} UNION ALL SELECT id + 100000000, node_id, created_ns FROM {transcripts}")
+def _(v):
+    stored = v.transcripts.select("id", "node_id", "created_ns")
+    fresh = stored.withColumn("id", F.col("id") + 100000000)
+    return insert_unique(stored, fresh.unionByName(stored), [F.col("id")], ["created_ns"])
+
+
+@query("insert_bit_reports", "SELECT id, node_id, report_type, status FROM {bit_reports} UNION ALL SELECT id + 100000000, node_id, 'CBIT', status FROM {bit_reports} WHERE status = 'FAIL'")
+def _(v):
+    stored = v.bit_reports.select("id", "node_id", "report_type", "status")
+    fresh = stored.where("status = 'FAIL'").select((F.col("id") + 100000000).alias("id"), "node_id", F.lit("CBIT").alias("report_type"), "status")
+    return insert_unique(stored, fresh.unionByName(stored), [F.col("id")], ["report_type"])
+
+
+@query("insert_track_updates", "SELECT track_id, timestamp_ns, min(id) AS id FROM {detections} WHERE track_id IS NOT NULL GROUP BY 1, 2")
+def _(v):
+    """Updates of tracks: one of each track and time, the first detection's."""
+    updates = v.detections.where("track_id is not null").select("track_id", "timestamp_ns", "id")
+    return insert_unique(updates.where("false"), updates, [F.col("track_id"), F.col("timestamp_ns")], ["id"])
 
 
 @query("snippets_expired", f"SELECT id, CASE WHEN created_ns + {30 * DAY} <= {NOW_NS} THEN NULL ELSE 'snippet-' || id || '.wav' END AS path FROM {{artifacts}}")

@@ -70,7 +70,9 @@ class Views:
         point = lambda a, b: F.array(a, b)
         lat0, lat1, lon0, lon1 = (F.col(c) for c in ("lat_min", "lat_max", "lon_min", "lon_max"))
         ring = F.array(point(lat0, lon0), point(lat1, lon0), point((lat0 + lat1) / 2, (lon0 + lon1) / 2), point(lat1, lon1), point(lat0, lon1))
-        return z.select("zone_id", "name", F.expr("CASE zone_id % 3 WHEN 0 THEN 'exclusion' WHEN 1 THEN 'suppress' ELSE 'only' END").alias("kind"), F.expr("CASE zone_id WHEN 1 THEN 'view' WHEN 4 THEN 'click' WHEN 2 THEN 'signup' END").alias("zone_label"), ring.alias("polygon"))
+        lists = {"suppress_labels": {1: ["view"], 3: ["Purchase"]}, "suppress_categories": {1: ["security"]}, "only_labels": {2: ["signup"], 4: ["signup"]}, "only_categories": {4: ["human"]}}
+        columns = [F.coalesce(*[F.when(F.col("zone_id") == k, F.array(*map(F.lit, x))) for k, x in of.items()], F.array().cast("array<string>")).alias(c) for c, of in lists.items()]
+        return z.select("zone_id", "name", F.expr("CASE zone_id % 3 WHEN 0 THEN 'exclusion' ELSE 'monitor' END").alias("kind"), *columns, ring.alias("polygon"))
 
     @cached_property
     def artifacts(self) -> DataFrame:
@@ -127,7 +129,8 @@ DUCKDB_VIEWS = {
         n_regionkey::BIGINT AS cluster_id, {NOW_NS} - n_nationkey::BIGINT * {5 * SECOND} AS last_seen_ns FROM nation WHERE n_nationkey < 16""",
     "zones": """SELECT r_regionkey::BIGINT AS zone_id, r_name AS name, 44.98::DOUBLE + r_regionkey::DOUBLE * 0.0008::DOUBLE AS lat_min, 44.9812::DOUBLE + r_regionkey::DOUBLE * 0.0008::DOUBLE AS lat_max,
         -93.258::DOUBLE AS lon_min, -93.2555::DOUBLE AS lon_max FROM region""",
-    "areas": """SELECT zone_id, name, CASE zone_id % 3 WHEN 0 THEN 'exclusion' WHEN 1 THEN 'suppress' ELSE 'only' END AS kind, CASE zone_id WHEN 1 THEN 'view' WHEN 4 THEN 'click' WHEN 2 THEN 'signup' END AS zone_label,
+    "areas": """SELECT zone_id, name, CASE zone_id % 3 WHEN 0 THEN 'exclusion' ELSE 'monitor' END AS kind, CASE zone_id WHEN 1 THEN ['view'] WHEN 3 THEN ['Purchase'] ELSE [] END AS suppress_labels, CASE zone_id WHEN 1 THEN ['security'] ELSE [] END AS suppress_categories,
+        CASE WHEN zone_id IN (2, 4) THEN ['signup'] ELSE [] END AS only_labels, CASE zone_id WHEN 4 THEN ['human'] ELSE [] END AS only_categories,
         [[lat_min, lon_min], [lat_max, lon_min], [(lat_min + lat_max) / 2, (lon_min + lon_max) / 2], [lat_max, lon_max], [lat_min, lon_max]] AS polygon FROM zones""",
     "artifacts": "SELECT o_orderkey AS id, o_custkey % 16 AS node_id, o_orderkey AS detection_id, o_custkey % 250 AS track_id, epoch_ns(o_orderdate) AS created_ns, o_totalprice AS bytes FROM orders",
     "frames": "SELECT l_suppkey % 16 AS node_id, l_linestatus AS boot_session, l_orderkey AS sequence, epoch_ns(l_shipdate) AS received_ns, l_linenumber::BIGINT AS line, l_partkey AS part FROM lineitem",

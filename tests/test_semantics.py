@@ -91,7 +91,7 @@ def test_polygons(spark):
     got = {r.id for r in df.where(in_polygon(F.col("lat"), F.col("lon"), F.lit(ring))).collect()}
     assert got == {1, 3, 6}
     a = spark.createDataFrame([(9, ring)], "zone_id long, polygon array<array<double>>")
-    assert {r.id for r in areas.inside(df, a, cell=0.7).collect()} == got
+    assert {r.id for r in areas.inside(df, a).collect()} == got
 
 
 def test_flat_positions_follow_the_series():
