@@ -36,6 +36,8 @@ from .common import stage, table
 
 #: Most keys that are sent to every executor at a time.
 BROADCAST_KEYS = 200_000
+#: Most rows of flipped block values (some thousand per item) that are sent to every executor; more are shuffled.
+BROADCAST_FLIPPED = 2_000_000
 #: Bits that may differ inside the one block that two near fingerprints share.
 FLIPS = 3
 GAP = r"[^\p{L}\p{N}]+"
@@ -48,20 +50,29 @@ def words_of(text) -> F.Column:
 def shingles_of(words, k: int) -> F.Column:
     """All runs of ``k`` words as texts, in order; fewer words are one run."""
     n = F.greatest(F.size(words) - F.lit(k) + 1, F.lit(1))
-    runs = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(words, i, k), " "))
+    runs = bound(words, lambda x: F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(x, i, k), " ")))
     return F.when(F.size(words) > 0, runs).otherwise(F.array().cast("array<string>"))
 
 
+def bound(value, f) -> F.Column:
+    """``f`` of a column expression that is evaluated once per row, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def simhash(words) -> F.Column:
     """64 bits: where most of the words' hashes have a one."""
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    half = F.size(words)
+    one = F.lit(1).cast("long")
+
+    def of(hashes):
+        def ones(i):
+            return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a + F.call_function("shiftrightunsigned", h, i).bitwiseAND(one))
 
-    def bit(i):
-        ones = F.aggregate(hashes, F.lit(0), lambda a, h: a + F.when(h.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) != 0, 1).otherwise(0))
-        return F.when(ones * 2 > half, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))
+        def bit(i):
+            return F.when(ones(i) * 2 > F.size(hashes), F.call_function("shiftleft", one, i)).otherwise(F.lit(0).cast("long"))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda a, i: a.bitwiseOR(bit(i)))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda a, i: a.bitwiseOR(bit(i)))
+
+    return bound(F.transform(words, lambda w: F.xxhash64(w)), of)
 
 
 def radius_for(threshold: float, loss: float = 1e-6) -> int:
@@ -116,11 +127,12 @@ def _hash(words) -> F.Column:
     return F.xxhash64(F.array_join(words, " "))
 
 
-def _windows(docs: DataFrame, keys: DataFrame, singles: DataFrame) -> DataFrame:
-    """(doc_id, start, n_words, w, own): the windows that hold a rare shingle; ``w`` names the words of a window.
+def _hits(docs: DataFrame, keys: DataFrame, singles: DataFrame) -> DataFrame:
+    """(doc_id, n_words, low, r, f, h, around): where windows of ``n_words`` words have a rare shingle inside.
 
-    The documents are read once for each ``BROADCAST_KEYS`` keys, which are sent to every executor. Of a hit only the words
-    that its windows can have go on; the hit before it, in the same text, tells which starts are laid already.
+    ``around`` are the words from ``low`` on that these windows can have, ``r`` names them; windows begin at ``low`` + f to
+    ``low`` + h. The documents are read once for each ``BROADCAST_KEYS`` keys, which are sent to every executor; the hit
+    before, in the same text, tells which starts are taken already.
     """
     words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text"), F.split(F.lower("text"), GAP).alias("words"))
     words = words.withColumn("words", F.filter("words", lambda x: x != ""))
@@ -132,7 +144,7 @@ def _windows(docs: DataFrame, keys: DataFrame, singles: DataFrame) -> DataFrame:
             some = keys_.where(F.pmod(F.xxhash64(*on), F.lit(parts)) == i) if parts > 1 else keys_
             met.append(rows.join(F.broadcast(some), on).select("doc_id", "text", "words", "at", F.explode("places").alias("p")))
     if not met:
-        return words.where("false").select("doc_id", F.lit(0).alias("start"), F.lit(0).alias("n_words"), F.lit("").alias("w"), F.col("words").alias("own"))
+        return words.where("false").select("doc_id", F.lit(0).alias("n_words"), F.lit(0).alias("low"), F.lit("").alias("r"), F.lit(0).alias("f"), F.lit(0).alias("h"), F.col("words").alias("around"))
     n, size, at = F.col("p.n_words"), F.col("p.size"), F.col("at") - F.col("p.back")
     hits = reduce(DataFrame.unionByName, met).where((at >= 0) & (_hash(F.slice("words", F.greatest(at, F.lit(0)) + 1, size)) == F.col("p.hash")))
     low = F.greatest(at - (n - size), F.lit(0))
@@ -141,9 +153,7 @@ def _windows(docs: DataFrame, keys: DataFrame, singles: DataFrame) -> DataFrame:
     hits = hits.groupBy("doc_id", "text", "n_words", "at").agg(F.first("low").alias("low"), F.first("high").alias("high"), F.first("around").alias("around"))
     before = F.lag("at").over(Window.partitionBy("doc_id", "text", "n_words").orderBy("at"))
     hits = hits.withColumn("first", F.greatest("low", F.coalesce(before + 1, F.lit(0)))).where("first <= high")
-    laid = hits.select("doc_id", "n_words", "low", "around", F.explode(F.sequence("first", "high")).alias("start"))
-    laid = laid.select("doc_id", "start", "n_words", F.slice("around", F.col("start") - F.col("low") + 1, F.col("n_words")).alias("own"))
-    return laid.withColumn("w", F.md5(F.array_join("own", " ")))
+    return hits.select("doc_id", "n_words", "low", F.md5(F.array_join("around", " ")).alias("r"), (F.col("first") - F.col("low")).alias("f"), (F.col("high") - F.col("low")).alias("h"), "around")
 
 
 def _blocks(print_, radius: int) -> tuple[F.Column, F.Column]:
@@ -169,32 +179,45 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: flo
     keys = _keys(items, rare, k).groupBy("word", "next").agg(F.collect_set(F.struct("back", "size", "hash", "n_words")).alias("places"))
     one = F.array(F.struct(F.lit(0).alias("back"), F.lit(1).alias("size"), _hash(F.array("word")).alias("hash"), F.lit(1).alias("n_words")))
     singles = items.where("n_words = 1").select(F.get("words", F.lit(0)).alias("word")).distinct().withColumn("places", one)
-    windows = stage(_windows(docs, stage(keys, "keys"), stage(singles, "singles")), "windows")
-    # each different window once, however many documents hold it
-    texts = windows.groupBy("w", "n_words").agg(F.first("own").alias("own"))
-    texts = stage(texts.withColumn("print", simhash(F.col("own"))), "texts")
+    hits = stage(_hits(docs, stage(keys, "keys"), stage(singles, "singles")), "hits")
+    # equal words around hits are looked at once, however many documents hold them
+    regions = hits.groupBy("r", "n_words", "f", "h").agg(F.first("around").alias("around"))
+    regions = stage(regions, "regions")
+    place = ["r", "n_words", "f", "h", "off"]
+    own = F.slice("around", F.col("off") + 1, F.col("n_words"))
+    windows = regions.withColumn("off", F.explode(F.sequence("f", "h")))
+    prints = stage(windows.select(*place, simhash(own).alias("print")), "prints")
     # all fingerprints within the radius share a block up to few flipped bits
     known = items.select("item_id", "n_words", simhash(F.col("words")).alias("print2"))
     values, _ = _blocks(F.col("print"), radius)
     values2, masks = _blocks(F.col("print2"), radius)
     flipped = known.select("item_id", "n_words", "print2", F.posexplode(values2).alias("block", "v")).withColumn("mask", F.explode(masks)).select("item_id", "n_words", "print2", "block", F.col("v").bitwiseXOR(F.col("mask")).alias("value"))
-    left = texts.select("w", "n_words", "print", F.posexplode(values).alias("block", "value"))
+    flipped = stage(flipped, "flipped")
+    flipped = F.broadcast(flipped) if flipped.count() <= BROADCAST_FLIPPED else flipped
+    left = prints.select(*place, "print", F.posexplode(values).alias("block", "value"))
     hamming = F.bit_count(F.col("print").bitwiseXOR(F.col("print2")))
-    near = left.join(flipped, ["n_words", "block", "value"]).where(hamming <= radius).groupBy("w", "n_words", "item_id").agg(F.min(hamming).alias("hamming"))
+    near = left.join(flipped, ["n_words", "block", "value"]).where(hamming <= radius).groupBy(*place, "item_id").agg(F.min(hamming).alias("hamming"))
+    # what a window shares with the item has to weigh the threshold's part of the item; few pairs are left by that
+    of_item = weights.groupBy("item_id").agg(F.collect_list(F.struct("shingle", "weight")).alias("all"), F.sum("weight").alias("whole"))
+    add = lambda x, y: x + y
+    found = near.join(regions, ["r", "n_words", "f", "h"]).join(of_item, "item_id")
+    shared = lambda own_: F.aggregate(F.transform(F.filter("all", lambda x: F.array_contains(own_, x.shingle)), lambda x: x.weight), F.lit(0.0), add)
+    of_window = bound(F.array_distinct(shingles_of(own, k)), lambda x: F.struct(x.alias("shingles"), shared(x).alias("both")))
+    found = found.select(*place, "item_id", "hamming", "whole", of_window.alias("m")).select(*place, "item_id", "hamming", "whole", "m.*")
+    found = stage(found.where(F.col("both") >= threshold * F.col("whole") - 1e-9), "found")
     # exact weighted similarity
-    own = near.join(texts.select("w", "n_words", "own"), ["w", "n_words"])
-    shingles = own.select("w", "n_words", "item_id", "hamming", F.explode(F.array_distinct(shingles_of(F.col("own"), k))).alias("shingle"))
     anywhere = weights.select("shingle", "weight").distinct()
     unseen = items.agg(F.log1p(F.count("*").cast("double")).alias("unseen"))
-    weighed = shingles.join(anywhere, "shingle", "left").join(F.broadcast(unseen)).withColumn("weight", F.coalesce("weight", "unseen"))
-    weighed = weighed.join(weights.select("item_id", "shingle", F.lit(1.0).alias("own")), ["item_id", "shingle"], "left")
-    both = weighed.groupBy("w", "n_words", "item_id", "hamming").agg(F.sum("weight").alias("window"), F.sum(F.col("weight") * F.coalesce("own", F.lit(0.0))).alias("both"))
-    whole = weights.groupBy("item_id").agg(F.sum("weight").alias("whole"))
-    scored = both.join(whole, "item_id").withColumn("similarity", F.col("both") / (F.col("window") + F.col("whole") - F.col("both"))).where(F.col("similarity") >= threshold - 1e-9)
-    scored = stage(scored.select("w", "n_words", "item_id", "hamming", "similarity"), "scored")
-    hits = windows.select("doc_id", "start", "n_words", "w").join(scored, ["w", "n_words"])
-    best = hits.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", -F.col("hamming"), -F.col("start"), "n_words")).alias("m"))
-    return best.select("doc_id", "item_id", (-F.col("m.col3")).alias("start_word"), F.col("m.n_words").alias("n_words"), (-F.col("m.col2")).cast("int").alias("hamming"), F.round("m.similarity", 6).alias("similarity"))
+    each = found.select(*place, F.explode("shingles").alias("shingle")).distinct()
+    weighed = each.join(anywhere, "shingle", "left").join(F.broadcast(unseen)).groupBy(*place).agg(F.sum(F.coalesce("weight", "unseen")).alias("window"))
+    scored = found.drop("shingles").join(weighed, place).withColumn("similarity", F.col("both") / (F.col("window") + F.col("whole") - F.col("both"))).where(F.col("similarity") >= threshold - 1e-9)
+    # of a region's windows the best of each item, then of a document's regions
+    order = ["similarity", "less", "early"]
+    top = scored.groupBy("r", "n_words", "f", "h", "item_id").agg(F.max(F.struct("similarity", (-F.col("hamming")).alias("less"), (-F.col("off")).alias("early"))).alias("m"))
+    top = stage(top.select("r", "n_words", "f", "h", "item_id", "m.*"), "scored")
+    ends = hits.select("doc_id", "low", "r", "n_words", "f", "h").join(top, ["r", "n_words", "f", "h"]).withColumn("early", F.col("early") - F.col("low"))
+    best = ends.groupBy("doc_id", "item_id").agg(F.max(F.struct(*order, "n_words")).alias("m"))
+    return best.select("doc_id", "item_id", (-F.col("m.early")).alias("start_word"), F.col("m.n_words").alias("n_words"), (-F.col("m.less")).cast("int").alias("hamming"), F.round("m.similarity", 6).alias("similarity"))
 
 
 def op10_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
