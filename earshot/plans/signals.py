@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import assignment, signal, trackfold, tracking
+from ..operators import assignment, signal, tdoa, trackfold, tracking
 from . import query
 from .measures import placed
 
@@ -50,6 +50,22 @@ def _(v):
     return tracking.kalman_smooth(rows)
 
 
+@query("tdoa_fixes")
+def _(v):
+    """Places of localized detections from the arrival times at their sensors, which their own places and some microseconds of
+    jitter give."""
+    at = v.nodes.select(F.col("id").alias("node_id"), F.col("x").alias("nx"), F.col("y").alias("ny"), (F.col("z") * 3).alias("nz"))
+    true = placed(v).where("reporting_modality = 'localized'").select(F.col("id").alias("detection_id"), "x", "y", "z")
+    heard = v.observations.join(at, "node_id").join(true, "detection_id")
+    far = F.sqrt((F.col("x") - F.col("nx")) ** 2 + (F.col("y") - F.col("ny")) ** 2 + (F.col("z") - F.col("nz")) ** 2)
+    heard = heard.select("detection_id", "channel", "nx", "ny", "nz", (far / 343.0 + (F.col("observation_id") * 37 % 100 - 50) * 1e-7).alias("t"))
+    a, b = (heard.select("detection_id", *[F.col(c).alias(c + k) for c in ("channel", "nx", "ny", "nz", "t")]) for k in "ab")
+    both = a.join(b, "detection_id").where("channela < channelb")  # six pairs of an event's four channels
+    pair = F.struct(F.col("nxa").alias("ax"), F.col("nya").alias("ay"), F.col("nza").alias("az"), F.col("nxb").alias("bx"), F.col("nyb").alias("by"), F.col("nzb").alias("bz"), (F.col("ta") - F.col("tb")).alias("tau_s"), F.lit(1.0).alias("weight"), F.lit(0.9).alias("peak"))
+    rows = both.groupBy("detection_id").agg(F.collect_list(pair).alias("pairs"))
+    return tdoa.solve_rows(rows.select("detection_id", "pairs", F.lit(343.0).alias("speed"), F.lit(None).cast("double").alias("z")), "detection_id")
+
+
 @query("site_tracks")
 def _(v):
     """Tracks of each site (a cluster of nodes) from its localized detections."""
