@@ -1,8 +1,6 @@
 """Helpers that the training-data operators share.
 
-Shared folder
-    Intermediate tables go below ``spark.checkpoint.dir``, which driver and executors of a cluster share. Where that
-    setting is absent (tests on one machine), a temporary folder of this machine is taken.
+Intermediate tables go below ``spark.checkpoint.dir`` (see ``earshot.operators.stages``).
 """
 
 from __future__ import annotations
@@ -10,38 +8,27 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import os
-import tempfile
-import uuid
 from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
+from ..operators import stages
+from ..operators.stages import components, shared_dir  # noqa: F401 (used by the operators)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset, one temporary folder per application."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = tempfile.mkdtemp(prefix="spark-")
-    return _OWN[app]
+#: Row groups of intermediate tables stay small: a task that writes one holds a group in memory.
+ROW_GROUP = {"parquet.block.size": str(32 << 20)}
 
 
 def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and reads it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return stages.stage(df, name, **(ROW_GROUP | options))
 
 
 def dropped(df: DataFrame) -> None:
@@ -81,33 +68,5 @@ def running_offsets(totals: DataFrame, order: list[str], value: str, out: str) -
     return totals.withColumn(out, F.coalesce(F.sum(value).over(before), F.lit(0)).cast("long"))
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b", limit: int = 60) -> DataFrame:
-    """(node, component): the smallest node that each node of ``links`` reaches.
-
-    Alternating large-star and small-star rounds: each round joins every link with the least neighbour of its end, as
-    two aggregations and two joins without a window, so that a node with a third of all links is no single task. A
-    round's links are written to the shared folder; the rounds grow with the logarithm of the longest path.
-    """
-    ends = links.where((F.col(a) != F.col(b)) & F.col(a).isNotNull() & F.col(b).isNotNull())
-    e = stage(ends.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "links")
-    seen = None
-    for _ in range(limit):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        moved = small.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = stage(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
-        now = e.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-        if seen == tuple(now):
-            break
-        seen = tuple(now)
-    else:
-        raise RuntimeError("links didn't settle")
-    roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
-
-
 def any_of(conditions: list):
     return reduce(lambda x, y: x | y, conditions)

@@ -27,6 +27,10 @@ from .common import small, table, texts_of
 from .tokens import encoder
 
 
+#: Pieces in an Arrow batch that goes back (up to 8 KB each with ids), and pieces in each generation of the encoder's cache.
+EMITTED, CACHED = 512, 150_000
+
+
 @dataclass(frozen=True)
 class Limits:
     tokens: int = 2048
@@ -123,7 +127,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, kind: str = "word_end
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, segment int, loss_tokens int" + ", ids array<int>" * with_ids
 
     def pieces(batches):
-        part, enc, packer = TaskContext.get().partitionId(), encoder(tokenizer, kind), Packer(limits)
+        part, enc, packer = TaskContext.get().partitionId(), encoder(tokenizer, kind, CACHED), Packer(limits)
 
         def rows(found):
             key, start, ids, total, seq, offset, segment, loss = zip(*found, strict=True)
@@ -140,7 +144,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, kind: str = "word_end
             found = []
             for key, ids, k in zip(keys, enc.encode(b.column(1).to_pylist()), prompts, strict=True):
                 found += packer.add(key, np.append(ids, np.uint32(end_id)), k)
-                if len(found) >= 4096:
+                if len(found) >= EMITTED:
                     yield rows(found)
                     found = []
             if found:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from .common import small
 from .hashing import mix, shingle_sets
 
-BLOCK, BUCKET, HOT, MOST_DOCS = 1_000_000, 1_000_000, 64, 60_000
+BLOCK, BUCKET, HOT, MOST_DOCS = 700_000, 700_000, 64, 42_000
 RANGES = 32
 _ASK, _LIST, _HEAD = 0, 1, 2
 DEALT = "to int, block long, kind int, bucket int, a binary, b binary, c binary"
