@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import assignment, signal, tdoa, trackfold, tracking
+from ..operators import assignment, buffers, signal, tdoa, trackfold, tracking
 from . import query
 from .measures import placed
 
@@ -90,3 +90,49 @@ def _(v):
 def _(v):
     rows = v.detections.select("node_id", ((F.col("lon") + 93.2565) * 78700.0).alias("x"), ((F.col("lat") - 44.98) * 111320.0).alias("y"))
     return tracking.kde_mode(rows, bandwidth_m=25.0)
+
+
+#: Frames of 64 samples from eight sensors: every eleventh is lost, every seventh overlaps the one before by 16 samples, some
+#: come late, and sensor 3 begins a new epoch far ahead.
+_SENSOR_FRAMES_SQL = "SELECT vec_id % 8 AS sensor, vec_id // 8 AS k, CASE WHEN vec_id % 5 = 0 AND NOT (vec_id % 8 = 3 AND vec_id // 8 BETWEEN 30 AND 45) THEN vec_id + 20 ELSE vec_id END * 1000 + vec_id AS received_ns, (vec_id // 8) * 64 - CASE WHEN (vec_id // 8) % 7 = 3 THEN 16 ELSE 0 END + CASE WHEN vec_id % 8 = 3 AND vec_id // 8 >= 40 THEN 100000 ELSE 0 END AS first, embedding FROM embeddings WHERE (vec_id // 8) % 11 <> 5"
+_EPOCH_SQL = "CASE WHEN sensor = 3 AND first >= 100000 THEN 2 ELSE 1 END"
+
+
+def _sensor_frames(v):
+    i, k = F.col("vec_id"), F.expr("vec_id div 8")
+    first = k * 64 - F.when(k % 7 == 3, 16).otherwise(0) + F.when((i % 8 == 3) & (k >= 40), 100000).otherwise(0)
+    late = F.when((i % 5 == 0) & ~((i % 8 == 3) & k.between(30, 45)), i + 20).otherwise(i) * 1000 + i
+    rows = v.raw("embeddings").where(k % 11 != 5).select((i % 8).alias("sensor"), late.alias("received_ns"), (first * 62500).alias("start_ns"), first.alias("start_index"), F.col("embedding").alias("samples"))
+    return buffers.placed_frames(rows, rate=16_000, most_s=2.0)
+
+
+@query("buffer_coverage", f"WITH f AS ({_SENSOR_FRAMES_SQL}), e AS (SELECT sensor, {_EPOCH_SQL} AS epoch, first, first + len(embedding) AS stop FROM f), g AS (SELECT *, CASE WHEN first <= max(stop) OVER (PARTITION BY sensor, epoch ORDER BY first, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM e), h AS (SELECT *, sum(fresh) OVER (PARTITION BY sensor, epoch ORDER BY first, stop) AS island FROM g) SELECT sensor, epoch::BIGINT AS epoch, min(first) AS first, max(stop) AS end FROM h GROUP BY sensor, epoch, island")
+def _(v):
+    return buffers.coverage(_sensor_frames(v), bucket=512)
+
+
+_WINDOWS_SQL = f"WITH f AS ({_SENSOR_FRAMES_SQL}), r AS (SELECT sensor, {_EPOCH_SQL} AS epoch, received_ns, unnest(embedding)::DOUBLE AS x, first + generate_subscripts(embedding, 1) - 1 AS pos FROM f), s AS (SELECT sensor, epoch, pos, arg_max(x, received_ns) AS x FROM r GROUP BY ALL)"
+
+
+@query("buffer_windows", f"{_WINDOWS_SQL} SELECT sensor, epoch::BIGINT AS epoch, pos // 100 AS window, count(*) AS covered, round(sum(x * x), 5) AS energy FROM s GROUP BY ALL")
+def _(v):
+    """Windows of 100 samples over all that is covered."""
+    filled = _filled(v)
+    energy = F.aggregate(F.transform("samples", lambda x: x * x), F.lit(0.0), lambda a, b: a + b)
+    return filled.select("sensor", "epoch", "window", "covered", F.round(energy, 5).alias("energy"))
+
+
+def _filled(v):
+    placed = _sensor_frames(v)
+    wanted = placed.select("sensor", "epoch", F.explode(F.sequence(F.floor(F.col("first") / 100), F.floor((F.col("end") - 1) / 100))).alias("window")).distinct()
+    return buffers.windows(placed, wanted.withColumn("first", F.col("window") * 100).withColumn("end", F.col("first") + 100), bucket=256)
+
+
+@query("synchronized_windows", f"{_WINDOWS_SQL} SELECT w AS \"window\", count(*) AS sensors FROM (SELECT sensor, epoch, pos // 100 AS w, count(*) AS n FROM s GROUP BY ALL) WHERE n >= 90 GROUP BY w HAVING count(DISTINCT sensor) >= 6")
+def _(v):
+    return buffers.synchronized(_filled(v), 6, 0.9).groupBy("window").agg(F.count("*").alias("sensors"))
+
+
+@query("sensor_summaries", f"WITH f AS ({_SENSOR_FRAMES_SQL}), e AS (SELECT sensor, {_EPOCH_SQL} AS epoch, first, first + len(embedding) AS stop, received_ns FROM f), g AS (SELECT *, CASE WHEN first <= max(stop) OVER (PARTITION BY sensor, epoch ORDER BY first, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM e), h AS (SELECT *, sum(fresh) OVER (PARTITION BY sensor, epoch ORDER BY first, stop) AS island FROM g), i AS (SELECT sensor, epoch, min(first) AS a, max(stop) AS b FROM h GROUP BY sensor, epoch, island), c AS (SELECT sensor, epoch, sum(b - a) AS covered, count(*) - 1 AS holes, max(b) - min(a) AS span FROM i GROUP BY ALL) SELECT sensor, count(*) AS epochs, (SELECT count(*) FROM f WHERE f.sensor = c.sensor) AS frames, sum(covered)::BIGINT AS covered, sum(holes)::BIGINT AS holes, sum(span)::BIGINT AS span FROM c GROUP BY sensor")
+def _(v):
+    return buffers.sensor_summaries(_sensor_frames(v), _filled(v)).select("sensor", "epochs", "frames", "covered", "holes", "span")
