@@ -25,9 +25,10 @@ other columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.timeline import running
 from .common import running_offsets, stage, table
 
 LEAST_CHARS = 12
@@ -98,13 +99,15 @@ def link(parsed: DataFrame) -> DataFrame:
     quotes = stage(quoted_passages(parsed), "quotes")
     if quotes.isEmpty():  # no quote, nothing to look for
         return quotes.select("conv_id", "turn", F.lit(None).cast("long").alias("to_conv"), F.lit(None).cast("long").alias("to_turn"), "level", "size")
-    # of the same conversation the latest before, by a window over the turns of equal passages alone; of other
-    # conversations the first two, so that one is not the quoting one: aggregations with partial sums
+    # of the same conversation the latest before, by running maxima over the turns of equal passages alone, in buckets of
+    # turns, so that a passage that one conversation repeats all the time is no single task; of other conversations the
+    # first two, so that one is not the quoting one: aggregations with partial sums
     own = own_passages(parsed).join(quotes.select("hash").distinct(), "hash", "left_semi")
     own = stage(own, "own")
     turns = quotes.withColumn("own", F.lit(None).cast("long")).unionByName(own.select("conv_id", "turn", "hash", F.col("turn").alias("own")), allowMissingColumns=True)
-    before = Window.partitionBy("hash", "conv_id").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
-    here = turns.withColumn("to_turn", F.max("own").over(before)).where("own is null and to_turn is not null")
+    turns = turns.withColumn("is_own", F.col("own").isNotNull().cast("int"))  # a turn's quotes stand before its own passages
+    turns = running(turns, ["hash", "conv_id"], ["turn", "is_own"], F.col("own"), "to_turn", kind="max", bucket=4096, own=False)
+    here = turns.where("own is null and to_turn is not null")
     here = here.groupBy("conv_id", "turn", "place", "level", "size").agg(F.max("to_turn").alias("to_turn")).withColumn("to_conv", F.col("conv_id"))
     first = stage(own.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("o")), "first")
     second = own.join(first, "hash").where(F.col("conv_id") != F.col("o.conv_id")).groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("o2"))
