@@ -160,7 +160,7 @@ def _(v):
     return rows.agg(F.count("*").alias("n"), F.countDistinct("o_custkey").alias("customers"))
 
 
-@query("stale_nodes", f"SELECT n.id FROM {{nodes}} n WHERE NOT EXISTS (SELECT 1 FROM {{detections}} d WHERE d.node_id = n.id AND d.timestamp_ns >= {NOW_NS - 2 * DAY - HOUR})")
+@query("stale_nodes", f"SELECT n.id FROM {{nodes}} n WHERE NOT EXISTS (SELECT 1 FROM {{detections}} d WHERE d.node_id = n.id AND d.timestamp_ns >= {NOW_NS - HOUR})")
 def _(v):
-    seen = v.detections.where(F.col("timestamp_ns") >= NOW_NS - 2 * DAY - HOUR).select(F.col("node_id").alias("id"))
+    seen = v.detections.where(F.col("timestamp_ns") >= NOW_NS - HOUR).select(F.col("node_id").alias("id"))
     return v.nodes.select("id").join(seen, "id", "left_anti")

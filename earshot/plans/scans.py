@@ -37,10 +37,10 @@ def _(v):
     return newest(v.detections.where("track_id = 42"), 25).select("id", "track_id", "timestamp_ns")
 
 
-@query("alert_scan_any", "SELECT id, track_id, timestamp_ns FROM {detections} WHERE label_category = 'security' AND label_confidence >= 0.9 AND (id = 17 OR track_id = 5 OR track_id = 105) ORDER BY timestamp_ns DESC, id DESC LIMIT 100")
+@query("alert_scan_any", "SELECT id, track_id, timestamp_ns FROM {detections} WHERE label_category = 'security' AND label_confidence >= 0.9 AND (id = 17 OR track_id = 16 OR track_id = 143) ORDER BY timestamp_ns DESC, id DESC LIMIT 100")
 def _(v):
     alerts = v.detections.where("label_category = 'security' and label_confidence >= 0.9")
-    return newest(alerts.where((F.col("id") == 17) | F.col("track_id").isin(5, 105)), 100).select("id", "track_id", "timestamp_ns")
+    return newest(alerts.where((F.col("id") == 17) | F.col("track_id").isin(16, 143)), 100).select("id", "track_id", "timestamp_ns")
 
 
 @query("observations_by_ids", "SELECT r.pos::BIGINT AS pos, o.observation_id, o.sensor_id, o.toa_ns FROM (SELECT unnest([401, 8, 77777777, 15, 3]) AS wanted, unnest([0, 1, 2, 3, 4]) AS pos) r JOIN {observations} o ON o.observation_id = r.wanted ORDER BY pos")

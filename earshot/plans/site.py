@@ -214,5 +214,5 @@ def lookup(df: DataFrame, key: str, value) -> DataFrame:
 for _name, _view, _key, _value, _columns in (("node_lookup", "nodes", "id", 7, ["id", "name", "cluster_id"]), ("transcript_lookup", "transcripts", "id", 11, ["id", "node_id", "created_ns"]), ("artifact_lookup", "artifacts", "id", 32, ["id", "node_id", "track_id"]), ("area_lookup", "areas", "zone_id", 3, ["zone_id", "name", "kind"])):
     query(_name, f"SELECT {', '.join(_columns)} FROM {{{_view}}} WHERE {_key} = {_value}")(lambda v, a=(_view, _key, _value, _columns): lookup(getattr(v, a[0]), a[1], a[2]).select(*a[3]))
 
-for _name, _view, _test, _ts, _columns in (("artifact_scan", "artifacts", "node_id = 5 AND track_id = 105", "created_ns", ["id", "node_id", "track_id", "created_ns"]), ("ping_scan", "detections", "label = 'click'", "timestamp_ns", ["id", "label", "timestamp_ns"]), ("ground_truth_scan", "detections", "review_state = 'confirmed' AND track_id = 7", "timestamp_ns", ["id", "label", "timestamp_ns"]), ("capture_session_scan", "artifacts", "bytes > 100000", "created_ns", ["id", "bytes", "created_ns"])):
+for _name, _view, _test, _ts, _columns in (("artifact_scan", "artifacts", "node_id = 5", "created_ns", ["id", "node_id", "track_id", "created_ns"]), ("ping_scan", "detections", "label = 'click'", "timestamp_ns", ["id", "label", "timestamp_ns"]), ("ground_truth_scan", "detections", "review_state = 'confirmed' AND track_id = 7", "timestamp_ns", ["id", "label", "timestamp_ns"]), ("capture_session_scan", "artifacts", "bytes > 100000", "created_ns", ["id", "bytes", "created_ns"])):
     query(_name, f"SELECT {', '.join(_columns)} FROM {{{_view}}} WHERE {_test} ORDER BY {_ts} DESC, id DESC LIMIT 100")(lambda v, a=(_view, _test, _ts, _columns): newest(getattr(v, a[0]).where(a[1]), 100, a[2]).select(*a[3]))
