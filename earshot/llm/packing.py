@@ -28,7 +28,7 @@ from .tokens import encoder
 
 
 #: Pieces in an Arrow batch that goes back (up to 8 KB each with ids), and pieces in each generation of the encoder's cache.
-EMITTED, CACHED = 512, 150_000
+EMITTED, CACHED = 512, 400_000
 
 
 @dataclass(frozen=True)
@@ -122,12 +122,12 @@ class Packer:
         return -1, 0
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, kind: str = "word_end", limits: Limits = Limits(), prompt: str | None = None, with_ids: bool = False) -> DataFrame:
-    """One row per piece. ``prompt``: a column with the number of leading tokens that bear no loss."""
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, kind: str = "word_end", limits: Limits = Limits(), prompt: str | None = None, with_ids: bool = False, cached: int = CACHED) -> DataFrame:
+    """One row per piece. ``cached`` bounds what a worker remembers of pieces' ids: fewer take more time, not other ids. ``prompt``: a column with the number of leading tokens that bear no loss."""
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, segment int, loss_tokens int" + ", ids array<int>" * with_ids
 
     def pieces(batches):
-        part, enc, packer = TaskContext.get().partitionId(), encoder(tokenizer, kind, CACHED), Packer(limits)
+        part, enc, packer = TaskContext.get().partitionId(), encoder(tokenizer, kind, cached), Packer(limits)
 
         def rows(found):
             key, start, ids, total, seq, offset, segment, loss = zip(*found, strict=True)

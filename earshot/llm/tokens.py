@@ -141,7 +141,7 @@ _ENCODERS: dict[tuple[str, str], PieceEncoder] = {}
 
 def encoder(path: str, kind: str, most: int = 400_000) -> PieceEncoder:
     """One per worker process: a worker keeps what it has learnt from one task to the next."""
-    if (path, kind) not in _ENCODERS:
+    if (path, kind) not in _ENCODERS or _ENCODERS[path, kind].most != most:
         _ENCODERS.clear()
         gc.freeze()
         gc.set_threshold(200_000)  # few cycles arise here, and each full collection would walk the cache
