@@ -69,7 +69,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, with_ids=True)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, with_ids=True, cached=60_000)
 
 
 STAGES = [
