@@ -10,6 +10,10 @@ so that the block's samples equal the byte), 64 blocks a row, one restart interv
 is the payload again: nothing is lost. A payload beyond 8,191 rows goes on in further images after the first, in the
 same bytes.
 
+The DC table is made for the data: ``counted_table`` counts the categories of all differences in one pass over the whole
+texts (12 numbers a task come back) and gives frequent ones short codes. Text leaps by 64 and more at each space, which
+the standard's table holds for rare.
+
 The query writes the stored form as a table and reads it again before it decodes.
 
 Edge cases: a null or empty text gives the 64 zero bytes that the padding adds; a null or broken image gets null
@@ -19,9 +23,11 @@ dimensions and an error text, other rows aren't harmed; equal texts give equal b
 from __future__ import annotations
 
 import hashlib
+import heapq
 import struct
 import zlib
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +37,7 @@ from .common import stage, table, texts_of
 
 WIDE, MOST_ROWS = 64, 8191
 #: The luminance DC table of the JPEG standard (codes per length, categories), and an AC table of one code, end of block.
-DC_BITS, DC_VALUES = [0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0], list(range(12))
+STANDARD = (0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0), tuple(range(12))
 AC_BITS, AC_VALUES = [1] + [0] * 15, [0]
 _BATCH_BYTES = 1 << 20
 
@@ -47,6 +53,29 @@ def huffman_codes(bits: list[int], values: list[int]) -> dict[int, tuple[int, in
     return out
 
 
+def table_for(counts: list[int]) -> tuple[tuple[int, ...], tuple[int, ...]]:
+    """The Huffman table (codes per length, symbols) that suits symbols 0, 1, ... with these counts; without any, the standard's.
+
+    A count of 0 gets a code, too. As the format demands, no code is all ones: a symbol rarer than all others is made
+    for it and left out. Ties go by the smaller symbol, so equal counts give equal tables.
+    """
+    if not sum(counts):
+        return STANDARD
+    n = len(counts)
+    heap = [(max(c, 1), k, [k]) for k, c in enumerate(counts)] + [(0, n, [n])]
+    heapq.heapify(heap)
+    length = [0] * (n + 1)
+    while len(heap) > 1:
+        (a, _, x), (b, k, y) = heapq.heappop(heap), heapq.heappop(heap)
+        for symbol in x + y:
+            length[symbol] += 1
+        heapq.heappush(heap, (a + b, k, x + y))
+    if max(length) > 16:  # the format's limit; 12 categories can't get there
+        return STANDARD
+    order = sorted(range(n), key=lambda k: (length[k], k))
+    return tuple(sum(length[k] == size for k in order) for size in range(1, 17)), tuple(order)
+
+
 def lookup(bits: list[int], values: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """For each 16 bits that may follow: the symbol and its code's length (0: no code)."""
     symbol, length = np.zeros(1 << 16, np.uint8), np.zeros(1 << 16, np.uint8)
@@ -64,16 +93,17 @@ def _marker(kind: int, body: bytes) -> bytes:
     return struct.pack(">BBH", 0xFF, kind, len(body) + 2) + body
 
 
-def _header(rows: int) -> bytes:
+def _header(rows: int, dc: tuple) -> bytes:
     quant = bytes([0, 8] + [1] * 63)
     frame = struct.pack(">BHHBBBB", 8, rows * 8, WIDE * 8, 1, 1, 0x11, 0)
-    tables = bytes([0x00, *DC_BITS, *DC_VALUES]) + bytes([0x10, *AC_BITS, *AC_VALUES])
+    tables = bytes([0x00, *dc[0], *dc[1]]) + bytes([0x10, *AC_BITS, *AC_VALUES])
     return b"\xff\xd8" + _marker(0xDB, quant) + _marker(0xC0, frame) + _marker(0xC4, tables) + _marker(0xDD, struct.pack(">H", WIDE)) + _marker(0xDA, bytes([1, 1, 0x00, 0, 63, 0]))
 
 
-def _difference_codes() -> tuple[np.ndarray, np.ndarray]:
+@lru_cache(4)
+def _difference_codes(table_dc: tuple) -> tuple[np.ndarray, np.ndarray]:
     """For each DC difference from -255 to 255: all bits of the block (code, magnitude, end of block) and their number."""
-    dc, eob = huffman_codes(DC_BITS, DC_VALUES), huffman_codes(AC_BITS, AC_VALUES)[0]
+    dc, eob = huffman_codes(*table_dc), huffman_codes(AC_BITS, AC_VALUES)[0]
     value, length = np.zeros(511, np.int64), np.zeros(511, np.int64)
     for d in range(-255, 256):
         s = abs(d).bit_length()
@@ -84,11 +114,28 @@ def _difference_codes() -> tuple[np.ndarray, np.ndarray]:
     return value, length
 
 
-_VALUE, _LENGTH = _difference_codes()
+def _differences(payloads: list[bytes]) -> np.ndarray:
+    """By rows of 64: each byte less the one before it, a row's first less 128."""
+    grid = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, WIDE).astype(np.int64)
+    diff = np.empty_like(grid)
+    diff[:, 0] = grid[:, 0] - 128
+    np.subtract(grid[:, 1:], grid[:, :-1], out=diff[:, 1:])
+    return diff
+
+
+_CATEGORY = np.array([abs(d).bit_length() for d in range(-255, 256)])
+
+
+def category_counts(payloads: list[bytes]) -> np.ndarray:
+    """How many differences fall into each of the 12 categories."""
+    if not payloads:
+        return np.zeros(12, np.int64)
+    by_value = np.bincount((_differences(payloads) + 255).ravel(), minlength=511)
+    return np.bincount(_CATEGORY, by_value, 12).astype(np.int64)
 
 
-def encode_payloads(payloads: list[bytes]) -> list[bytes]:
-    """JPEG bytes of each payload (a positive multiple of 64 bytes each)."""
+def encode_payloads(payloads: list[bytes], dc: tuple = STANDARD) -> list[bytes]:
+    """JPEG bytes of each payload (a positive multiple of 64 bytes each), with the DC table ``dc``."""
     if not payloads:
         return []
     image_rows, owner = [], []
@@ -97,13 +144,10 @@ def encode_payloads(payloads: list[bytes]) -> list[bytes]:
         for at in range(0, rows, MOST_ROWS):
             image_rows.append(min(MOST_ROWS, rows - at))
             owner.append(k)
-    grid = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, WIDE).astype(np.int64)
     first_row = np.cumsum([0, *image_rows])
-    diff = np.empty_like(grid)
-    diff[:, 0] = grid[:, 0] - 128
-    np.subtract(grid[:, 1:], grid[:, :-1], out=diff[:, 1:])
-    diff += 255
-    value, length = _VALUE[diff], _LENGTH[diff]
+    diff = _differences(payloads) + 255
+    codes, lengths = _difference_codes(dc)
+    value, length = codes[diff], lengths[diff]
     within = np.cumsum(length, axis=1)
     total = within[:, -1]
     size = -(-total // 8)
@@ -120,8 +164,8 @@ def encode_payloads(payloads: list[bytes]) -> list[bytes]:
     acc = np.bincount(word, (wide >> np.uint64(32)).astype(float), n_words) + np.bincount(word + 1, (wide & np.uint64(0xFFFFFFFF)).astype(float), n_words)
     raw = acc.astype(np.uint64).astype(">u4").view(np.uint8)[: int(start[-1] + size[-1])]
     # stuffing after 0xFF, restart markers after each row but an image's last
-    number = np.arange(len(grid)) - np.repeat(first_row[:-1], image_rows)
-    more = np.ones(len(grid), bool)
+    number = np.arange(len(diff)) - np.repeat(first_row[:-1], image_rows)
+    more = np.ones(len(diff), bool)
     more[first_row[1:] - 1] = False
     full = raw == 0xFF
     extra = full.astype(np.int64)
@@ -138,7 +182,7 @@ def encode_payloads(payloads: list[bytes]) -> list[bytes]:
     media: list[list[bytes]] = [[] for _ in payloads]
     began = 0
     for k, rows, cut in zip(owner, image_rows, cuts.tolist(), strict=True):
-        media[k] += [_header(rows), scan[began:cut], b"\xff\xd9"]
+        media[k] += [_header(rows, dc), scan[began:cut], b"\xff\xd9"]
         began = cut
     return [b"".join(x) for x in media]
 
@@ -420,15 +464,33 @@ def _slices(sizes: list[int]):
         yield slice(start, len(sizes))
 
 
-def texts_to_media(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, media): each text, padded, as JPEG bytes."""
+def counted_table(docs: DataFrame) -> tuple:
+    """The DC table for the texts of ``docs``, from all their differences; without rows, the standard's."""
+
+    def count(batches):
+        total = np.zeros(12, np.int64)
+        for b in batches:
+            texts = b.column(0).to_pylist()
+            for part in _slices([len(x) for x in texts]):
+                total += category_counts([payload_of(x)[1] for x in texts[part]])
+        yield pa.RecordBatch.from_arrays([pa.array(range(12), pa.int32()), pa.array(total, pa.int64())], names=["category", "n"])
+
+    from pyspark.sql import functions as F
+
+    sums = texts_of(docs).select("text").mapInArrow(count, "category int, n long").groupBy("category").agg(F.sum("n").alias("n"))
+    found = {r.category: r.n for r in sums.collect()}  # 12 rows
+    return table_for([found.get(k, 0) for k in range(12)])
+
+
+def texts_to_media(docs: DataFrame, dc: tuple = STANDARD) -> DataFrame:
+    """(doc_id, n_bytes, media): each text, padded, as JPEG bytes with the DC table ``dc``."""
 
     def write(batches):
         for b in batches:
             texts = b.column(1).to_pylist()
             for part in _slices([len(x) for x in texts]):
                 made = [payload_of(x) for x in texts[part]]
-                yield pa.RecordBatch.from_arrays([b.column(0)[part.start : part.stop], pa.array([n for n, _ in made], pa.int64()), pa.array(encode_payloads([p for _, p in made]), pa.binary())], names=["doc_id", "n_bytes", "media"])
+                yield pa.RecordBatch.from_arrays([b.column(0)[part.start : part.stop], pa.array([n for n, _ in made], pa.int64()), pa.array(encode_payloads([p for _, p in made], dc), pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     return texts_of(docs).mapInArrow(write, "doc_id long, n_bytes long, media binary")
 
@@ -469,7 +531,8 @@ def thumbnails(media: DataFrame, column: str = "media", key: str = "doc_id", wit
 def op2_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
-    media = stage(texts_to_media(table(spark, sf_dir, "documents")), "media", compression="none")
+    docs = table(spark, sf_dir, "documents")
+    media = stage(texts_to_media(docs, counted_table(docs)), "media", compression="none")
     rows = thumbnails(media)
     feature = F.format_string("%dx%d/%d:%s", "width", "height", "n_images", "thumb_hash")
     return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))

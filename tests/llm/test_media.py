@@ -1,5 +1,8 @@
 """JPEG features of texts that take more than one image."""
 
+import numpy as np
+import pytest
+
 from earshot.llm import jpeg
 
 
@@ -11,3 +14,30 @@ def test_feature_takes_all_images(spark):
     assert got[1].n_images == got[2].n_images == 2 and got[3].n_images == 1
     assert got[1].thumb_hash != got[2].thumb_hash
     assert {got[1].thumb_hash.split("+")[0], got[2].thumb_hash.split("+")[0]} == {got[3].thumb_hash}
+
+
+@pytest.mark.parametrize("counts", [[0] * 11 + [5], [1] * 12, [2**k for k in range(12)], [3, 0, 9, 9, 0, 0, 1, 40, 7, 0, 0, 0]])
+def test_table_for_counts(counts):
+    bits, symbols = jpeg.table_for(counts)
+    assert sorted(symbols) == list(range(12)) and sum(bits) == 12
+    codes = jpeg.huffman_codes(bits, symbols)
+    assert sum(2.0**-n for _, n in codes.values()) < 1 and all(code != (1 << n) - 1 for code, n in codes.values())
+    for a, b in np.argwhere(np.subtract.outer(counts, counts) > 0):
+        assert codes[a][1] <= codes[b][1]
+    payloads = [bytes(range(256)), b"some text and more of it ".ljust(64, b"\0"), b"\xff\0" * 320]
+    got = jpeg.decode_many(jpeg.encode_payloads(payloads, (bits, symbols)))
+    assert [b"".join(p.tobytes() for _, p in x) for x in got] == payloads
+
+
+def test_counted_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert jpeg.counted_table(docs.limit(0)) == jpeg.STANDARD == jpeg.table_for([0] * 12)
+    counts = np.zeros(12, int)
+    for r in docs.collect():
+        for row in np.frombuffer(jpeg.payload_of(r.text or "")[1], np.uint8).reshape(-1, 64).tolist():
+            for before, byte in zip([128, *row], row):
+                counts[abs(byte - before).bit_length()] += 1
+    dc = jpeg.counted_table(docs)
+    assert dc == jpeg.table_for(counts.tolist())
+    size = {x: jpeg.texts_to_media(docs, x).selectExpr("sum(length(media))").first()[0] for x in (dc, jpeg.STANDARD)}
+    assert size[dc] < 0.92 * size[jpeg.STANDARD]
