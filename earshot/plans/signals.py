@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import assignment, buffers, signal, tdoa, trackfold, tracking
+from ..operators import arrays, assignment, buffers, sampling, signal, tdoa, trackfold, tracking
 from . import query
 from .measures import placed
 
@@ -136,3 +136,51 @@ def _(v):
 @query("sensor_summaries", f"WITH f AS ({_SENSOR_FRAMES_SQL}), e AS (SELECT sensor, {_EPOCH_SQL} AS epoch, first, first + len(embedding) AS stop, received_ns FROM f), g AS (SELECT *, CASE WHEN first <= max(stop) OVER (PARTITION BY sensor, epoch ORDER BY first, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM e), h AS (SELECT *, sum(fresh) OVER (PARTITION BY sensor, epoch ORDER BY first, stop) AS island FROM g), i AS (SELECT sensor, epoch, min(first) AS a, max(stop) AS b FROM h GROUP BY sensor, epoch, island), c AS (SELECT sensor, epoch, sum(b - a) AS covered, count(*) - 1 AS holes, max(b) - min(a) AS span FROM i GROUP BY ALL) SELECT sensor, count(*) AS epochs, (SELECT count(*) FROM f WHERE f.sensor = c.sensor) AS frames, sum(covered)::BIGINT AS covered, sum(holes)::BIGINT AS holes, sum(span)::BIGINT AS span FROM c GROUP BY sensor")
 def _(v):
     return buffers.sensor_summaries(_sensor_frames(v), _filled(v)).select("sensor", "epochs", "frames", "covered", "holes", "span")
+
+
+#: Four sensors in a small array (metres), the point that is listened to, and their windows: a vector shifted by a sample each.
+_PLACES = ((-0.02, 0.03, 0.0), (0.03, 0.0, 0.0), (-0.02, -0.03, 0.0), (0.0, 0.0, 0.04))
+_AIM = (3.0, 4.0, 1.0)
+
+
+def _array_rows(v):
+    sensors = [F.struct(*[F.lit(c).alias(n) for c, n in zip(p, "xyz", strict=True)], F.slice("embedding", k + 1, 60).alias("samples")) for k, p in enumerate(_PLACES)]
+    point = [F.lit(c).alias(n) for c, n in zip(_AIM, ("sx", "sy", "sz"), strict=True)]
+    return v.raw("embeddings").select(F.col("vec_id").alias("id"), F.lit(16_000).alias("rate"), F.lit(343.2).alias("speed"), F.array(*sensors).alias("sensors"), *point)
+
+
+@query("array_bearings")
+def _(v):
+    return arrays.bearings(_array_rows(v), "subspace")
+
+
+@query("array_phase_bearings")
+def _(v):
+    return arrays.bearings(_array_rows(v), "phase")
+
+
+_BEAM_SQL = f"""WITH s(c, x, y, z) AS (VALUES {", ".join(f"({k}, {x}::DOUBLE, {y}::DOUBLE, {z}::DOUBLE)" for k, (x, y, z) in enumerate(_PLACES))}),
+    d AS (SELECT c, sqrt((x - {_AIM[0]}) ** 2 + (y - {_AIM[1]}) ** 2 + (z - {_AIM[2]}) ** 2) / 343.2::DOUBLE * 16000 AS far FROM s),
+    l AS (SELECT c, far - (SELECT min(far) FROM d) AS lag FROM d),
+    p AS (SELECT c, j, j + lag AS pos, floor(j + lag)::INT AS low FROM l, (SELECT unnest(range(60)) AS j)),
+    y AS (SELECT vec_id, j, sum(CASE WHEN pos > 59 THEN 0 ELSE embedding[c + 1 + low]::DOUBLE + (pos - low) * (embedding[c + 1 + least(low + 1, 59)]::DOUBLE - embedding[c + 1 + low]::DOUBLE) END) / 4 AS y FROM embeddings, p GROUP BY ALL)
+    SELECT vec_id AS id, round(sqrt(avg(y * y)), 6) AS rms FROM y GROUP BY vec_id"""
+
+
+@query("array_beams", _BEAM_SQL)
+def _(v):
+    return arrays.beams(_array_rows(v), "delay_sum").select("id", F.round("rms", 6).alias("rms"))
+
+
+@query("array_beam_levels")
+def _(v):
+    """Levels of the beams of each form."""
+    rows = _array_rows(v)
+    forms = [arrays.beams(rows, m).select("id", F.lit(m).alias("form"), F.round("rms", 6).alias("rms")) for m in arrays.BEAMS]
+    return forms[0].unionByName(forms[1]).unionByName(forms[2]).unionByName(forms[3])
+
+
+@query("node_reservoirs", "SELECT node_id, id, n AS place, lat, lon FROM (SELECT node_id, id, lat, lon, row_number() OVER (PARTITION BY node_id ORDER BY md5(concat('site:', id)), id) AS n FROM {detections}) WHERE n <= 32")
+def _(v):
+    rows = v.detections.select("id", "node_id", "lat", "lon")
+    return sampling.reservoirs(rows, ["node_id"], 32, seed="site").select("node_id", "id", "place", "row.lat", "row.lon")
