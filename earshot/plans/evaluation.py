@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.stages import stage
+from ..operators.nearest import greedy
 from ..sources.views import SECOND
 from . import query
 from .aggregates import _METRICS_SQL, _SCORED_SQL, _scored
@@ -42,25 +42,11 @@ def greedy_matches(truth: DataFrame, found: DataFrame, max_ns: int, max_m: float
     """(matched, missed, extra, confused): in order of (time, id) each true event takes the nearest detection in reach that no
     earlier one took (of equally near ones the first by time, then id).
 
-    Pairs in reach meet on buckets of time. Then, in rounds, a true event takes its nearest free detection if no earlier
-    event that is still open has it in reach: what it takes is then what it would get in its turn. The earliest open event
-    always takes its own, so each round ends some; no task holds more than a bucket. ``truth`` and ``found``: id, label,
-    timestamp_ns, x, y.
+    Blocks of time take side by side, and again where what was taken near their border has changed (see ``nearest.greedy``).
+    ``truth`` and ``found``: id, label, timestamp_ns, x, y.
     """
-    t = truth.select(F.col("id").alias("t"), F.col("timestamp_ns").alias("tns"), F.lower(F.trim("label")).alias("tl"), F.col("x").alias("tx"), F.col("y").alias("ty"))
-    d = found.select(F.col("id").alias("d"), F.col("timestamp_ns").alias("dns"), F.lower(F.trim("label")).alias("dl"), "x", "y")
-    far = (F.col("x") - F.col("tx")) * (F.col("x") - F.col("tx")) + (F.col("y") - F.col("ty")) * (F.col("y") - F.col("ty"))
-    pairs = near_in_time(t, d, "tns", "dns", max_ns).withColumn("far", far).where(F.col("far") <= max_m * max_m)
-    pairs = stage(pairs.select(F.struct("tns", "t").alias("t"), F.struct("dns", "d").alias("d"), "far", F.coalesce(F.col("tl") != F.col("dl"), F.lit(True)).alias("confused")), "pairs")
-    taken, open_ = None, pairs
-    while not open_.isEmpty():
-        wants = open_.groupBy("t").agg(F.min(F.struct("far", "d", "confused")).alias("w"))
-        first = open_.groupBy("d").agg(F.min("t").alias("first"))
-        now = wants.select("t", F.col("w.d").alias("d"), F.col("w.confused").alias("confused")).join(first, "d").where(F.col("t") == F.col("first")).select("t", "d", "confused")
-        now = stage(now, "taken")
-        taken = now if taken is None else taken.unionByName(now)
-        open_ = stage(open_.join(now.select("t"), "t", "left_anti").join(now.select("d"), "d", "left_anti"), "open")
-    hits = (taken if taken is not None else pairs).agg(F.count("*").alias("matched"), F.coalesce(F.count_if("confused"), F.lit(0)).alias("confused"))
+    t, d = (df.withColumn("label", F.lower(F.trim("label"))) for df in (truth, found))
+    hits = greedy(t, d, max_ns, max_m).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("matched", "confused")])
     counts = truth.agg(F.count("*").alias("n")).crossJoin(found.agg(F.count("*").alias("m"))).crossJoin(hits)  # single rows
     return counts.select("matched", (F.col("n") - F.col("matched")).alias("missed"), (F.col("m") - F.col("matched")).alias("extra"), "confused")
 
