@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.nearest import greedy
+from ..operators.nearest import greedy, nearest
 from ..sources.views import SECOND
 from . import query
 from .aggregates import _METRICS_SQL, _SCORED_SQL, _scored
-from .joins import near_in_time
 from .measures import placed
 
 _PLACED_SQL = "SELECT *, (lon + 93.2565) * 78846.0 AS x, (lat - 44.98) * 111131.0 AS y FROM {detections}"
@@ -19,12 +18,11 @@ SLOP = 600 * SECOND
 def calibration_report(truth: DataFrame, found: DataFrame, slop_ns: int) -> DataFrame:
     """Per label of ``truth`` (truth_id, truth_label, truth_ns, tx, ty): events, recall, share of nearest detections with the
     label, median and 90th percentile (interpolated) of the nearest detection's distance."""
-    far = F.sqrt((F.col("x") - F.col("tx")) * (F.col("x") - F.col("tx")) + (F.col("y") - F.col("ty")) * (F.col("y") - F.col("ty")))
-    pairs = near_in_time(truth, found, "truth_ns", "timestamp_ns", slop_ns).where("id <> truth_id")
-    best = pairs.groupBy("truth_id").agg(F.min(F.struct(far.alias("m"), "id", "label")).alias("b"))
-    rows = truth.join(best, "truth_id", "left")
-    m = F.col("b.m")
-    return rows.groupBy("truth_label").agg(F.count("*").alias("events"), F.round(F.avg(F.col("b").isNotNull().cast("double")), 6).alias("recall"), F.round(F.avg((F.col("b.label") == F.col("truth_label")).cast("double")), 6).alias("accuracy"), F.round(F.percentile(m, F.lit(0.5)), 4).alias("median_m"), F.round(F.percentile(m, F.lit(0.9)), 4).alias("p90_m"))
+    events = truth.select(F.col("truth_id").alias("id"), F.col("truth_label").alias("label"), F.col("truth_ns").alias("timestamp_ns"), F.col("tx").alias("x"), F.col("ty").alias("y"))
+    timeless = events.where("timestamp_ns is null").selectExpr("label AS truth_label", "cast(null AS string) AS near_label", "cast(null AS long) AS near_id", "cast(null AS double) AS m")
+    rows = nearest(events, found, slop_ns).unionByName(timeless)
+    m = F.col("m")
+    return rows.groupBy("truth_label").agg(F.count("*").alias("events"), F.round(F.avg(m.isNotNull().cast("double")), 6).alias("recall"), F.round(F.avg((F.col("near_label") == F.col("truth_label")).cast("double")), 6).alias("accuracy"), F.round(F.percentile(m, F.lit(0.5)), 4).alias("median_m"), F.round(F.percentile(m, F.lit(0.9)), 4).alias("p90_m"))
 
 
 @query(
