@@ -58,11 +58,11 @@ def _(v):
     true = placed(v).where("reporting_modality = 'localized'").select(F.col("id").alias("detection_id"), "x", "y", "z")
     heard = v.observations.join(at, "node_id").join(true, "detection_id")
     far = F.sqrt((F.col("x") - F.col("nx")) ** 2 + (F.col("y") - F.col("ny")) ** 2 + (F.col("z") - F.col("nz")) ** 2)
-    heard = heard.select("detection_id", "channel", "nx", "ny", "nz", (far / 343.0 + (F.col("observation_id") * 37 % 100 - 50) * 1e-7).alias("t"))
-    a, b = (heard.select("detection_id", *[F.col(c).alias(c + k) for c in ("channel", "nx", "ny", "nz", "t")]) for k in "ab")
-    both = a.join(b, "detection_id").where("channela < channelb")  # six pairs of an event's four channels
-    pair = F.struct(F.col("nxa").alias("ax"), F.col("nya").alias("ay"), F.col("nza").alias("az"), F.col("nxb").alias("bx"), F.col("nyb").alias("by"), F.col("nzb").alias("bz"), (F.col("ta") - F.col("tb")).alias("tau_s"), F.lit(1.0).alias("weight"), F.lit(0.9).alias("peak"))
-    rows = both.groupBy("detection_id").agg(F.collect_list(pair).alias("pairs"))
+    sensor = F.struct("channel", "nx", "ny", "nz", (far / 343.0 + (F.col("observation_id") * 37 % 100 - 50) * 1e-7).alias("t"))
+    listed = heard.groupBy("detection_id").agg(F.array_sort(F.collect_list(sensor)).alias("s"))
+    pair = lambda a, b: F.struct(a["nx"].alias("ax"), a["ny"].alias("ay"), a["nz"].alias("az"), b["nx"].alias("bx"), b["ny"].alias("by"), b["nz"].alias("bz"), (a["t"] - b["t"]).alias("tau_s"), F.lit(1.0).alias("weight"), F.lit(0.9).alias("peak"))
+    every = F.flatten(F.transform("s", lambda a: F.transform(F.filter("s", lambda b: a["channel"] < b["channel"]), lambda b: pair(a, b))))  # six pairs of an event's four channels
+    rows = listed.select("detection_id", every.alias("pairs")).where(F.size("pairs") > 0)
     return tdoa.solve_rows(rows.select("detection_id", "pairs", F.lit(343.0).alias("speed"), F.lit(None).cast("double").alias("z")), "detection_id")
 
 

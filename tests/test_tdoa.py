@@ -77,3 +77,50 @@ def test_odd_rows(spark):
     assert {k: (r["mode"], r["n_pairs"]) for k, r in got.items()} == {1: ("refined", 10), 2: ("insufficient", 0), 3: ("insufficient", 0), 4: ("insufficient", 2), 5: ("insufficient", 4), None: ("refined", 20)}
     assert all(got[2][n] is None for n in NAMES) and got[1]["x"] == pytest.approx(5, abs=1e-3)
     assert solve_rows(spark.createDataFrame([], DDL), "event").count() == 0
+
+
+def test_settled_starts_leave_and_ties_go_to_the_first():
+    """A batch's work follows what its starts need; an event's place depends neither on its batch nor, with two exact places, on rounding."""
+    from earshot.operators import tdoa
+
+    rng = np.random.default_rng(7)
+    flat = SITE * [1, 1, 0]  # mirrored places fit equally well
+    rows = [pairs(SITE if i % 2 else flat, rng.uniform([-5, -5, 1], [25, 25, 12])) for i in range(200)]
+    data = np.array(rows)
+    seen, at = [], tdoa._Lanes.at
+
+    def counted(self, p):
+        seen.append(p.shape[1])
+        return at(self, p)
+
+    def solved_alone(part):
+        e = tdoa.Events(part[:, :, :3], part[:, :, 3:6], part[:, :, 6], part[:, :, 7], np.full(len(part), C), 1e-3)
+        return tdoa.solve(e, np.full(len(part), 0.9), 1 / 48_000)[1][:, :3]
+
+    tdoa._Lanes.at = counted
+    try:
+        together = solved_alone(data)
+    finally:
+        tdoa._Lanes.at = at
+    assert sum(seen) < 40 * 6 * len(data)  # 81 each before
+    turned = solved_alone(data[:, ::-1])  # other roundings
+    alone = np.concatenate([solved_alone(data[i : i + 1]) for i in range(len(data))])
+    assert np.abs(together - alone).max() < 1e-6 and np.abs(together - turned)[1::2].max() < 1e-3
+
+
+def test_spherical_starts_are_the_plain_ones():
+    from earshot.operators.tdoa import Events
+
+    rng = np.random.default_rng(8)
+    data = np.array([pairs(SITE, rng.uniform([-5, -5, 0], [25, 25, 12]), 2e-5, rng) for _ in range(50)])
+    data[:, 3, 7] = 0.0
+    e = Events(data[:, :, :3], data[:, :, 3:6], data[:, :, 6], data[:, :, 7], np.full(50, C), 1e-3)
+    for i, got in enumerate(e.linear()):
+        used = e.w[i] > 0
+        a, b, d = e.a[i, used], e.b[i, used], e.tau[i, used] * C
+        places, times = np.unique(np.concatenate([a, b]), axis=0, return_counts=True)
+        ref = places[times.argmax()]
+        first, second = (b == ref).all(axis=1), (a == ref).all(axis=1)
+        at, diff = np.concatenate([a[first], b[second]]), np.concatenate([d[first], -d[second]])
+        want = np.linalg.lstsq(np.column_stack([2 * (at - ref), 2 * diff]), (at * at).sum(axis=1) - ref @ ref - diff**2, rcond=None)[0][:3]
+        assert len(at) == 4 and got == pytest.approx(want, abs=1e-6)
