@@ -6,6 +6,10 @@ of Arrow batches, so a busy site needs the memory of its tracks, not of its dete
 Structured Streaming: detections wait in the state until the watermark has passed them, so that late ones take their place,
 and a site's state is dropped when it has outlived all its tracks.
 
+A step looks at the tracks that it may concern alone: those with a deadline behind them (a heap), and of the live ones those
+of a category that it may meet and nearer than any gate reaches. A track whose detections brought no covariance has the same
+one on all axes, three numbers; else it has a full matrix.
+
 A track is named by the id of the detection that began it. A detection joins the track of least score among those whose
 gate it passes (nearer than ``near_m``, or within the chi-square gate of both covariances), categories that are known and
 different never meet, and unlike class scores add to the score. Without one it revives a dormant track nearby of a
@@ -17,6 +21,7 @@ equal times the smaller id comes first; repeated rows are detections of their ow
 
 from __future__ import annotations
 
+import heapq
 import math
 import pickle
 from collections.abc import Iterator
@@ -96,17 +101,28 @@ def _sound(cov: np.ndarray, least: float) -> np.ndarray:
     return (v * np.maximum(w, least)) @ v.T
 
 
-def _step(dt: float, s: Settings, noise: float) -> tuple[np.ndarray, np.ndarray]:
-    """Transition and process noise; after half of the coasting half-life speeds fade, and noise stops growing."""
-    move, keep = dt, 1.0
+def _motion(dt: float, s: Settings) -> tuple[float, float]:
+    """How many seconds of its speed a track moves, and what it keeps of it: after half of the coasting half-life speeds fade."""
     if s.coast_half_s > 0 and dt > s.coast_half_s / 2:
         keep = 0.5 ** (dt / s.coast_half_s)
-        move = s.coast_half_s / math.log(2) * (1 - keep)
-    f = np.eye(6)
-    f[:3, 3:], f[3:, 3:] = np.eye(3) * move, np.eye(3) * keep
+        return s.coast_half_s / math.log(2) * (1 - keep), keep
+    return dt, 1.0
+
+
+def _noise(dt: float, s: Settings, noise: float) -> tuple[float, float, float]:
+    """Process noise of an axis (place, both, speed); it stops growing."""
     t = min(dt, s.coast_noise_s) if s.coast_noise_s > 0 else dt
-    q = np.kron(np.array([[t**4 / 4, t**3 / 2], [t**3 / 2, t**2]]) * noise, np.eye(3))
-    return f, q
+    return t**4 / 4 * noise, t**3 / 2 * noise, t**2 * noise
+
+
+def _ahead(iso: tuple, move: float, keep: float, q: tuple) -> tuple[float, float, float]:
+    """An axis's covariance (place, both, speed) after a step."""
+    a, b, c = iso
+    return a + 2 * move * b + move * move * c + q[0], (b + move * c) * keep + q[1], keep * keep * c + q[2]
+
+
+def _full(iso: tuple) -> np.ndarray:
+    return np.kron(np.array([[iso[0], iso[1]], [iso[1], iso[2]]]), np.eye(3))
 
 
 class Fold:
@@ -114,63 +130,122 @@ class Fold:
 
     def __init__(self, settings: Settings):
         self.s, self.live, self.dormant, self.now = settings, {}, {}, None
+        self.open, self.due, self.count, self.oldest = {}, [], 0, math.inf  # open: by known category, tracks not dropped
+        self.stale, self.noise = {}, {}
+
+    def _stale(self, category: str) -> int:
+        if category not in self.stale:
+            self.stale[category] = self.s.stale_ns(category)
+        return self.stale[category]
+
+    def _noise_for(self, category: str) -> float:
+        if category not in self.noise:
+            self.noise[category] = self.s.noise_for(category)
+        return self.noise[category]
+
+    def _deadline(self, t: dict) -> int:
+        """After it the status changes, unless the track is seen again."""
+        stale = self._stale(t["category"])
+        if t["status"] == "dropped":
+            return t["last"] + int(stale * self.s.reap_times)
+        drop = int(stale * self.s.drop_times)
+        return t["last"] + (drop if t["status"] == "coasting" else min(stale, drop))
+
+    def _watch(self, t: dict, due: int) -> None:
+        t["due"] = due
+        heapq.heappush(self.due, (due, t["order"], t["track"]))
+
+    def _enter(self, t: dict) -> None:
+        t["known"] = _known(t["category"])
+        self.open.setdefault(t["known"], {})[t["track"]] = t
+
+    def _leave(self, t: dict) -> None:
+        self.open.get(t["known"], {}).pop(t["track"], None)
 
     def age(self, now: int) -> None:
-        gone = []
-        for t in self.live.values():
-            gap, stale = now - t["last"], self.s.stale_ns(t["category"])
+        late = []
+        while self.due and self.due[0][0] < now:
+            due, order, name = heapq.heappop(self.due)
+            t = self.live.get(name)
+            if t is not None and (t["due"], t["order"]) == (due, order):
+                t["due"] = None  # the same deadline may have been set twice
+                late.append((order, t))
+        for _, t in sorted(late, key=lambda x: x[0]):
+            gap, stale = now - t["last"], self._stale(t["category"])
             if t["status"] == "dropped":
                 if gap > int(stale * self.s.reap_times):
-                    gone.append(t["track"])
+                    del self.live[t["track"]]
+                    continue
             elif gap > int(stale * self.s.drop_times):
                 t["status"] = "dropped"
+                self._leave(t)
                 self._park(t)
             elif gap > stale:
                 t["status"] = "coasting"
-        for k in gone:
-            del self.live[k]
+            self._watch(t, self._deadline(t))
         ttl = int(self.s.dormant_s * SECOND)
-        self.dormant = {k: d for k, d in self.dormant.items() if now - d["last"] <= ttl}
+        if now - self.oldest > ttl:
+            self.dormant = {k: d for k, d in self.dormant.items() if now - d["last"] <= ttl}
+            self.oldest = min((d["last"] for d in self.dormant.values()), default=math.inf)
 
     def _park(self, t: dict) -> None:
         if self.s.dormant and t["updates"] >= self.s.confirm_at:
             self.dormant[t["track"]] = dict(t)
+            self.oldest = min(self.oldest, t["last"])
             while len(self.dormant) > self.s.most_dormant:
                 del self.dormant[min(self.dormant.values(), key=lambda d: d["last"])["track"]]
 
     def _unlike(self, scores: dict | None, seen: dict | None) -> float:
         return self.s.unlike_weight * (1 - _alike(scores, seen)) if scores and seen else 0.0
 
-    def _associate(self, d: dict, at: np.ndarray, cov: np.ndarray | None) -> dict | None:
-        best, least, own = None, math.inf, _known(d["category"])
-        for t in self.live.values():
-            if t["status"] == "dropped":
+    def _associate(self, d: dict, at: tuple, cov: np.ndarray | None) -> dict | None:
+        best, least, own, s = None, math.inf, _known(d["category"]), self.s
+        names = (own, None) if s.category_gate and own else tuple(self.open)
+        near, most = s.near_m, max(s.most_m, s.near_m)
+        for t in (t for name in names for t in self.open.get(name, {}).values()):
+            dt = max((d["ns"] - t["last"]) / SECOND, 1e-3)
+            move, keep = _motion(dt, s)
+            m = t["mean"]
+            x, y, z = at[0] - (m[0] + move * m[3]), at[1] - (m[1] + move * m[4]), at[2] - (m[2] + move * m[5])
+            far = math.sqrt(x * x + y * y + z * z)
+            if far < near:
+                score = far * far * s.chi2 / near**2
+            elif far > most:
                 continue
-            theirs = _known(t["category"])
-            if self.s.category_gate and own and theirs and own != theirs:
-                continue
-            f, q = _step(max((d["ns"] - t["last"]) / SECOND, 1e-3), self.s, t["noise"])
-            gap = at - (f @ t["mean"])[:3]
-            far = float(np.sqrt(gap @ gap))
-            if far < self.s.near_m:
-                score = far * far * self.s.chi2 / self.s.near_m**2
             else:
-                both = _sound((f @ t["cov"] @ f.T + q)[:3, :3], 1e-6) + (_sound(cov, 1e-6) if cov is not None else 0)
-                both = _sound(both, 1e-6)
-                reach = 3 * math.sqrt(np.linalg.eigvalsh(both)[-1])
-                score = float(gap @ np.linalg.solve(both, gap))
-                if far > min(max(reach, self.s.near_m), max(self.s.most_m, self.s.near_m)) or score > self.s.chi2:
+                reach, score = self._gate(t, np.array([x, y, z]), far, cov, _noise(dt, s, t["noise"]), move, keep)
+                if far > min(max(reach, near), most) or score > s.chi2:
                     continue
             score += self._unlike(d["scores"], t["scores"])
-            if score < least:
+            if score < least or (score == least and best is not None and t["order"] < best["order"]):
                 best, least = t, score
         return best
 
-    def _revivable(self, d: dict, at: np.ndarray) -> dict | None:
-        best, least, own = None, math.inf, _known(d["category"])
-        for t in self.dormant.values() if self.s.dormant and self.s.dormant_m > 0 else ():
-            theirs, far = _known(t["category"]), float(np.sqrt(((at - t["mean"][:3]) ** 2).sum()))
-            if (own and theirs and own != theirs) or far > self.s.dormant_m or d["ns"] < t["last"]:
+    def _gate(self, t: dict, gap: np.ndarray, far: float, cov: np.ndarray | None, q: tuple, move: float, keep: float) -> tuple[float, float]:
+        """Three deviations of both covariances on the widest axis, and the squared distance in them."""
+        if t["iso"] is not None and cov is None:
+            wide = max(_ahead(t["iso"], move, keep, q)[0], 1e-6)
+            return 3 * math.sqrt(wide), far * far / wide
+        both = _sound(self._prior(t, move, keep, q)[:3, :3], 1e-6) + (_sound(cov, 1e-6) if cov is not None else 0)
+        both = _sound(both, 1e-6)
+        return 3 * math.sqrt(np.linalg.eigvalsh(both)[-1]), float(gap @ np.linalg.solve(both, gap))
+
+    def _prior(self, t: dict, move: float, keep: float, q: tuple) -> np.ndarray:
+        if t["iso"] is not None:
+            return _full(_ahead(t["iso"], move, keep, q))
+        f = np.eye(6)
+        f[:3, 3:], f[3:, 3:] = np.eye(3) * move, np.eye(3) * keep
+        return f @ t["cov"] @ f.T + _full(q)
+
+    def _revivable(self, d: dict, at: tuple) -> dict | None:
+        best, least, own, reach = None, math.inf, _known(d["category"]), self.s.dormant_m
+        for t in self.dormant.values() if self.s.dormant and reach > 0 else ():
+            if own and t["known"] and own != t["known"]:
+                continue
+            m = t["mean"]
+            x, y, z = at[0] - m[0], at[1] - m[1], at[2] - m[2]
+            far = math.sqrt(x * x + y * y + z * z)
+            if far > reach or d["ns"] < t["last"]:
                 continue
             same = bool(d["label"]) and d["label"] == t["label"]
             alike = _alike(d["scores"], t["scores"]) if d["scores"] and t["scores"] else float(same)
@@ -191,30 +266,40 @@ class Fold:
         size = math.sqrt(sum(x * x for x, _ in top))
         return {k: x / size for x, k in top} if size > 0 else None
 
-    def _begin(self, t: dict, at: np.ndarray) -> None:
-        t["mean"] = np.concatenate([at, np.zeros(3)])
-        t["cov"] = np.diag([self.s.first_m2] * 3 + [self.s.first_speed_m2] * 3)
-        t["noise"] = self.s.noise_for(t["category"])
+    def _begin(self, t: dict, at: tuple) -> None:
+        t["mean"] = [*at, 0.0, 0.0, 0.0]
+        t["iso"], t["cov"] = (self.s.first_m2, 0.0, self.s.first_speed_m2), None
+        t["noise"] = self._noise_for(t["category"])
 
-    def _measured(self, t: dict, at: np.ndarray, dt: float, cov: np.ndarray | None) -> None:
+    def _measured(self, t: dict, at: tuple, dt: float, cov: np.ndarray | None) -> None:
         """Prediction and update of position and speed, in Joseph's form."""
-        f, q = _step(max(dt, 1e-3), self.s, t["noise"])
-        mean, prior = f @ t["mean"], f @ t["cov"] @ f.T + q
+        (move, keep), q = _motion(dt, self.s), _noise(dt, self.s, t["noise"])
+        m = t["mean"]
+        mean = [m[0] + move * m[3], m[1] + move * m[4], m[2] + move * m[5], m[3] * keep, m[4] * keep, m[5] * keep]
+        if t["iso"] is not None and cov is None:
+            a, b, c = _ahead(t["iso"], move, keep, q)
+            r = self.s.measured_m2
+            g, h = a / (a + r), b / (a + r)
+            t["iso"] = ((1 - g) * (1 - g) * a + g * g * r, (1 - g) * (b - h * a) + g * h * r, c - 2 * h * b + h * h * a + h * h * r)
+            gaps = [at[k] - mean[k] for k in range(3)]
+            t["mean"] = [mean[k] + g * gaps[k] for k in range(3)] + [mean[3 + k] + h * gaps[k] for k in range(3)]
+            return
+        prior = self._prior(t, move, keep, q)
         r = np.eye(3) * self.s.measured_m2 if cov is None else _sound(cov, max(self.s.measured_m2, 1e-6)) + np.eye(3) * 1e-9
         gain = np.linalg.solve(prior[:3, :3] + r, prior[:3]).T
         left = np.eye(6) - gain @ np.eye(3, 6)
         post = left @ prior @ left.T + gain @ r @ gain.T
-        t["mean"], t["cov"] = mean + gain @ (at - mean[:3]), (post + post.T) / 2
+        t["mean"] = (np.array(mean) + gain @ (np.array(at) - mean[:3])).tolist()
+        t["iso"], t["cov"] = None, (post + post.T) / 2
 
     def _quality(self, t: dict, since_s: float, sensors: int) -> float:
-        w = np.array(self.s.quality) / sum(self.s.quality)
         joined = max(min(1.0, t["updates"] / 5), min(1.0, max(len(t["nodes"]), 1) - 1))
         parts = (t["confidence"], joined, 1 / (1 + since_s / 30), min(1.0, sensors / 4))
-        return float(min(1.0, max(0.0, float(w @ np.array(parts)))))
+        return min(1.0, max(0.0, sum(w * x for w, x in zip(self.s.quality, parts, strict=True)) / sum(self.s.quality)))
 
     def step(self, d: dict) -> tuple:
         """``d``: id, ns, at, cov, label, category, confidence, sensors, node, scores, located. Gives the row of the track."""
-        now, at, cov = d["ns"], np.array(d["at"], float), d["cov"]
+        now, at, cov = d["ns"], tuple(map(float, d["at"])), d["cov"]
         self.age(now)
         self.now = now
         t, what, since = self._associate(d, at, cov), "updated", 0.0
@@ -223,29 +308,44 @@ class Fold:
             half = self.s.dormant_half_s
             faded = old["confidence"] * 0.5 ** ((now - old["last"]) / SECOND / half) if half > 0 else 0.0
             t |= {"scores": old["scores"], "nodes": list(old["nodes"]), "updates": old["updates"] + 1, "confidence": max(d["confidence"], faded), "status": "confirmed" if d["located"] else "tentative", "label": d["label"], "category": d["category"]}
+            if t["track"] not in self.live:
+                t["order"], self.count = self.count, self.count + 1
+            self._leave(t)
             self.live[t["track"]] = t
             del self.dormant[t["track"]]
+            self._enter(t)
             self._begin(t, at)
         elif t is None:
             what, t = "created", {"track": d["id"], "first": now, "updates": 1, "confidence": d["confidence"], "status": "tentative", "nodes": [], "scores": None, "label": d["label"], "category": d["category"]}
+            t["order"], self.count = self.count, self.count + 1
+            if (same := self.live.get(d["id"])) is not None:  # a repeated id takes the place of the track before
+                self._leave(same)
+                t["order"] = same["order"]
             self.live[d["id"]] = t
+            self._enter(t)
             self._begin(t, at)
         else:
             since = max((now - t["last"]) / SECOND, 1e-3)
             self._measured(t, at, since, cov)
             t["confidence"] = d["confidence"] if d["label"] != t["label"] else max(t["confidence"], d["confidence"])
-            if d["category"] != t["category"]:
-                t["noise"] = self.s.noise_for(d["category"])
+            other = d["category"] != t["category"]
             t |= {"label": d["label"], "category": d["category"], "updates": t["updates"] + 1}
+            if other:
+                t["noise"] = self._noise_for(d["category"])
+                self._leave(t)
+                self._enter(t)
             if t["status"] == "coasting":
                 t["status"] = "confirmed" if d["located"] else "tentative"
             elif d["located"] and (t["status"] != "tentative" or t["updates"] >= self.s.confirm_at):
                 t["status"] = "confirmed"
         t["last"] = now
+        due = self._deadline(t)
+        if what != "updated" or due < t["due"]:
+            self._watch(t, due)
         if d["node"] is not None and d["node"] not in t["nodes"]:
             t["nodes"] = [*t["nodes"], d["node"]][-self.s.most_nodes :]
         t["scores"] = self._merged(t["scores"], d["scores"])
-        m = t["mean"].tolist()
+        m = t["mean"]
         return (d["site"], d["id"], now, t["track"], what, t["status"], *m, t["confidence"], t["updates"], len(t["nodes"]), self._quality(t, since, d["sensors"]))
 
 

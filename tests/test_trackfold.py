@@ -140,3 +140,33 @@ def test_stream_is_the_batch_with_late_rows(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert got(spark.table("folded").where("site < 99")) == plain(rows)
+
+
+def test_steps_look_at_few_tracks():
+    """With 1,500 live tracks of the same category far apart a step has no matrix to make, and no track without a deadline is aged."""
+    fold, rng = Fold(Settings()), np.random.default_rng(4)
+    made, aged = [], []
+    fold._gate = lambda *a: made.append(a) or Fold._gate(fold, *a)
+    fold._deadline = lambda t: aged.append(t["track"]) or Fold._deadline(fold, t)
+    for k in range(3000):
+        place = (100.0 * (k % 1500), *map(float, rng.normal(0, 0.5, 2)))
+        assert seen(fold, 0.03 * k, place)["event"] == ("created" if k < 1500 else "updated")
+    assert len(fold.live) == 1500 and not made and len(aged) <= 4500
+
+
+def test_covariances_that_come_and_go():
+    """Tracks with three numbers and with a full matrix take the same steps."""
+    rng = np.random.default_rng(5)
+    plain, full = Fold(Settings()), Fold(Settings())
+    begin = full._begin
+
+    def as_matrix(t, at):
+        begin(t, at)
+        t["iso"], t["cov"] = None, np.diag([4.0] * 3 + [16.0] * 3)
+
+    full._begin = as_matrix
+    for k in range(400):
+        place, cov = tuple(map(float, rng.normal(0, 12, 3))), [9.0, 1, 0, 1, 4, 0, 0, 0, 6] if k % 90 == 7 else None
+        row = _detection(0, k, T0 + int(k * 2.5 * SECOND), *place, cov, "a", ["wildlife", "vehicle", None][k % 3], 0.5, 1, k % 4, None, None)
+        assert plain.step(row) == pytest.approx(full.step(row), abs=1e-8)
+    assert plain.live and len(plain.live) < 400
