@@ -1,4 +1,4 @@
-"""Media columns: baseline JPEG, decoded to DC-only luminance thumbnails.
+"""Media columns: JPEG, baseline or with DC in one progressive scan, decoded to DC-only luminance thumbnails.
 
 ``thumbnails`` reads a column of JPEG bytes: it parses the markers, Huffman-decodes the scan, and rebuilds from the DC
 coefficients of the luminance component a thumbnail of an eighth of the size, one sample per 8 x 8 block. Restart
@@ -6,18 +6,23 @@ intervals are independent, so all intervals of all images of a batch with equal
 vectors.
 
 ``texts_to_media`` is the writer that goes with it: a payload byte becomes the DC coefficient of one block (quantizer 8,
-so that the block's samples equal the byte), 64 blocks a row, one restart interval a row. The thumbnail of such an image
-is the payload again: nothing is lost. A payload beyond 8,191 rows goes on in further images after the first, in the
-same bytes.
+so that the block's samples equal the byte's level), 64 blocks a row, one restart interval a row. The thumbnail of such
+an image is the payload again: nothing is lost. A payload beyond 8,191 rows goes on in further images after the first,
+in the same bytes. The images are progressive, a DC scan and an AC scan that says in few bytes that all blocks are flat:
+a baseline block would end with a code of its own, a bit for each byte.
 
-The DC table is made for the data: ``counted_table`` counts the categories of all differences in one pass over the whole
-texts (12 numbers a task come back) and gives frequent ones short codes. Text leaps by 64 and more at each space, which
-the standard's table holds for rare.
+Levels and DC table are made for the data: ``counted_pairs`` counts which byte follows which in one pass over the whole
+texts (at most 257 x 256 numbers, whatever the input). ``arranged`` gives bytes that often follow each other near
+levels, as a JPEG codes the difference of neighbours: text leaps by 64 and more at each space otherwise. The categories
+of difference that are frequent then get short codes. An image carries its levels in a segment (APP11, the byte of each
+level), as a palette: any decoder gives the levels, ``thumbnails`` the bytes.
 
-The query writes the stored form as a table and reads it again before it decodes.
+The query writes the stored form as a table and reads it again before it decodes. The table is compressed for what
+repeats from row to row: headers, and copies of texts.
 
 Edge cases: a null or empty text gives the 64 zero bytes that the padding adds; a null or broken image gets null
 dimensions and an error text, other rows aren't harmed; equal texts give equal bytes; other columns are not read.
+Progressive images with DC in several scans (by component or by bit) are refused; AC scans are skipped.
 """
 
 from __future__ import annotations
@@ -36,9 +41,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import stage, table, texts_of
 
 WIDE, MOST_ROWS = 64, 8191
-#: The luminance DC table of the JPEG standard (codes per length, categories), and an AC table of one code, end of block.
+#: The luminance DC table of the JPEG standard (codes per length, categories), and each byte as its own level.
 STANDARD = (0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0), tuple(range(12))
-AC_BITS, AC_VALUES = [1] + [0] * 15, [0]
+PLAIN = bytes(range(256))
+_PALETTE = b"LEVELS\0"
+#: Passes over all bytes in the search for levels; over 12,000 texts no swap helped after four.
+_MOST_PASSES = 12
 _BATCH_BYTES = 1 << 20
 
 
@@ -93,30 +101,54 @@ def _marker(kind: int, body: bytes) -> bytes:
     return struct.pack(">BBH", 0xFF, kind, len(body) + 2) + body
 
 
-def _header(rows: int, dc: tuple) -> bytes:
+def _header(rows: int, dc: tuple, levels: bytes) -> bytes:
     quant = bytes([0, 8] + [1] * 63)
     frame = struct.pack(">BHHBBBB", 8, rows * 8, WIDE * 8, 1, 1, 0x11, 0)
-    tables = bytes([0x00, *dc[0], *dc[1]]) + bytes([0x10, *AC_BITS, *AC_VALUES])
-    return b"\xff\xd8" + _marker(0xDB, quant) + _marker(0xC0, frame) + _marker(0xC4, tables) + _marker(0xDD, struct.pack(">H", WIDE)) + _marker(0xDA, bytes([1, 1, 0x00, 0, 63, 0]))
+    palette = b"" if levels == PLAIN else _marker(0xEB, _PALETTE + _inverse(levels))
+    return b"\xff\xd8" + palette + _marker(0xDB, quant) + _marker(0xC2, frame) + _marker(0xC4, bytes([0x00, *dc[0], *dc[1]])) + _marker(0xDD, struct.pack(">H", WIDE)) + _marker(0xDA, bytes([1, 1, 0x00, 0, 0, 0]))
+
+
+@lru_cache(1024)
+def _flat(rows: int) -> bytes:
+    """The AC scan of an image without AC, in runs of up to 32,767 blocks, and the image's end."""
+    runs = bytes([0x10, 0, 0, 0, 15, *[0] * 12, *range(0, 0xF0, 0x10)])  # four bits each, by the length of the run in bits
+    bits, left = "", rows * WIDE
+    while left:
+        run = min(left, 32767)
+        bits += f"{run.bit_length() - 1:04b}" + f"{run:b}"[1:]
+        left -= run
+    bits += "1" * (-len(bits) % 8)
+    scan = int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\0")
+    return _marker(0xDD, b"\0\0") + _marker(0xC4, runs) + _marker(0xDA, bytes([1, 1, 0x00, 1, 63, 0])) + scan + b"\xff\xd9"
+
+
+@lru_cache(4)
+def _inverse(levels: bytes) -> bytes:
+    return np.argsort(np.frombuffer(levels, np.uint8)).astype(np.uint8).tobytes()
 
 
 @lru_cache(4)
 def _difference_codes(table_dc: tuple) -> tuple[np.ndarray, np.ndarray]:
-    """For each DC difference from -255 to 255: all bits of the block (code, magnitude, end of block) and their number."""
-    dc, eob = huffman_codes(*table_dc), huffman_codes(AC_BITS, AC_VALUES)[0]
+    """For each DC difference from -255 to 255: all bits of the block (code, magnitude) and their number."""
+    dc = huffman_codes(*table_dc)
     value, length = np.zeros(511, np.int64), np.zeros(511, np.int64)
     for d in range(-255, 256):
         s = abs(d).bit_length()
         code, n = dc[s]
         extra = d if d >= 0 else d + (1 << s) - 1
-        value[d + 255] = (((code << s) | extra) << eob[1]) | eob[0]
-        length[d + 255] = n + s + eob[1]
+        value[d + 255] = (code << s) | extra
+        length[d + 255] = n + s
     return value, length
 
 
-def _differences(payloads: list[bytes]) -> np.ndarray:
-    """By rows of 64: each byte less the one before it, a row's first less 128."""
-    grid = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, WIDE).astype(np.int64)
+def _grid(payloads: list[bytes]) -> np.ndarray:
+    """Rows of 64 bytes."""
+    return np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, WIDE)
+
+
+def _differences(payloads: list[bytes], levels: bytes) -> np.ndarray:
+    """By rows of 64: each byte's level less that of the byte before it, a row's first less 128."""
+    grid = np.frombuffer(levels, np.uint8)[_grid(payloads)].astype(np.int64)
     diff = np.empty_like(grid)
     diff[:, 0] = grid[:, 0] - 128
     np.subtract(grid[:, 1:], grid[:, :-1], out=diff[:, 1:])
@@ -126,16 +158,60 @@ def _differences(payloads: list[bytes]) -> np.ndarray:
 _CATEGORY = np.array([abs(d).bit_length() for d in range(-255, 256)])
 
 
-def category_counts(payloads: list[bytes]) -> np.ndarray:
-    """How many differences fall into each of the 12 categories."""
+def pair_counts(payloads: list[bytes]) -> np.ndarray:
+    """How often each byte (column) follows each (row); row 256: how often it begins a row."""
     if not payloads:
-        return np.zeros(12, np.int64)
-    by_value = np.bincount((_differences(payloads) + 255).ravel(), minlength=511)
-    return np.bincount(_CATEGORY, by_value, 12).astype(np.int64)
+        return np.zeros((257, 256), np.int64)
+    grid = _grid(payloads)
+    pairs = np.bincount((grid[:, :-1].astype(np.int64) << 8 | grid[:, 1:]).ravel(), minlength=1 << 16)
+    return np.concatenate([pairs, np.bincount(grid[:, 0], minlength=256)]).reshape(257, 256)
 
 
-def encode_payloads(payloads: list[bytes], dc: tuple = STANDARD) -> list[bytes]:
-    """JPEG bytes of each payload (a positive multiple of 64 bytes each), with the DC table ``dc``."""
+def category_counts(pairs: np.ndarray, levels: bytes = PLAIN) -> list[int]:
+    """How many differences fall into each of the 12 categories."""
+    level = np.frombuffer(levels, np.uint8).astype(np.int64)
+    category = _CATEGORY[level - np.append(level, 128)[:, None] + 255]
+    return [int(pairs[category == k].sum()) for k in range(12)]
+
+
+def arranged(pairs: np.ndarray) -> bytes:
+    """The level of each byte, so that neighbours in these counts differ little.
+
+    Frequent bytes start in the middle, rarer ones to both sides. Then each byte in turn swaps levels with the one that
+    saves most bits, with code lengths counted again after each pass. All numbers are whole, so equal counts give equal
+    levels.
+    """
+    often, first = pairs.sum(axis=0), pairs[256]
+    if not often.any():
+        return PLAIN
+    order = sorted(range(256), key=lambda b: (-often[b], b))
+    all_levels = np.arange(256)
+    level = np.empty(256, np.int64)
+    level[order] = sorted(range(256), key=lambda x: (abs(x - 128), -x))
+    both = (pairs[:256] + pairs[:256].T).astype(float)
+    np.fill_diagonal(both, 0)
+    for _ in range(_MOST_PASSES):
+        codes = huffman_codes(*table_for(category_counts(pairs, level.astype(np.uint8).tobytes())))
+        bits = np.array([codes[s][1] + s for s in _CATEGORY], float)
+        begin = first[:, None] * bits[all_levels - 128 + 255]
+        settled = True
+        for a in (b for b in order if often[b]):
+            cost = both @ bits[level[:, None] - all_levels + 255] + begin  # of a byte at a level, all others where they are
+            here, own = level[a], cost[all_levels, level]
+            more = cost[a, level] - cost[a, here] + cost[:, here] - own
+            more += 2 * both[a] * (bits[here - level + 255] - bits[255])  # the two keep their distance
+            more[a] = 0
+            b = int(more.argmin())
+            if more[b] < 0:
+                level[a], level[b] = level[b], here
+                settled = False
+        if settled:
+            break
+    return level.astype(np.uint8).tobytes()
+
+
+def encode_payloads(payloads: list[bytes], dc: tuple = STANDARD, levels: bytes = PLAIN) -> list[bytes]:
+    """JPEG bytes of each payload (a positive multiple of 64 bytes each), with the DC table ``dc`` and ``levels`` by byte."""
     if not payloads:
         return []
     image_rows, owner = [], []
@@ -145,7 +221,7 @@ def encode_payloads(payloads: list[bytes], dc: tuple = STANDARD) -> list[bytes]:
             image_rows.append(min(MOST_ROWS, rows - at))
             owner.append(k)
     first_row = np.cumsum([0, *image_rows])
-    diff = _differences(payloads) + 255
+    diff = _differences(payloads, levels) + 255
     codes, lengths = _difference_codes(dc)
     value, length = codes[diff], lengths[diff]
     within = np.cumsum(length, axis=1)
@@ -182,7 +258,7 @@ def encode_payloads(payloads: list[bytes], dc: tuple = STANDARD) -> list[bytes]:
     media: list[list[bytes]] = [[] for _ in payloads]
     began = 0
     for k, rows, cut in zip(owner, image_rows, cuts.tolist(), strict=True):
-        media[k] += [_header(rows, dc), scan[began:cut], b"\xff\xd9"]
+        media[k] += [_header(rows, dc, levels), scan[began:cut], _flat(rows)]
         began = cut
     return [b"".join(x) for x in media]
 
@@ -199,6 +275,7 @@ class Image:
     restart: int
     scan: tuple[int, int]
     end: int
+    palette: bytes | None = None  # the byte of each level
 
 
 class Broken(ValueError):
@@ -206,11 +283,11 @@ class Broken(ValueError):
 
 
 def parse(data: bytes, at: int = 0) -> Image:
-    """Markers of the baseline image that begins at ``at``."""
+    """Markers of the image that begins at ``at``."""
     if data[at : at + 2] != b"\xff\xd8":
         raise Broken("no start of image")
     at += 2
-    quant, dc, ac, frame, restart = {}, {}, {}, None, 0
+    quant, dc, ac, frame, restart, palette, progressive = {}, {}, {}, None, 0, None, False
     while True:
         if at + 4 > len(data) or data[at] != 0xFF:
             raise Broken("no marker where one belongs")
@@ -232,15 +309,22 @@ def parse(data: bytes, at: int = 0) -> Image:
             elif kind == 0xC4:
                 while body:
                     bits = tuple(body[1:17])
+                    if len(body) < 17 + sum(bits):
+                        raise Broken("a marker is cut off")
                     (ac if body[0] >> 4 else dc)[body[0] & 15] = (bits, tuple(body[17 : 17 + sum(bits)]))
                     body = body[17 + sum(bits) :]
-            elif kind == 0xC0:
+            elif kind in (0xC0, 0xC2):
+                progressive = kind == 0xC2
                 depth, height, width, count = struct.unpack_from(">BHHB", body)
                 if depth != 8:
                     raise Broken("not 8 bits a sample")
                 frame = (width, height, {body[6 + 3 * i]: (body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(count)}, body[6])
             elif 0xC1 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
-                raise Broken("not baseline")
+                raise Broken("neither baseline nor progressive")
+            elif kind == 0xEB and body.startswith(_PALETTE):
+                palette = body[len(_PALETTE) :]
+                if len(set(palette)) != 256 or len(palette) != 256:
+                    raise Broken("levels that aren't one for each byte")
             elif kind == 0xDD:
                 (restart,) = struct.unpack_from(">H", body)
             elif kind == 0xDA:
@@ -252,23 +336,40 @@ def parse(data: bytes, at: int = 0) -> Image:
     try:
         listed = [(body[1 + 2 * i], body[2 + 2 * i]) for i in range(body[0])]
         components = tuple((c, *frame[2][c][:2], quant[frame[2][c][2]], t >> 4, t & 15) for c, t in listed)
-        tables = (tuple(sorted((t, dc[t]) for t in {x[4] for x in components})), tuple(sorted((t, ac[t]) for t in {x[5] for x in components})))
+        if progressive and body[1 + 2 * body[0] :] != b"\0\0\0":
+            raise Broken("DC in more than one scan")
+        tables = (tuple(sorted((t, dc[t]) for t in {x[4] for x in components})), () if progressive else tuple(sorted((t, ac[t]) for t in {x[5] for x in components})))
     except (KeyError, IndexError) as e:
         raise Broken("a table is missing") from e
     if len(components) != len(frame[2]):
         raise Broken("more scans than one")
-    end = at
-    while True:
-        end = data.find(b"\xff", end)
-        if end < 0 or end + 1 >= len(data):
-            raise Broken("the scan doesn't end")
-        if data[end + 1] == 0 or 0xD0 <= data[end + 1] <= 0xD7:
-            end += 2
-            continue
-        break
+    scan = at, _scan_end(data, at)
+    end = scan[1]
+    while progressive and data[end + 1] != 0xD9:  # AC scans and their tables
+        if end + 5 > len(data):
+            raise Broken("a marker is cut off")
+        kind, (n,) = data[end + 1], struct.unpack_from(">H", data, end + 2)
+        if kind == 0xDA and data[end + 2 + n - 3 : end + 2 + n - 2] == b"\0":
+            raise Broken("DC in more than one scan")
+        end += 2 + n
+        if kind == 0xDA:
+            end = _scan_end(data, end)
+        elif data[end : end + 1] != b"\xff" or end + 1 >= len(data):
+            raise Broken("no marker where one belongs")
     if len(components) == 1:
         components = ((components[0][0], 1, 1, *components[0][3:]),)
-    return Image(frame[0], frame[1], components, tables, restart, (at, end), end)
+    return Image(frame[0], frame[1], components, tables, restart, scan, end, palette)
+
+
+def _scan_end(data: bytes, at: int) -> int:
+    """Where the marker lies that ends the coded bytes from ``at``."""
+    while True:
+        at = data.find(b"\xff", at)
+        if at < 0 or at + 1 >= len(data):
+            raise Broken("the scan doesn't end")
+        if data[at + 1] != 0 and not 0xD0 <= data[at + 1] <= 0xD7:
+            return at
+        at += 2
 
 
 def images_of(data: bytes) -> list[Image]:
@@ -293,7 +394,7 @@ def _units(im: Image) -> tuple[int, int]:
 
 
 def dc_planes(batch: list[tuple[bytes, Image]]) -> list[np.ndarray]:
-    """DC-only luminance thumbnails (uint8) of images whose components and tables are equal."""
+    """DC-only luminance thumbnails (uint8, by the palette where an image has one) of images whose components and tables are equal."""
     im0 = batch[0][1]
     order = [(k, c[4], c[5]) for k, c in enumerate(im0.components) for _ in range(c[1] * c[2])]
     dc = {t: lookup(list(b), list(v)) for t, (b, v) in im0.tables[0]}
@@ -356,6 +457,9 @@ def dc_planes(batch: list[tuple[bytes, Image]]) -> list[np.ndarray]:
             got[lanes, column] = pred[0, lanes]
             column += 1
         p = p + used
+        if not ac:  # a DC scan alone
+            pos[lanes] = p
+            continue
         # the end of block mostly follows at once: up to 13 bits of it are in the same window
         nxt = (w << used) >> 32 & 0xFFFF
         a_s, a_n = ac[t_ac][0][nxt], ac[t_ac][1][nxt].astype(np.int64)
@@ -390,7 +494,8 @@ def dc_planes(batch: list[tuple[bytes, Image]]) -> list[np.ndarray]:
             plane = flat.reshape(-1, across)
         else:
             plane = flat.reshape(-1, across, v, h).transpose(0, 2, 1, 3).reshape(-1, across * h)
-        out.append(plane[: -(-im.height // 8), : -(-im.width // 8)])
+        plane = plane[: -(-im.height // 8), : -(-im.width // 8)]
+        out.append(plane if im.palette is None else np.frombuffer(im.palette, np.uint8)[plane])
     return out
 
 
@@ -464,33 +569,48 @@ def _slices(sizes: list[int]):
         yield slice(start, len(sizes))
 
 
-def counted_table(docs: DataFrame) -> tuple:
-    """The DC table for the texts of ``docs``, from all their differences; without rows, the standard's."""
+def counted_pairs(docs: DataFrame) -> np.ndarray:
+    """``pair_counts`` of all texts of ``docs``."""
 
     def count(batches):
-        total = np.zeros(12, np.int64)
+        total = np.zeros((257, 256), np.int64)
         for b in batches:
             texts = b.column(0).to_pylist()
             for part in _slices([len(x) for x in texts]):
-                total += category_counts([payload_of(x)[1] for x in texts[part]])
-        yield pa.RecordBatch.from_arrays([pa.array(range(12), pa.int32()), pa.array(total, pa.int64())], names=["category", "n"])
+                total += pair_counts([payload_of(x)[1] for x in texts[part]])
+        before, byte = total.nonzero()
+        yield pa.RecordBatch.from_arrays([pa.array(before, pa.int32()), pa.array(byte, pa.int32()), pa.array(total[before, byte], pa.int64())], names=["before", "byte", "n"])
 
     from pyspark.sql import functions as F
 
-    sums = texts_of(docs).select("text").mapInArrow(count, "category int, n long").groupBy("category").agg(F.sum("n").alias("n"))
-    found = {r.category: r.n for r in sums.collect()}  # 12 rows
-    return table_for([found.get(k, 0) for k in range(12)])
+    sums = texts_of(docs).select("text").mapInArrow(count, "before int, byte int, n long").groupBy("before", "byte").agg(F.sum("n").alias("n"))
+    pairs = np.zeros((257, 256), np.int64)
+    for r in sums.collect():  # 257 x 256 rows at most
+        pairs[r.before, r.byte] = r.n
+    return pairs
 
 
-def texts_to_media(docs: DataFrame, dc: tuple = STANDARD) -> DataFrame:
-    """(doc_id, n_bytes, media): each text, padded, as JPEG bytes with the DC table ``dc``."""
+def counted_table(docs: DataFrame) -> tuple:
+    """The DC table for the texts of ``docs`` with each byte as its level, from all their differences; without rows, the standard's."""
+    return table_for(category_counts(counted_pairs(docs)))
+
+
+def counted_coding(docs: DataFrame) -> tuple[tuple, bytes]:
+    """DC table and levels for the texts of ``docs``, from all their pairs of bytes; without rows, the standard's and the bytes."""
+    pairs = counted_pairs(docs)
+    levels = arranged(pairs)
+    return table_for(category_counts(pairs, levels)), levels
+
+
+def texts_to_media(docs: DataFrame, dc: tuple = STANDARD, levels: bytes = PLAIN) -> DataFrame:
+    """(doc_id, n_bytes, media): each text, padded, as JPEG bytes with the DC table ``dc`` and ``levels``."""
 
     def write(batches):
         for b in batches:
             texts = b.column(1).to_pylist()
             for part in _slices([len(x) for x in texts]):
                 made = [payload_of(x) for x in texts[part]]
-                yield pa.RecordBatch.from_arrays([b.column(0)[part.start : part.stop], pa.array([n for n, _ in made], pa.int64()), pa.array(encode_payloads([p for _, p in made], dc), pa.binary())], names=["doc_id", "n_bytes", "media"])
+                yield pa.RecordBatch.from_arrays([b.column(0)[part.start : part.stop], pa.array([n for n, _ in made], pa.int64()), pa.array(encode_payloads([p for _, p in made], dc, levels), pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     return texts_of(docs).mapInArrow(write, "doc_id long, n_bytes long, media binary")
 
@@ -528,11 +648,14 @@ def thumbnails(media: DataFrame, column: str = "media", key: str = "doc_id", wit
     return media.select(F.col(key).cast("long").alias(key), has.alias("n_bytes"), F.col(column).alias("media")).mapInArrow(read, schema)
 
 
+def stored_media(docs: DataFrame) -> DataFrame:
+    """``texts_to_media`` with counted table and levels, written and read again."""
+    return stage(texts_to_media(docs, *counted_coding(docs)), "media", compression="zstd")
+
+
 def op2_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
-    docs = table(spark, sf_dir, "documents")
-    media = stage(texts_to_media(docs, counted_table(docs)), "media", compression="none")
-    rows = thumbnails(media)
+    rows = thumbnails(stored_media(table(spark, sf_dir, "documents")))
     feature = F.format_string("%dx%d/%d:%s", "width", "height", "n_images", "thumb_hash")
     return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
